@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Buckets of a shard in which rows are numbered; a bucket is what one task sorts at a time.
-BUCKETS = 1024
+#: Hexadecimal digits of the key's hash that name the bucket of a shard in which rows are numbered: 4096 buckets.
+BUCKET_DIGITS = 3
 
 
 def _draw(key: Column, shard: int) -> Column:
@@ -31,13 +31,13 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["shard"]
 
 
-def number_slots(rows: DataFrame, shard: str, key: str, ties: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def number_slots(rows: DataFrame, shard: str, key: str, ties: Sequence[str] = (), digits: int = BUCKET_DIGITS) -> DataFrame:
     """Add slot: 0, 1, 2, ... without gaps in each shard.
 
     Rows are numbered inside buckets of their shard, in key order, and the buckets' counts (shards x buckets rows, so
-    a bounded table) shift them: no task holds a whole shard.
+    at most 16 to the power of digits for each shard) shift them: no task holds a whole shard.
     """
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_bucket", F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, digits))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     counts = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
