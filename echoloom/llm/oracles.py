@@ -24,3 +24,13 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(list_position(a, list_min(a)
        row_number() OVER (PARTITION BY list_position(a, list_min(a))
                           ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id, text_crc32, size) - 1 AS slot
 FROM rows"""
+
+OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
