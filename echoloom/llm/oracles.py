@@ -34,3 +34,47 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
+def _quality() -> str:
+    """Counts of each text, votes, rounds of expectation-maximisation as one table each, and the verdict."""
+    from . import quality as q
+
+    def vote(value: str, good: str, bad: str) -> str:
+        value = "(" + value.replace("/ n_words", "/ nullif(n_words, 0)").replace("/ word_chars", "/ nullif(word_chars, 0)") + ")"
+        return f"CASE WHEN {good.replace('{}', value)} THEN 1 WHEN {bad.replace('{}', value)} THEN -1 ELSE 0 END"
+
+    names = [f"v{j}" for j in range(len(q.RULES))]
+
+    def odds(model: str) -> str:
+        return " + ".join([f"ln({model}.prior / (1 - {model}.prior))", *(f"v{j} * ln({model}.a{j} / (1 - {model}.a{j}))" for j in range(len(names)))])
+
+    rounds = [f"m0 AS MATERIALIZED (SELECT {q.PRIOR}::DOUBLE AS prior, {', '.join(f'{q.ACCURACY}::DOUBLE AS a{j}' for j in range(len(names)))})"]
+    for k in range(q.ROUNDS):
+        parts = [f"least(greatest((sum(n * p) + {q.WEIGHT * q.PRIOR}) / (sum(n) + {q.WEIGHT}), 0.01), 0.99) AS prior"]
+        for j in range(len(names)):
+            right = f"sum(n * CASE v{j} WHEN 1 THEN p WHEN -1 THEN 1 - p ELSE 0 END)"
+            parts.append(f"least(greatest(({right} + {q.WEIGHT * q.ACCURACY}) / (sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END) + {q.WEIGHT}), {q.LOW}), {q.HIGH}) AS a{j}")
+        rounds.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(parts)} FROM (SELECT t.*, 1 / (1 + exp(-({odds(f'm{k}')}))) AS p FROM t, m{k}))")
+    word = "[^\\x20\\x09-\\x0D]+"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT row, doc_id, text, regexp_extract_all(text, '{word}') AS w FROM d),
+g AS MATERIALIZED (SELECT row, i, w[i:i + {q.WINDOW - 1}] AS g FROM (SELECT row, w, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i FROM w)),
+r AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+c AS (SELECT row, sum(least({q.WINDOW}, coalesce(next - i, {q.WINDOW}))) AS n FROM (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS next FROM r) GROUP BY row),
+f AS MATERIALIZED (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '{q.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_exclamations, len(list_distinct(w)) AS n_different
+  FROM (SELECT w.*, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM w) LEFT JOIN c USING (row)),
+v AS MATERIALIZED (SELECT *, {', '.join(f'{vote(*rule)} AS {name}' for name, rule in zip(names, q.RULES.values()))} FROM f),
+t AS MATERIALIZED (SELECT {', '.join(names)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
+{', '.join(rounds)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 1 / (1 + exp(-({odds(f'm{q.ROUNDS}')}))) >= {q.KEEP} AS kept
+FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v), m{q.ROUNDS}"""
+
+
+OP4 = _quality()

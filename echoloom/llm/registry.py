@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_text, oracles, packing, sharding, simhash, token_counts, token_output, topk
+from . import html_text, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_sharding": sharding.op2_sharding,
+    "op4_quality": quality.op4_quality,
     "op5_token_output": token_output.op5_token_output,
     "op7_topk": topk.op7_topk,
     "op8_token_counts": token_counts.op8_token_counts,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
 }
 
-ORACLE_SQL = {"op2_sharding": oracles.OP2, "op7_topk": oracles.OP7}
+ORACLE_SQL = {"op2_sharding": oracles.OP2, "op4_quality": oracles.OP4, "op7_topk": oracles.OP7}
