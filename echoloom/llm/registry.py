@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_text, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk
+from . import html_text, mixing, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_sharding": sharding.op2_sharding,
+    "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
     "op5_token_output": token_output.op5_token_output,
     "op7_topk": topk.op7_topk,
