@@ -35,6 +35,10 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Narrow rows (a few numbers) that a task of a scratch table handles.
+NARROW = 1_000_000
+
+
 class Scratch:
     """Tables written to the folder that all machines share, to cut lineage.
 
@@ -55,8 +59,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Write df under a name of this scratch space and return the table read back."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+        """Write df under a name of this scratch space and return the table read back.
+
+        rows, where a bound of narrow rows is known, keeps a small table from being dealt over many tasks and files.
+        """
+        df = df if rows is None else df.coalesce(max(8, rows // NARROW))
         df.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

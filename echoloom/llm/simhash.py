@@ -253,14 +253,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, chunk: int = CHUN
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(fingerprints(docs), "fingerprints")
-    distinct = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    count = rows.count()
+    distinct = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", count)
     stars = components(near_links(distinct, scratch, distance, chunk), scratch)
     members = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
-    members = scratch.save(members.join(distinct, "fp"), "members")
-    roots = scratch.save(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    members = scratch.save(members.join(distinct, "fp"), "members", count)
+    roots = scratch.save(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots", count)
     linked = members.join(roots, "root").select("fp", "component_id")
     labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    labels = scratch.save(labels, "labels")
+    labels = scratch.save(labels, "labels", count)
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
