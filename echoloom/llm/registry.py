@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk
+from . import html_text, mixing, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
     "op5_token_output": token_output.op5_token_output,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_topk": topk.op7_topk,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_packing": packing.op9_packing,
