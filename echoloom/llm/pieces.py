@@ -4,8 +4,9 @@ The vocabulary and its merge order come from the tokenizer's own JSON file. Its
 merge loop of `tiktoken` finds the same ids; tests hold them against `tokenizers` itself.
 
 Byte vocabulary: a text is encoded at once. Word vocabulary: white space only separates words, so the ids of a text are
-those of its words one after another; each distinct word is encoded once and kept. Words of Latin letters with
-punctuation behind them take the merge loop, all others `tokenizers`, and so does any text with unusual white space.
+those of its words one after another; each distinct word is encoded once and kept. A text of Latin letters, digits and
+ASCII punctuation is cut into the vocabulary's own pre-tokens (lower-casing makes many of them equal), another at its
+white space. Words of other characters go to `tokenizers`, and so does any text with unusual white space.
 """
 
 from __future__ import annotations
@@ -13,14 +14,22 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import accumulate, chain
+import sys
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # an executor's cores are taken by its tasks
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian unsigned 32-bit integers")
+
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-/:-@\[-`{-~]*)")
+#: The pre-tokens of the word vocabulary, for texts of these characters only: its own pattern says no more about them.
+_USUAL = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+_UNUSUAL = re.compile(rf"[^{_USUAL}!-~ \t\n\r\f\v]")
+_PRE_TOKENS = re.compile(rf"[{_USUAL}]+|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{{-~]+|[0-9]")
 #: Distinct words in a generation of the cache (two are kept) and the longest word that is kept.
 CACHE, LONGEST = 300_000, 200
 #: The mark of a word's end in the vocabulary, and the byte that stands for it in the merge loop (never in UTF-8).
@@ -34,6 +43,25 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class _Known(dict):
+    """Ids of pieces, found when first asked for. A full one becomes the older generation of the next."""
+
+    def __init__(self, find: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.find, self.older = find, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.find(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+    def renewed(self) -> _Known:
+        return self if len(self) <= CACHE else _Known(self.find, {**self})
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -59,56 +87,18 @@ class Encoder:
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.bytes_of[i] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        one = self.merges._core_bpe.encode_single_piece
+        self.tokens = _Known(lambda p: array("I", one(p.encode() + END_BYTE)).tobytes(), {})
+        self.others = _Known(lambda p: self._slow([p])[0], {})
 
     def _slow(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         return [np.array(x, "<u4").tobytes() for x in ids]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        one, plain = self.merges._core_bpe.encode_single_piece, _PLAIN.fullmatch
-        ids: list = []
-        slow = []
-        for w in words:
-            if m := plain(w):
-                a, b = m.groups()
-                found = one(a.lower().encode() + END_BYTE) if a else []
-                ids.append(found + one(b.encode() + END_BYTE) if b else found)
-            else:
-                slow.append(w)
-                ids.append(None)
-        if slow:
-            rest = iter(self.tokenizer.encode_batch(slow, add_special_tokens=False))
-            ids = [next(rest).ids if x is None else x for x in ids]
-        ends = list(accumulate(len(x) * 4 for x in ids))
-        raw = np.fromiter(chain.from_iterable(ids), "<u4", (ends[-1] if ends else 0) // 4).tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _learn(self, split: list[list[str]]) -> dict:
-        """Know the pieces of these texts; those too long to keep go to the mapping returned.
-
-        The cache has two generations: a full one becomes the older, and pieces still in use come back from it.
-        """
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = set(chain.from_iterable(split)) - known.keys()
-        back = missing & older.keys()
-        known.update((p, older[p]) for p in back)
-        new, once = list(missing - back), {}
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for p, e in zip(part, self._word_ids(part)):
-                (known if len(p) <= LONGEST else once)[p] = e
-        return once
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        once = self._learn([s for s in split if s])
-        known = self.known
-        get = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
-        return [b"".join(map(get, s)) if s is not None else self._slow([t])[0] for s, t in zip(split, texts)]
+    def _by_words(self, text: str) -> bytes:
+        if _UNUSUAL.search(text):
+            return self._slow([text])[0] if _ODD.search(text) else b"".join(map(self.others.__getitem__, text.split()))
+        return b"".join(map(self.tokens.__getitem__, _PRE_TOKENS.findall(text.lower())))
 
     def _whole(self, text: str) -> bytes:
         try:
@@ -119,7 +109,8 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each text, null as empty."""
         texts = [t or "" for t in texts]
-        return self._by_words(texts) if self.words else [self._whole(t) for t in texts]
+        self.tokens, self.others = self.tokens.renewed(), self.others.renewed()
+        return [self._by_words(t) if self.words else self._whole(t) for t in texts]
 
     def ids_and_spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first character, character after the last) of each token; byte vocabularies only.
