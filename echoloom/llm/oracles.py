@@ -40,22 +40,19 @@ def _quality() -> str:
     """Counts of each text, votes, rounds of expectation-maximisation as one table each, and the verdict."""
     from . import quality as q
 
-    def vote(value: str, good: str, bad: str) -> str:
-        value = "(" + value.replace("/ n_words", "/ nullif(n_words, 0)").replace("/ word_chars", "/ nullif(word_chars, 0)") + ")"
-        return f"CASE WHEN {good.replace('{}', value)} THEN 1 WHEN {bad.replace('{}', value)} THEN -1 ELSE 0 END"
-
-    names = [f"v{j}" for j in range(len(q.RULES))]
+    names, log = [f"v{j}" for j in range(len(q.RULES))], "v{j} * ln({m}.a{j} / (1 - {m}.a{j}))"
 
     def odds(model: str) -> str:
-        return " + ".join([f"ln({model}.prior / (1 - {model}.prior))", *(f"v{j} * ln({model}.a{j} / (1 - {model}.a{j}))" for j in range(len(names)))])
+        return " + ".join([f"ln({q.PRIOR / (1 - q.PRIOR)})", *(log.format(j=j, m=model) for j in range(len(names)))])
 
-    rounds = [f"m0 AS MATERIALIZED (SELECT {q.PRIOR}::DOUBLE AS prior, {', '.join(f'{q.ACCURACY}::DOUBLE AS a{j}' for j in range(len(names)))})"]
+    rounds = [f"m0 AS MATERIALIZED (SELECT {', '.join(f'{a}::DOUBLE AS a{j}' for j, (_, _, a) in enumerate(q.RULES.values()))})"]
     for k in range(q.ROUNDS):
-        parts = [f"least(greatest((sum(n * p) + {q.WEIGHT * q.PRIOR}) / (sum(n) + {q.WEIGHT}), 0.01), 0.99) AS prior"]
-        for j in range(len(names)):
-            right = f"sum(n * CASE v{j} WHEN 1 THEN p WHEN -1 THEN 1 - p ELSE 0 END)"
-            parts.append(f"least(greatest(({right} + {q.WEIGHT * q.ACCURACY}) / (sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END) + {q.WEIGHT}), {q.LOW}), {q.HIGH}) AS a{j}")
+        parts = []
+        for j, (_, _, start) in enumerate(q.RULES.values()):
+            right, cast = f"sum(n * CASE v{j} WHEN 1 THEN p WHEN -1 THEN 1 - p ELSE 0 END)", f"sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END)"
+            parts.append(f"least({q.SHRINK} * {start} + {1 - q.SHRINK} * CASE WHEN {cast} > 0 THEN {right} / {cast} ELSE {start} END, {q.HIGH})::DOUBLE AS a{j}")
         rounds.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(parts)} FROM (SELECT t.*, 1 / (1 + exp(-({odds(f'm{k}')}))) AS p FROM t, m{k}))")
+    votes = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {good} THEN 1 WHEN {bad} THEN -1 ELSE 0 END AS {name}" for name, (good, bad, _) in zip(names, q.RULES.values()))
     word = "[^\\x20\\x09-\\x0D]+"
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
@@ -69,7 +66,7 @@ f AS MATERIALIZED (
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
          length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_exclamations, len(list_distinct(w)) AS n_different
   FROM (SELECT w.*, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM w) LEFT JOIN c USING (row)),
-v AS MATERIALIZED (SELECT *, {', '.join(f'{vote(*rule)} AS {name}' for name, rule in zip(names, q.RULES.values()))} FROM f),
+v AS MATERIALIZED (SELECT *, {votes} FROM f),
 t AS MATERIALIZED (SELECT {', '.join(names)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
 {', '.join(rounds)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -2,7 +2,8 @@
 
 Each rule votes for good (1) or bad (-1) text or abstains (0). Expectation-maximisation over the counts of vote patterns
 (3 to the power of the number of rules at most) estimates how often each rule is right, and a document's posterior
-probability of being good decides.
+probability of being good decides. A fault that running prose contradicts often, as shortness, loses its say; one that
+nothing contradicts, or others confirm, keeps it.
 """
 
 from __future__ import annotations
@@ -17,19 +18,20 @@ from .common import SPACES, Scratch, table
 SYMBOLS = "#*$%&|<>"
 #: Words of a window that counts as repeated.
 WINDOW = 5
-#: Rounds of expectation-maximisation; accuracy and share of good texts at the start; weight of the start in documents;
-#: bounds of an accuracy; posterior probability from which a text is kept.
-ROUNDS, ACCURACY, PRIOR, WEIGHT, LOW, HIGH, KEEP = 20, 0.8, 0.8, 10.0, 0.55, 0.99, 0.5
-#: Rules by name: (value, good where, bad where) over the columns of features().
+#: Rounds of expectation-maximisation; share of good texts that is assumed; share of its first accuracy that a rule keeps
+#: (texts with one vote alone say nothing about it); highest accuracy; posterior probability from which a text is kept.
+ROUNDS, PRIOR, SHRINK, HIGH, KEEP = 20, 0.5, 0.5, 0.99, 0.5
+#: Rules by name: (good where, bad where, first accuracy) over the columns of features(); a condition that is null is false.
 RULES = {
-    "length": ("n_words", "{} >= 40", "{} < 15"),
-    "symbols": ("n_symbols / n_words", "{} <= 0.02", "{} > 0.1"),
-    "repeated_words": ("n_repeat_words / n_words", "{} <= 0.02", "{} > 0.1"),
-    "repeated_lines": ("n_dup_lines / n_words", "{} = 0", "{} > 0.02"),
-    "word_length": ("word_chars / n_words", "{} between 3 and 10", "{} < 2 or {} > 15"),
-    "capitals": ("n_capitals / word_chars", "{} <= 0.15", "{} > 0.4"),
-    "exclamations": ("n_exclamations / n_words", "{} <= 0.05", "{} > 0.3"),
-    "vocabulary": ("n_different / n_words", "{} >= 0.4", "{} < 0.2"),
+    "prose": ("n_symbols <= 0.05 * n_words and n_repeat_words <= 0.1 * n_words and n_capitals <= 0.2 * word_chars and n_different >= 0.3 * n_words", "false", 0.9),
+    "length": ("n_words >= 1000 and n_different >= 200", "n_words < 20", 0.9),
+    "symbols": ("false", "n_symbols > 0.1 * n_words", 0.95),
+    "repeated_words": ("false", "n_repeat_words > 0.2 * n_words", 0.95),
+    "repeated_lines": ("false", "n_dup_lines > 2 and n_dup_lines > 0.02 * n_words", 0.9),
+    "word_length": ("false", "word_chars < 2 * n_words or word_chars > 15 * n_words", 0.9),
+    "capitals": ("false", "n_capitals > 0.4 * word_chars", 0.95),
+    "exclamations": ("false", "n_exclamations > 0.3 * n_words", 0.9),
+    "vocabulary": ("false", "n_words >= 50 and n_different < 0.2 * n_words", 0.95),
 }
 
 
@@ -87,51 +89,43 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def votes() -> Column:
-    """A rule's vote for each rule, in order; all abstain on a text without words."""
+    """A vote for each rule, in order; all abstain on a text without words."""
+    cases = (f"case when n_words = 0 then 0 when {good} then 1 when {bad} then -1 else 0 end" for good, bad, _ in RULES.values())
+    return F.array(*map(F.expr, cases))
 
-    def vote(value: str, good: str, bad: str) -> Column:
-        value = "(" + value.replace("/ n_words", "/ nullif(n_words, 0)").replace("/ word_chars", "/ nullif(word_chars, 0)") + ")"
-        return F.expr(f"case when {good.replace('{}', value)} then 1 when {bad.replace('{}', value)} then -1 else 0 end")
 
-    return F.array(*(vote(*rule) for rule in RULES.values()))
-
-
-def _log_odds(model: Column, given: Column) -> Column:
+def _log_odds(accuracy: Column, given: Column) -> Column:
     """Of a good text: the prior's, and for each vote those of its rule being right."""
-    parts = F.zip_with(given, model["accuracy"], lambda v, a: v * F.log(a / (1 - a)))
-    return F.aggregate(parts, F.log(model["prior"] / (1 - model["prior"])), lambda s, x: s + x)
+    parts = F.zip_with(given, accuracy, lambda v, a: v * F.log(a / (1 - a)))
+    return F.aggregate(parts, F.log(F.lit(PRIOR / (1 - PRIOR))), lambda s, x: s + x)
 
 
-def _posterior(model: Column, given: Column) -> Column:
-    return 1 / (1 + F.exp(-_log_odds(model, given)))
+def _posterior(accuracy: Column, given: Column) -> Column:
+    return 1 / (1 + F.exp(-_log_odds(accuracy, given)))
 
 
 def fit(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row, model: struct(prior, accuracy of each rule), from rows (votes, n) of one for each pattern."""
-    count = len(RULES)
-    all_ = F.sort_array(F.collect_list(F.struct(F.col("votes"), F.col("n").cast("double").alias("n"))))
-    start = F.struct(F.lit(PRIOR).alias("prior"), F.array_repeat(F.lit(ACCURACY), count).alias("accuracy"))
+    """One row, accuracy: that of each rule in order, from rows (votes, n), one for each pattern."""
+    first = F.array(*(F.lit(a) for _, _, a in RULES.values()))
+    patterns = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("patterns"))  # at most 3 ** rules
 
     def total(rows: Column, part) -> Column:
         return F.aggregate(rows, F.lit(0.0), lambda s, x: s + part(x))
 
     def maximise(rows: Column) -> Column:
-        prior = (total(rows, lambda x: x["n"] * x["p"]) + WEIGHT * PRIOR) / (total(rows, lambda x: x["n"]) + WEIGHT)
-
-        def accuracy(j: Column) -> Column:
+        def accuracy(start: Column, j: Column) -> Column:
             vote = lambda x: F.get(x["votes"], j)
-            right = total(rows, lambda x: x["n"] * F.when(vote(x) == 1, x["p"]).when(vote(x) == -1, 1 - x["p"]).otherwise(0.0))
+            right = total(rows, lambda x: F.when(vote(x) == 1, x["n"] * x["p"]).when(vote(x) == -1, x["n"] * (1 - x["p"])).otherwise(0.0))
             cast = total(rows, lambda x: F.when(vote(x) != 0, x["n"]).otherwise(0.0))
-            return F.least(F.greatest((right + WEIGHT * ACCURACY) / (cast + WEIGHT), F.lit(LOW)), F.lit(HIGH))
+            return F.least(SHRINK * start + (1 - SHRINK) * F.when(cast > 0, right / cast).otherwise(start), F.lit(HIGH))
 
-        return F.struct(F.least(F.greatest(prior, F.lit(0.01)), F.lit(0.99)).alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(count - 1)), accuracy).alias("accuracy"))
+        return F.transform(first, accuracy)
 
-    def round_(model: Column, _: Column) -> Column:
-        expected = F.transform("patterns", lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), _posterior(model, x["votes"]).alias("p")))
+    def round_(accuracy: Column, _: Column) -> Column:
+        expected = F.transform("patterns", lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), _posterior(accuracy, x["votes"]).alias("p")))
         return _bind(expected, maximise)
 
-    gathered = patterns.agg(all_.alias("patterns"))  # at most 3 ** rules patterns
-    return gathered.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, round_).alias("model"))
+    return patterns.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, round_).alias("accuracy"))
 
 
 def assess(docs: DataFrame, keep: float = KEEP, columns: Sequence[str] | None = None) -> DataFrame:
@@ -145,9 +139,9 @@ def assess(docs: DataFrame, keep: float = KEEP, columns: Sequence[str] | None =
     rows = features(docs).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).withColumn("votes", votes())
     rows = rows.select(*wanted, *(c for c in rows.columns if c not in docs.columns))
     rows = Scratch(docs.sparkSession).save(rows, "votes", compression="zstd")
-    model = fit(rows.groupBy("votes").agg(F.count("*").alias("n")))
-    rows = rows.withColumn("_model", model.scalar())
-    rows = rows.withColumn("quality", _posterior(F.col("_model"), F.col("votes"))).drop("_model")
+    accuracy = fit(rows.groupBy("votes").agg(F.count("*").alias("n")))
+    rows = rows.withColumn("_accuracy", accuracy.scalar())
+    rows = rows.withColumn("quality", _posterior(F.col("_accuracy"), F.col("votes"))).drop("_accuracy")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))
 
 
