@@ -1,0 +1,65 @@
+"""Python functions over runs of rows that share a key, as one sorted stream for each task."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..schema import struct
+from ..shipping import ship
+
+Group = dict[str, np.ndarray]
+
+
+def map_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], call: Callable[[Group], Group], schema: str) -> DataFrame:
+    """call for each run of equal keys, rows in order; its columns are those of schema, of equal length.
+
+    Rows are dealt by key and sorted; a task holds one run at a time and hands its results on in batches, which is much
+    cheaper than a Python call with a frame of its own for each of many small groups.
+    """
+    ship(rows.sparkSession)
+    fields = struct(schema).fields
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
+    keys = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        out: list[Group] = []
+        count = 0
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[name] for g in out]), kind, from_pandas=True) for name, kind in kinds], [name for name, _ in kinds])
+
+        for batch in _and_end(batches):
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            columns = {c: table.column(c).to_numpy(zero_copy_only=False) for c in table.column_names}
+            change = np.zeros(table.num_rows, bool)
+            for k in keys:
+                change[1:] |= columns[k][1:] != columns[k][:-1]
+            starts = np.concatenate([[0], np.flatnonzero(change), [table.num_rows]])
+            whole = len(starts) - 1 if batch is None else len(starts) - 2
+            for a, b in zip(starts[:whole], starts[1 : whole + 1]):
+                found = call({c: v[a:b] for c, v in columns.items()})
+                if len(found[kinds[0][0]]):
+                    out.append(found)
+                    count += len(found[kinds[0][0]])
+                if count >= 20_000:
+                    yield emit()
+                    out, count = [], 0
+            held = None if batch is None else table.slice(int(starts[-2])).combine_chunks()
+        if out:
+            yield emit()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
