@@ -35,6 +35,14 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """name, or with more underscores before it, so that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Narrow rows (a few numbers) that a task of a scratch table handles.
 NARROW = 1_000_000
 

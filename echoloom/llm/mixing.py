@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, free, table
 from .quality import split_words
 
 #: Documents or residuals folded by one call. A source's documents are dealt to FAN classes of size and FAN buckets of each.
@@ -134,13 +134,12 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST)
 
     Rows that repeat a doc_id get the copies decided for that id, in any order among them.
     """
-    decided = mix(docs, weights, most).groupBy("doc_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    decided = decided.withColumnRenamed("doc_id", "_id")
+    copies, key, row, times, copy = (free(n, docs) for n in ("copies", "copied_id", "row", "times", "copy"))
+    decided = mix(docs, weights, most).groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(copies))
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(decided, docs["doc_id"].eqNullSafe(decided["_id"])).withColumn("_row", F.row_number().over(order))
-    times = F.coalesce(F.get("_copies", F.col("_row") - 1), F.lit(0)).cast("int")
-    rows = rows.withColumn("_times", times).filter("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    rows = docs.join(decided, docs["doc_id"].eqNullSafe(decided[key])).withColumn(row, F.row_number().over(order))
+    rows = rows.withColumn(times, F.coalesce(F.get(copies, F.col(row) - 1), F.lit(0)).cast("int")).filter(F.col(times) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

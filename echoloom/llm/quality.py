@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, table
+from .common import SPACES, Scratch, free, table
 
 SYMBOLS = "#*$%&|<>"
 #: Words of a window that counts as repeated.
@@ -35,6 +35,10 @@ RULES = {
 }
 
 
+#: Columns that this module adds.
+OWN = frozenset("n_words word_chars n_symbols n_dup_lines n_repeat_words n_capitals n_exclamations n_different base_failed votes quality kept _words _hashes _lines _accuracy".split())
+
+
 def split_words(text: Column) -> Column:
     """The runs of a text without ASCII white space; none of null."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5), " "), "")
@@ -67,7 +71,7 @@ def repeated_words(words: Column, hashes: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the other rules look at."""
+    """docs with (in place of columns called so) n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the other rules look at."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("_words", split_words(F.col("text")))
     window = lambda i: F.xxhash64(*(F.get(F.col("_words"), i + k) for k in range(WINDOW)))
@@ -75,8 +79,8 @@ def features(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_hashes", F.when(some, F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("_lines", F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     long = lambda c: c.cast("long")
-    return rows.select(
-        *docs.columns,
+    found = rows.select(
+        *(c for c in docs.columns if c.lower() not in OWN),
         long(F.size("_words")).alias("n_words"),
         long(F.char_length(F.array_join("_words", ""))).alias("word_chars"),
         long(F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
@@ -86,6 +90,7 @@ def features(docs: DataFrame) -> DataFrame:
         long(F.char_length(text) - F.char_length(F.replace(text, F.lit("!"), F.lit("")))).alias("n_exclamations"),
         long(F.size(F.array_distinct("_words"))).alias("n_different"),
     )
+    return found
 
 
 def votes() -> Column:
@@ -135,9 +140,9 @@ def assess(docs: DataFrame, keep: float = KEEP, columns: Sequence[str] | None =
     text has no words and fails. Null doc_ids, repeated rows and further columns stay; an empty table gives no rows.
     columns names those of docs that the result has (by default all). Rows are counted once and written to the shared scratch folder; only pattern counts are shuffled.
     """
-    wanted = list(docs.columns if columns is None else columns)
+    wanted = [c for c in (docs.columns if columns is None else columns) if c.lower() not in OWN]
     rows = features(docs).withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).withColumn("votes", votes())
-    rows = rows.select(*wanted, *(c for c in rows.columns if c not in docs.columns))
+    rows = rows.select(*wanted, *(c for c in rows.columns if c in OWN))
     rows = Scratch(docs.sparkSession).save(rows, "votes", compression="zstd")
     accuracy = fit(rows.groupBy("votes").agg(F.count("*").alias("n")))
     rows = rows.withColumn("_accuracy", accuracy.scalar())
@@ -147,7 +152,9 @@ def assess(docs: DataFrame, keep: float = KEEP, columns: Sequence[str] | None =
 
 def filter_quality(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that are kept, with their own columns alone."""
-    return assess(docs, keep).filter("kept").select(*docs.columns)
+    box = free("document", docs)
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(box))
+    return assess(rows, keep, [box]).filter("kept").select(f"{box}.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

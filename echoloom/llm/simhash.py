@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, partitions, table
+from .common import Scratch, free, map_arrow, partitions, table
 from .graphs import components
 
 #: Words of a shingle, seed of its hash, and differing bits up to which two fingerprints are linked.
@@ -275,7 +275,8 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame
     kept = near_duplicates(docs, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1 OR doc_id IS NULL").drop("_copy")
+    copy = free("copy", docs)
+    return kept.withColumn(copy, F.row_number().over(order)).filter((F.col(copy) == 1) | F.col("doc_id").isNull()).drop(copy)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

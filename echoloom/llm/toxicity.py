@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost, isotonic
-from .common import Scratch, map_arrow, table
+from .common import Scratch, free, map_arrow, table
 
 #: Labelled documents that the model is fitted to at most (those with the smallest hashed ids), folds that hold out parts
 #: of them for calibration, score from which a text counts as toxic.
@@ -183,20 +183,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return Model(lexicons[None], boost(x, y), isotonic(out, y), float(y.mean()))
 
 
-def _score(model: Model, columns: list[str]):
+def _score(model: Model, columns: list[str], text: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t.as_py(), model.lexicon) for t in batch.column("text")]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(model.scores(x))], [*columns, "score"])
+            x = np.array([text_features(t.as_py(), model.lexicon) for t in batch.column(text)]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(model.scores(x))], [*columns, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns of docs and score, from 0 to 1, for every row's whole text. No row is shuffled."""
+def score(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
+    """The named columns of docs and the score, from 0 to 1, of every row's whole text. No row is shuffled."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     rows = docs.select(*dict.fromkeys([*columns, "text"]))
-    return map_arrow(rows, _score(model, columns), f"{schema}, score double")
+    return map_arrow(rows, _score(model, columns, "text", name), f"{schema}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
@@ -212,9 +212,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents that score below `cut`, with all their columns."""
+    """The documents that score below `cut`, with all their columns, whatever they are called."""
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
-    return score(docs, model, docs.columns).filter(F.col("score") < cut).drop("score")
+    name = free("score", docs)
+    return score(docs, model, docs.columns, name).filter(F.col(name) < cut).drop(name)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
