@@ -60,13 +60,14 @@ def scenario_metrics(scenarios: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def grouped_errors(metrics: DataFrame) -> DataFrame:
     """Errors of all scenarios and of each case, in one pass over grouping sets; group_id 1 is the total."""
-    metrics.createOrReplaceTempView("_echoloom_metrics")
-    share = lambda c: f"avg(cast({c} as double))"
-    return metrics.sparkSession.sql(f"""
-        SELECT CASE WHEN grouping_id() = 1 THEN 'global' ELSE case_type END AS `group`, CAST(grouping_id() AS INT) AS group_id, count(*) AS n_scenarios,
-               avg(signed_error) AS bias_mean, avg(absolute_error) AS mae, sqrt(avg(squared_error)) AS rmse,
-               {share("exact_match")} AS exact_rate, {share("undercount")} AS undercount_rate, {share("overcount")} AS overcount_rate
-        FROM _echoloom_metrics GROUP BY GROUPING SETS ((), (case_type))""")
+    share = lambda c: F.avg(F.col(c).cast("double")).alias(f"{c.removesuffix('_match')}_rate")
+    case = F.col("case_type")
+    found = metrics.groupingSets([[], [case]], case).agg(
+        F.grouping_id().cast("int").alias("group_id"), F.count("*").alias("n_scenarios"), F.avg("signed_error").alias("bias_mean"), F.avg("absolute_error").alias("mae"), F.sqrt(F.avg("squared_error")).alias("rmse"),
+        share("exact_match"), share("undercount"), share("overcount"),
+    )
+    name = F.when(F.col("group_id") == 1, "global").otherwise(case).alias("group")
+    return found.select(name, "group_id", "n_scenarios", "bias_mean", "mae", "rmse", "exact_rate", "undercount_rate", "overcount_rate")
 
 
 def bootstrap_interval(values: np.ndarray, statistic: Callable = np.mean, seed: int = SEED, samples: int = SAMPLES, alpha: float = ALPHA) -> tuple[float, float]:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +13,7 @@ from ..operators import preprocess as pre
 from ..operators.ranges import points_in_intervals
 from ..operators.species import LATIN_RULES, label, label_sql, posterior, predict
 from ..schema import MixtureConfig, PreprocessConfig
+from ..scratch import scratch_folder as scratch
 from .events_view import ECHO, GAP, detections, with_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,13 +526,3 @@ def stream_passages(spark, sf_dir):
 
 
 ORACLE_SQL["stream_passages"] = _SESSIONS
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder of its own where the session's checkpoints go, or a temporary one on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = tempfile.mkdtemp(prefix="echoloom-")
-    return os.path.join(root, f"echoloom-{uuid.uuid4().hex}")
