@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..operators import activity, counting, density, eda, generate, simulator, validation
 from ..operators import preprocess as pre
-from ..operators.ranges import points_in_intervals
-from ..operators.species import LATIN_RULES, label, label_sql, posterior, predict
+from ..operators.ranges import overlaps, points_in_intervals
+from ..operators.species import BANDS, COMMON_RULES, LATIN_RULES, band, label, label_sql, posterior, predict
 from ..schema import MixtureConfig, PreprocessConfig
 from ..scratch import scratch_folder as scratch
 from .events_view import ECHO, GAP, detections, with_steps
@@ -197,12 +197,7 @@ def top_sequences(spark, sf_dir):
     return eda.top_sequences(passaged(spark, sf_dir)).drop("recording_id")
 
 
-_IMPORTS = (
-    (36.0, 39.0, "Pipistrelle de Kuhl"), (42.0, 50.0, "Pipistrelle commune"), (52.0, 58.0, "Pipistrelle pygmee"), (24.0, 30.0, "Serotine commune"), (18.0, 26.0, "Noctule"), (10.0, 16.0, "Molosse de Cestoni"),
-)
-
-
-@query("clip_summary", with_steps(f"""SELECT passage_id, first_ms, last_ms, fme_median_khz, round(fme_std_khz, 6) AS fme_std_khz, ici_median_ms, snr_median_db, n_detections, {label_sql('fme_median_khz', _IMPORTS, None)} AS species FROM (
+@query("clip_summary", with_steps(f"""SELECT passage_id, first_ms, last_ms, fme_median_khz, round(fme_std_khz, 6) AS fme_std_khz, ici_median_ms, snr_median_db, n_detections, {label_sql('fme_median_khz', COMMON_RULES, None)} AS species FROM (
     SELECT passage_id, min(time_ms) AS first_ms, max(time_ms) AS last_ms, median(fme_khz) AS fme_median_khz, coalesce(stddev_samp(fme_khz), 0) AS fme_std_khz, coalesce(median(ici), 0.0) AS ici_median_ms, median(snr_db) AS snr_median_db, count(*) AS n_detections
     FROM (SELECT *, time_ms - lag(time_ms) OVER (PARTITION BY passage_id ORDER BY time_ms, line_no) AS ici FROM ses) GROUP BY passage_id)""", "ses"))
 def clip_summary(spark, sf_dir):
@@ -408,6 +403,90 @@ def clip_edits(spark, sf_dir):
     return simulator.add_clips(edited, simulator.duplicates(edited, pick("event_id % 11 = 0"))).select("clip_id", "start_ms")
 
 
+@query("band_lookup", with_steps(f"SELECT line_no, {label_sql('fme_khz', BANDS).replace(repr('Indetermine'), repr('track-low'))} AS band, {label_sql('fme_khz', COMMON_RULES, None)} AS common_name FROM clean"))
+def band_lookup(spark, sf_dir):
+    x = F.col("fme_khz")
+    return cleaned(spark, sf_dir).select("line_no", band(x).alias("band"), label(x, COMMON_RULES, None).alias("common_name"))
+
+
+@query("species_dimension", f"""SELECT event_id, coalesce(common_name, 'Pipistrelle de Kuhl') AS common_name FROM events LEFT JOIN (VALUES {', '.join(f"('{t[0]}', '{t[1]}')" for t in simulator.TEMPLATES)}) s(id, common_name)
+    ON s.id = CASE event_type WHEN 'click' THEN 'pip-common' WHEN 'view' THEN 'pip-pygmy' WHEN 'error' THEN 'serotine' ELSE 'other' END""")
+def species_dimension(spark, sf_dir):
+    """Species by id, the first template for an unknown one. The templates are a table of six rows."""
+    kinds = spark.createDataFrame([(t[0], t[1]) for t in simulator.TEMPLATES], "id string, common_name string")
+    kind = F.when(F.col("event_type") == "click", "pip-common").when(F.col("event_type") == "view", "pip-pygmy").when(F.col("event_type") == "error", "serotine").otherwise("other")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", kind.alias("id"))
+    return events.join(F.broadcast(kinds), "id", "left").select("event_id", F.coalesce("common_name", F.lit(simulator.TEMPLATES[0][1])).alias("common_name"))
+
+
+_STORE = {"st": "SELECT *, row_number() OVER (ORDER BY time_ms, line_no) - 1 AS r FROM ses", "seg": "SELECT passage_id AS segment, min(r) AS row_start, max(r) + 1 AS row_end FROM st GROUP BY passage_id"}
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = kept(spark, sf_dir)
+    order = Window.partitionBy("recording_id").orderBy("time_ms", "line_no")
+    store = rows.withColumn("row_idx", F.row_number().over(order) - 1).withColumn("store_id", F.lit("s")).withColumn("bin_khz", F.lit(0.390625)).drop("fme_khz", "fi_khz", "ft_khz")
+    clips = simulator.import_as_clips(eda.clip_summary(pre.sessionize(rows, GAP)), pre.segments(rows, GAP), "s")
+    return clips, store
+
+
+@query("imported_detections", with_steps("SELECT line, time_ms + CASE WHEN segment % 2 = 0 THEN 500 ELSE 0 END AS time_ms, pos_fme, fme_khz, source_clip_id FROM (SELECT r - row_start AS line, time_ms, pos_fme, fme_khz, segment, concat('s-', segment) AS source_clip_id FROM st JOIN seg ON r >= row_start AND r < row_end)", "ses", _STORE))
+def imported_detections(spark, sf_dir):
+    """Rows of imported clips, every second clip moved by 500."""
+    clips, store = _imported(spark, sf_dir)
+    even = F.split("clip_id", "-")[1].cast("long") % 2 == 0
+    moved = clips.withColumn("start_ms", F.when(even, F.col("start_ms") + 500).otherwise(F.col("start_ms")))
+    return simulator.imported_detections(moved, store, clamp=True).select(F.element_at(F.split("detection_id", "-"), -1).cast("long").alias("line"), "time_ms", "pos_fme", "fme_khz", "source_clip_id")
+
+
+@query("visible_clips", with_steps("SELECT concat('s-', passage_id) AS clip_id, count(*) AS n FROM ses GROUP BY passage_id HAVING max(time_ms) >= 1000000 AND min(time_ms) <= 1200000", "ses"))
+def visible_clips(spark, sf_dir):
+    return simulator.visible(_imported(spark, sf_dir)[0], 1_000_000, 1_200_000).select("clip_id", (F.col("row_end") - F.col("row_start")).cast("long").alias("n"))
+
+
+@query("id_sets", with_steps("""SELECT species, len(list_distinct(list_concat(a, b))) AS n_union, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS n_except, len(list_filter(a, lambda x: list_contains(b, x))) AS n_both FROM (
+    SELECT passage_species AS species, coalesce(list(DISTINCT CAST(split_part(track_id, '/', 1) AS BIGINT)) FILTER (n_chirps >= 5), []) AS a, coalesce(list(DISTINCT CAST(split_part(track_id, '/', 1) AS BIGINT)) FILTER (start_time_ms % 2 = 0), []) AS b FROM tracks GROUP BY ALL)""", more=_TRACKS))
+def id_sets(spark, sf_dir):
+    """Union, difference and intersection of passages by species: those of five calls or more, and those of even start."""
+    passage = F.split("track_id", "/")[0].cast("long")
+    sets = _tracks(spark, sf_dir).groupBy(F.col("passage_species").alias("species")).agg(F.collect_set(F.when(F.col("n_chirps") >= 5, passage)).alias("a"), F.collect_set(F.when(F.col("start_time_ms") % 2 == 0, passage)).alias("b"))
+    return sets.select("species", F.size(F.array_union("a", "b")).cast("long").alias("n_union"), F.size(F.array_except("a", "b")).cast("long").alias("n_except"), F.size(F.array_intersect("a", "b")).cast("long").alias("n_both"))
+
+
+@query("sensor_lines", with_steps("SELECT line_no, concat_ws(' ', time_ms, pos_fme, pos_fi, pos_ft, duration_windows, snr_db) AS line FROM det", "det"))
+def sensor_lines(spark, sf_dir):
+    from ..sinks.files import ROW
+
+    return detections(spark, sf_dir).select("line_no", F.concat_ws(" ", *ROW).alias("line"))
+
+
+@query("capped_sizes", with_steps("SELECT least(n, 50) AS size, count(*) AS n FROM (SELECT count(*) AS n FROM ses GROUP BY passage_id) GROUP BY 1", "ses"))
+def capped_sizes(spark, sf_dir):
+    return eda.durations(passaged(spark, sf_dir)).groupBy(F.least("n", F.lit(50)).cast("long").alias("size")).agg(F.count("*").alias("n"))
+
+
+@query("echo_distances", with_steps("SELECT least(delta_fme_bins, 20) AS bins, is_echo, count(*) AS n FROM ech WHERE delta_fme_bins IS NOT NULL GROUP BY ALL", "ech"))
+def echo_distances(spark, sf_dir):
+    flagged = pre.preprocess(detections(spark, sf_dir), config()).flagged.filter("delta_fme_bins is not null")
+    return flagged.groupBy(F.least("delta_fme_bins", F.lit(20)).alias("bins"), "is_echo").agg(F.count("*").alias("n"))
+
+
+@query("call_curves", with_steps("SELECT line_no, k, round(ft_khz + (fi_khz - ft_khz) * exp(-3.5 * k / 8), 6) AS khz FROM clean, (SELECT CAST(range AS INT) AS k FROM range(9))"))
+def call_curves(spark, sf_dir):
+    """The frequency along each call, as a chart draws it."""
+    return cleaned(spark, sf_dir).select("line_no", F.posexplode(simulator.call_curve()).alias("k", "khz")).withColumn("khz", F.round("khz", 6))
+
+
+@query("track_overlaps", with_steps("SELECT a.track_id AS a, b.track_id AS b FROM tracks a JOIN tracks b ON a.track_id < b.track_id AND a.start_time_ms <= b.end_time_ms AND a.end_time_ms >= b.start_time_ms", more=_TRACKS))
+def track_overlaps(spark, sf_dir):
+    """Pairs of tracks that overlap in time, by the hours that both touch."""
+    spans = _tracks(spark, sf_dir).select("track_id", F.col("start_time_ms").alias("s"), F.col("end_time_ms").alias("e"))
+    listed = spans.withColumn("hour", F.explode(F.sequence(F.floor(F.col("s") / 3600), F.floor(F.col("e") / 3600))))
+    a, b = listed.alias("a"), listed.alias("b")
+    met = (F.col("a.hour") == F.col("b.hour")) & (F.col("a.track_id") < F.col("b.track_id")) & overlaps(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))
+    return a.join(b, met).select(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b")).distinct()
+
+
 # Models, trackers, generators, files and streams: no SQL says what they do.
 
 
