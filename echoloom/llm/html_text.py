@@ -36,35 +36,63 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+#: How sure a mark of boilerplate is: a name of class or id alone gives way where the element holds the article.
+CLEAR, LIKELY, SURE = range(3)
+#: Share of a page's other text from which an element that only its name marks is the text after all.
+MOST = 2 / 3
+
+
 class Node:
     """An element: its place, its pieces of text in page order (blocks apart), and the sums of its subtree."""
 
-    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "mark", "holds", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, mark: int):
+        self.tag, self.parent, self.mark, self.out = tag, parent, mark, mark == SURE
+        self.holds = False  # an article or main element
         self.children: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in OUTSIDE or (tag == "header" and not inside_article):
-        return True
+        return SURE
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return CLEAR
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", _ATTRIBUTE.sub(" ", attributes)):
-        return True
+        return SURE
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-        return True
+        return SURE
     words = {w.lower() for key in ("class", "id") for w in _TOKEN.findall(found.get(key, ""))}
-    return bool(words & REPLIES) or (tag != "article" and bool(words & NAMES))
+    if words & REPLIES:
+        return SURE
+    return LIKELY if tag != "article" and words & NAMES else CLEAR
+
+
+def _settle(root: Node) -> None:
+    """Which elements are left out, parents before children. One marked by its name alone stays if it holds an article or
+    main element or, on a page without those, most of the text that is not surely boilerplate."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        node.chars = sum(_visible(c) for c in node.children if isinstance(c, str))
+        todo += [c for c in node.children if not isinstance(c, str) and c.mark != SURE]
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.holds |= node.holds or (node.tag in ("article", "main"))
+    whole = max(1, root.chars)
+    for node in order:
+        node.out = (node.parent is not None and node.parent.out) or (node.mark == LIKELY and not node.holds and (root.holds or node.chars < MOST * whole))
+        node.chars = 0
 
 
 def parse(html: str) -> Node:
     """The element tree of a page, lenient as browsers are: end tags may lack, and so may the page's own end."""
-    root = Node("#page", None, False)
+    root = Node("#page", None, CLEAR)
     stack, at, low = [root], 0, html.lower() if "<" in html else ""
     articles = 0
 
@@ -131,7 +159,7 @@ def parse(html: str) -> Node:
                 pop()
         elif stack[-1].tag == "head" and tag not in ("title", "meta", "link", "style", "script", "base", "noscript", "template"):
             pop()
-        node = Node(tag, stack[-1], stack[-1].out or _boilerplate(tag, attributes, articles > 0))
+        node = Node(tag, stack[-1], _boilerplate(tag, attributes, articles > 0))
         stack[-1].children.append(node)
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
@@ -143,6 +171,7 @@ def parse(html: str) -> Node:
             continue
         stack.append(node)
         articles += tag in ("article", "main")
+    _settle(root)
     return root
 
 

@@ -191,25 +191,26 @@ def _join_cells(distance: int, chunk: int):
 def _join_chunks(distance: int):
     """Links inside each pair of chunks; rows come sorted by pair."""
 
+    def links(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        part = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        if (found := _links(part, _near_in_block(part, distance))) is not None:
+            yield found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            ids = list(zip(*(batch.column(c).to_numpy() for c in ("cell", "i", "j"))))
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("cell", "i", "j")]
             fps = batch.column("a").to_numpy().view(np.uint64)
-            start = 0
-            for at in [*(k for k in range(1, len(ids)) if ids[k] != ids[k - 1]), len(ids)]:
-                if key is not None and ids[start] != key and held:
-                    part = np.concatenate(held)
-                    if (found := _links(part, _near_in_block(part, distance))) is not None:
-                        yield found
-                    held = []
-                key = ids[start] if start < len(ids) else key
-                held.append(fps[start:at])
-                start = at
-        if held:
-            part = np.concatenate(held)
-            if (found := _links(part, _near_in_block(part, distance))) is not None:
-                yield found
+            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for start, stop in zip([0, *change.tolist()], [*change.tolist(), len(fps)]):
+                pair = tuple(int(c[start]) for c in columns)
+                if pair != key:
+                    yield from links(held)
+                    key, held = pair, []
+                held.append(fps[start:stop])
+        yield from links(held)
 
     return run
 
@@ -262,6 +263,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, chunk: int = CHUN
     linked = members.join(roots, "root").select("fp", "component_id")
     labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     labels = scratch.save(labels, "labels", count)
+    for old in ("cells", "chunks", "distinct", "members", "roots"):
+        scratch.drop(old)
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -173,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     rows = [(r["entry"], r["by_fold"]) for r in entries.collect()]  # bounded by the limit
     lexicons: dict[int | None, Lexicon] = {f: _lexicon(rows, totals, f) for f in [*range(FOLDS), None]}
     found = map_arrow(sample, _features(lexicons), "x array<double>, toxic int, fold int").collect()  # most rows of a few numbers
+    scratch.drop("sample")
     order = sorted(found, key=lambda r: (r["fold"], r["toxic"], list(r["x"])))
     x, y, fold = np.array([r["x"] for r in order]), np.array([r["toxic"] for r in order], float), np.array([r["fold"] for r in order])
     out = np.zeros(len(y))

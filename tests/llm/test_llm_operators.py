@@ -526,6 +526,7 @@ PAGE = """<html class="has-sidebar"><head><title>T</title><style>p{}</style></he
     [
         "<article><h1>Head &amp; line</h1><p>First  <b>bold</b>ly said\n text, long enough to count.<p>Second &lt;one&gt; with <a href=4>a link</a> inside<br>and more words.<!-- gone --></article>",
         "<main><div><h1>Head &amp; line</h1></div><div class='content'><p>First <b>bold</b>ly said text, long enough to count.</p><p>Second &lt;one&gt; with <a href=4>a link</a> inside<br/>and more words.</p></div></main>",
+        "<div class='page with-sidebar'><article class='post share-card'><h1>Head &amp; line</h1><p>First <b>bold</b>ly said text, long enough to count.</p><div class='share'>Tell a friend</div><p>Second &lt;one&gt; with <a href=4>a link</a> inside and more words.</p></article></div>",
         "<div class='wrap'><div class='post'><h1>Head &amp; line</h1><div>First <b>bold</b>ly said text, long enough to count.</div><div>Second &lt;one&gt; with <a href=4>a link</a> inside and more words.</div></div></div>",
     ],
 )
