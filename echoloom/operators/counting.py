@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import padded_id
 from ..schema import MixtureConfig, SplitConfig, TrackingConfig
+from ..scratch import stored
 from .density import fit
 from .grouped import Group, map_groups
 from .preprocess import KEY, TIE, TIME
@@ -153,8 +154,10 @@ class Counted:
     summary: DataFrame
 
 
-def count_individuals(clean: DataFrame, split: SplitConfig = SplitConfig(), tracking: TrackingConfig = TrackingConfig()) -> Counted:
+def count_individuals(clean: DataFrame, split: SplitConfig = SplitConfig(), tracking: TrackingConfig = TrackingConfig(), keep: bool = False) -> Counted:
+    """keep stores the calls, so that uses of several of the tables follow the tracks once."""
     calls = track_calls(clean, split, tracking)
+    calls = stored(calls) if keep else calls
     tracks = tracks_of(calls, tracking)
     return Counted(calls, tracks, summary(tracks, clean))
 

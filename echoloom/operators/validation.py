@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import parse_parameter
+from ..scratch import stored
 from .grouped import Group, map_groups
 from .ranges import points_in_intervals
 
@@ -123,15 +124,16 @@ def bar_groups(summary: DataFrame) -> DataFrame:
 def evaluate(rows: DataFrame, truth: DataFrame, module: str | Callable | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metrics, summary, assignments) of detections against their truth. The tracker never sees the truth."""
     from ..schema import PreprocessConfig
-    from .counting import tracker
+    from .counting import count_individuals, tracker
     from .preprocess import preprocess
 
     scenarios = scenarios_from_truth(truth)
-    counted = tracker(module)(preprocess(rows, PreprocessConfig(strategy="best_snr")).clean)
+    clean = preprocess(rows, PreprocessConfig(strategy="best_snr")).clean
+    counted = count_individuals(clean, keep=True) if module is None else tracker(module)(clean)
     ids = counted.tracks.select("recording_id", "passage_id", "packet", "open_ord", "track_id")
     calls = counted.calls.join(ids, ["recording_id", "passage_id", "packet", "open_ord"])
-    assignments = assign_tracks(counted.tracks, calls, scenarios)
-    metrics = scenario_metrics(scenarios, assignments)
+    assignments = stored(assign_tracks(counted.tracks, calls, scenarios))  # a row a track, used by three tables
+    metrics = stored(scenario_metrics(scenarios, assignments))
     return metrics, summarize(metrics, seed), assignments
 
 
