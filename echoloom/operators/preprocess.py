@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import bins_to_khz
 from ..schema import PreprocessConfig
+from ..scratch import stored
 
 KEY, TIME, TIE = "recording_id", "time_ms", "line_no"
 
@@ -35,8 +36,9 @@ class Timeline:
     """Order-dependent columns of recordings: by time, then line.
 
     A recording is ordered in one task. With bucket_ms it is cut into buckets of time: what lies before a bucket comes
-    from a table of one row for each bucket that has rows, so that a recording of any length is spread over tasks, and
-    its rows are shuffled once.
+    from a table of one row for each bucket that has rows, so that a recording of any length is spread over tasks. Each
+    step then stores the rows it gets, once, and reads the few columns of that table from there: the plan of a step does
+    not hold those of all steps before it twice over.
     """
 
     def __init__(self, bucket_ms: int | None = None):
@@ -45,7 +47,7 @@ class Timeline:
     def _parts(self, rows: DataFrame) -> tuple[DataFrame, list[str]]:
         if self.bucket_ms is None:
             return rows, [KEY]
-        return rows.withColumn("_bucket", F.floor(F.col(TIME) / self.bucket_ms)), [KEY, "_bucket"]
+        return stored(rows.withColumn("_bucket", F.floor(F.col(TIME) / self.bucket_ms))), [KEY, "_bucket"]
 
     def previous(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         """Add prev_<column> of the row before; null on the first row of a recording."""
@@ -88,6 +90,14 @@ def add_delta_bins(rows: DataFrame, bucket_ms: int | None = None) -> DataFrame:
     return rows.withColumn("delta_fme_bins", F.abs(F.col("pos_fme") - F.col("prev_pos_fme"))).drop("prev_pos_fme")
 
 
+def mark_gaps(rows: DataFrame, gap_ms: float, bucket_ms: int | None = None) -> DataFrame:
+    """sessionize() and add_delta_bins() with one look at the row before."""
+    line = Timeline(bucket_ms)
+    rows = line.previous(rows, [TIME, "pos_fme"])
+    rows = rows.withColumns({"gap_ms": F.col(TIME) - F.col(f"prev_{TIME}"), "delta_fme_bins": F.abs(F.col("pos_fme") - F.col("prev_pos_fme"))}).drop(f"prev_{TIME}", "prev_pos_fme")
+    return line.running_count(rows, F.col("gap_ms").isNull() | (F.col("gap_ms") >= gap_ms), "passage_id")
+
+
 def flag_echoes(rows: DataFrame, config: PreprocessConfig) -> DataFrame:
     """Add is_echo. A row is linked to the one before when near in time and frequency.
 
@@ -113,9 +123,10 @@ class Preprocessed:
 
 
 def preprocess(rows: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> Preprocessed:
-    """Clean detections. Nothing runs until a table is used."""
+    """Clean detections. Nothing runs until a table is used, but for the stored steps of a recording cut into buckets."""
     kept = drop_artefacts(add_khz(rows, config.bin_khz))
-    flagged = flag_echoes(add_delta_bins(sessionize(kept, config.passage_gap_ms, bucket_ms=config.bucket_ms), config.bucket_ms), config)
+    flagged = flag_echoes(mark_gaps(kept, config.passage_gap_ms, config.bucket_ms), config)
+    flagged = stored(flagged) if config.bucket_ms else flagged
     no_echo = sessionize(flagged.filter(~F.col("is_echo")), config.passage_gap_ms, "gap_ms2", "passage_id2", config.bucket_ms)
     clean = no_echo.filter(F.col("fme_khz") > config.fme_min_khz)
     if config.min_passage_chirps > 1:
