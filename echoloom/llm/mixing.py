@@ -132,14 +132,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFr
 def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
     """The documents of the mix: each as often as its copies say, with all its columns; those with none are left out.
 
-    Rows that repeat a doc_id get the copies decided for that id, in any order among them.
+    Rows that repeat a doc_id (or, without one, a text) share the copies decided for them as evenly as whole numbers
+    allow. Decisions are joined and rows numbered in the same dealing by that key, so a text is shuffled once.
     """
-    copies, key, row, times, copy = (free(n, docs) for n in ("copies", "copied_id", "row", "times", "copy"))
-    decided = mix(docs, weights, most).groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(copies))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(decided, docs["doc_id"].eqNullSafe(decided[key])).withColumn(row, F.row_number().over(order))
-    rows = rows.withColumn(times, F.coalesce(F.get(copies, F.col(row) - 1), F.lit(0)).cast("int")).filter(F.col(times) > 0)
-    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    key, total, rows, row, times, copy = (free(n, docs) for n in ("mix_key", "mix_copies", "mix_rows", "mix_row", "mix_times", "mix_copy"))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    decided = mix(keyed.select(F.col(key).alias("doc_id"), "source", "text"), weights, most)
+    decided = decided.groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias(total), F.count("*").alias(rows))
+    order = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    placed = keyed.join(decided, key).withColumn(row, F.row_number().over(order))
+    share = F.floor(F.col(total) / F.col(rows)) + (F.col(row) <= F.col(total) % F.col(rows)).cast("int")
+    placed = placed.withColumn(times, share.cast("int")).filter(F.col(times) > 0)
+    return placed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

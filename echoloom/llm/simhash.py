@@ -271,15 +271,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, chunk: int = CHUN
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The documents that are the smallest doc_id of their class, with all their columns.
 
-    Of rows that repeat a doc_id one stays; documents without a doc_id stay where their class has no other.
+    Of rows that repeat a doc_id one stays. Documents without a doc_id can't be told apart by the result and all stay.
+    Ids are joined and numbered in the same dealing by doc_id, so a text is shuffled once.
     """
     from pyspark.sql import Window
 
-    kept = near_duplicates(docs, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    copy = free("copy", docs)
-    return kept.withColumn(copy, F.row_number().over(order)).filter((F.col(copy) == 1) | F.col("doc_id").isNull()).drop(copy)
+    classes = near_duplicates(docs, distance)
+    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    order, copy = Window.partitionBy("doc_id").orderBy(F.xxhash64("text")), free("copy", docs)
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+    named = named.withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1).drop(copy)
+    return named.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
