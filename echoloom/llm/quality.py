@@ -18,6 +18,8 @@ from .common import SPACES, Scratch, free, table
 SYMBOLS = "#*$%&|<>"
 #: Words of a window that counts as repeated.
 WINDOW = 5
+#: Words of a span in which different words are counted: their share of a whole text falls with its length.
+SPAN = 4096
 #: Rounds of expectation-maximisation; share of good texts that is assumed; share of its first accuracy that a rule keeps
 #: (texts with one vote alone say nothing about it); highest accuracy; posterior probability from which a text is kept.
 ROUNDS, PRIOR, SHRINK, HIGH, KEEP = 20, 0.5, 0.5, 0.99, 0.5
@@ -33,10 +35,12 @@ RULES = {
     "exclamations": ("false", "n_exclamations > 0.3 * n_words", 0.9),
     "vocabulary": ("false", "n_words >= 50 and n_different < 0.2 * n_words", 0.95),
 }
+#: Rules on the share of different words; votes() gives them n_spread for n_different, the same in a text of up to SPAN words.
+SHARES = frozenset(["prose", "vocabulary"])
 
 
 #: Columns that this module adds.
-OWN = frozenset("n_words word_chars n_symbols n_dup_lines n_repeat_words n_capitals n_exclamations n_different base_failed votes quality kept _words _hashes _lines _accuracy".split())
+OWN = frozenset("n_words word_chars n_symbols n_dup_lines n_repeat_words n_capitals n_exclamations n_different n_spread base_failed votes quality kept _words _hashes _lines _accuracy".split())
 
 
 def split_words(text: Column) -> Column:
@@ -70,6 +74,13 @@ def repeated_words(words: Column, hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(_covered(_bind(ordered, places)))
 
 
+def spread(words: Column) -> Column:
+    """Different words of each span of SPAN words, summed over the whole text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(SPAN))
+    spans = F.aggregate(starts, F.lit(0), lambda s, i: s + F.size(F.array_distinct(F.slice(words, i, SPAN))))
+    return F.when(F.size(words) > SPAN, spans).otherwise(F.size(F.array_distinct(words)))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """docs with (in place of columns called so) n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the other rules look at."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -89,14 +100,15 @@ def features(docs: DataFrame) -> DataFrame:
         long(F.char_length(F.regexp_replace(text, r"\P{Lu}+", ""))).alias("n_capitals"),
         long(F.char_length(text) - F.char_length(F.replace(text, F.lit("!"), F.lit("")))).alias("n_exclamations"),
         long(F.size(F.array_distinct("_words"))).alias("n_different"),
+        long(spread(F.col("_words"))).alias("n_spread"),
     )
     return found
 
 
 def votes() -> Column:
     """A vote for each rule, in order; all abstain on a text without words."""
-    cases = (f"case when n_words = 0 then 0 when {good} then 1 when {bad} then -1 else 0 end" for good, bad, _ in RULES.values())
-    return F.array(*map(F.expr, cases))
+    cases = ((name, f"case when n_words = 0 then 0 when {good} then 1 when {bad} then -1 else 0 end") for name, (good, bad, _) in RULES.items())
+    return F.array(*(F.expr(case.replace("n_different", "n_spread") if name in SHARES else case) for name, case in cases))
 
 
 def _log_odds(accuracy: Column, given: Column) -> Column:

@@ -260,6 +260,19 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert able[able.quality == 1].kept.mean() > 0.98 and found[found.quality == 0].kept.mean() < 0.1
 
 
+def test_quality_does_not_fall_with_length(spark, sf):
+    """A clean text of 400,000 words votes as its first 4,000 do and is kept; few words over and over are still bad."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"word{i}" for i in range(30_000)])
+    drawn = words[np.minimum((30_001 ** rng.random(400_000)).astype(int) - 1, 29_999)]
+    assert len(set(drawn)) < 0.2 * len(drawn) and len(set(drawn[:4000])) > 0.3 * 4000
+    texts = {-1: drawn, -2: drawn[:4000], -3: words[rng.integers(0, 300, 400_000)]}
+    own = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    found = quality.assess(own.unionByName(table(spark, sf, "documents").select("doc_id", "text")), columns=["doc_id"]).filter("doc_id < 0").toPandas().set_index("doc_id")
+    assert list(found.votes[-1]) == list(found.votes[-2]) and found.kept[-1] and found.kept[-2] and not found.kept[-3]
+    assert found.n_different[-1] == len(set(drawn)) and found.n_spread[-1] == sum(len(set(drawn[i : i + quality.SPAN])) for i in range(0, len(drawn), quality.SPAN))
+
+
 def test_quality_of_odd_rows(spark):
     found = quality.assess(odd_documents(spark)).toPandas()
     assert len(found) == 11 and not found[found.n_words < 10].kept.any() and found[found.doc_id == 6].n_words.tolist() == [120_000]
