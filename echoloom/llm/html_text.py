@@ -15,7 +15,7 @@ from .common import map_arrow, table
 #: Elements without content, elements whose content is no markup, and elements that never hold an article's text.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
-OUTSIDE = frozenset("head script style textarea title noscript iframe noembed noframes template svg math object canvas audio video map nav footer aside form fieldset button select datalist menu dialog".split())
+OUTSIDE = frozenset("head script style textarea title noscript iframe noembed noframes template svg math object canvas audio video map nav footer aside fieldset button select datalist menu dialog".split())
 #: Elements inside a line; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Start tags that end an open element, up to the elements that bound the search.
@@ -25,10 +25,14 @@ CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote center
 }
 BOUNDS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])} | {t: frozenset(["table"]) for t in ("tr", "td", "th", "tbody", "tfoot")}
 ANY_BOUND = frozenset("table td th button object div section article aside nav main header footer body html ul ol dl form".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 #: Words of class and id attributes that name what is no article text; the second list holds for article elements too.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser widget toolbar pagination pager copyright search skip".split())
 REPLIES = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+#: Elements whose class and id say nothing: ids of headings are made from their text.
+UNNAMED = frozenset("html body main p h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words that make a class a statement about an element ("has-comments", "with-sidebar"), not the name of one.
+STATES = frozenset("has no not with without is hide show open closed enabled disabled".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""(?:[^>"']+|"[^"]*"|'[^']*')*+>""")
@@ -36,8 +40,11 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-#: How sure a mark of boilerplate is: a name of class or id alone gives way where the element holds the article.
-CLEAR, LIKELY, SURE = range(3)
+#: How sure a mark of boilerplate is: a form or a name of class or id alone (REPLY: one of replies) gives way where the
+#: element holds the article or text that reads like one.
+CLEAR, LIKELY, REPLY, SURE = range(4)
+#: Text that reads like an article: visible characters at least, and the shares that blocks of LONG ones have at least and links at most.
+ENOUGH, LONG, PROSE, LINKED = 200, 80, 2 / 3, 0.2
 #: Share of a page's other text from which an element that only its name marks is the text after all.
 MOST = 2 / 3
 
@@ -45,11 +52,13 @@ MOST = 2 / 3
 class Node:
     """An element: its place, its pieces of text in page order (blocks apart), and the sums of its subtree."""
 
-    __slots__ = ("tag", "parent", "children", "mark", "holds", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "mark", "holds", "out", "own", "sums", "clear", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, mark: int):
         self.tag, self.parent, self.mark, self.out = tag, parent, mark, mark == SURE
-        self.holds = False  # an article or main element
+        self.holds = 0  # article and main elements
+        self.own = 0  # characters of its own block
+        self.sums, self.clear = [0, 0, 0], [0, 0, 0]  # of _settle: characters, those in long blocks, those of links; and without replies inside
         self.children: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -58,36 +67,73 @@ class Node:
 def _boilerplate(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in OUTSIDE or (tag == "header" and not inside_article):
         return SURE
-    if not attributes or tag in ("html", "body", "main"):
-        return CLEAR
+    least = LIKELY if tag == "form" else CLEAR
+    if not attributes:
+        return least
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", _ATTRIBUTE.sub(" ", attributes)):
+    role = found.get("role", "").lower()
+    if tag in ("html", "body", "main"):
+        return CLEAR
+    if role in ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", _ATTRIBUTE.sub(" ", attributes)):
         return SURE
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return SURE
-    words = {w.lower() for key in ("class", "id") for w in _TOKEN.findall(found.get(key, ""))}
+    least = LIKELY if role == "form" else least
+    if tag in UNNAMED:
+        return least
+    names = [{w.lower() for w in _TOKEN.findall(name)} for key in ("class", "id") for name in found.get(key, "").split()]
+    words = set().union(*(name for name in names if not name & STATES))
     if words & REPLIES:
-        return SURE
-    return LIKELY if tag != "article" and words & NAMES else CLEAR
+        return REPLY
+    return LIKELY if tag != "article" and words & NAMES else least
+
+
+def _reads_like_article(chars: int, long: int, linked: int) -> bool:
+    return chars >= ENOUGH and long >= PROSE * chars and linked <= LINKED * chars
 
 
 def _settle(root: Node) -> None:
-    """Which elements are left out, parents before children. One marked by its name alone stays if it holds an article or
-    main element or, on a page without those, most of the text that is not surely boilerplate."""
+    """Which elements are left out, parents before children.
+
+    One marked by its name alone, or a form, stays if it holds an article or main element, or if its text reads like an
+    article's or is most of the text around it: that of the article or main element that it is in or, on a page without
+    those, of the page; beside an article only the first counts. Of an element named after replies only the text outside
+    of further such elements counts, as a list of replies has one for each; articles in it are taken for replies.
+    """
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        node.chars = sum(_visible(c) for c in node.children if isinstance(c, str))
+        n = sum(_visible(c) for c in node.children if isinstance(c, str))
+        node.own, node.sums, node.clear = n, [n, 0, 0], [n, 0, 0]
         todo += [c for c in node.children if not isinstance(c, str) and c.mark != SURE]
     for node in reversed(order):
-        if node.parent is not None:
-            node.parent.chars += node.chars
-            node.parent.holds |= node.holds or (node.tag in ("article", "main"))
-    whole = max(1, root.chars)
+        if node.tag not in INLINE:
+            long = node.own if node.own >= LONG else 0
+            node.sums[1] += long
+            node.clear[1] += long
+        if node.tag == "a":
+            node.sums[2], node.clear[2] = node.sums[0], node.clear[0]
+        up = node.parent
+        if up is not None:
+            up.own += node.own if node.tag in INLINE else 0
+            up.sums = [a + b for a, b in zip(up.sums, node.sums)]
+            if node.mark != REPLY:
+                up.clear = [a + b for a, b in zip(up.clear, node.clear)]
+                up.holds += node.holds + (node.tag in ("article", "main"))
+    around: dict[int, Node | None] = {}  # the article or main element that each is in
     for node in order:
-        node.out = (node.parent is not None and node.parent.out) or (node.mark == LIKELY and not node.holds and (root.holds or node.chars < MOST * whole))
-        node.chars = 0
+        up = node.parent
+        if up is None:
+            around[id(node)] = None if root.holds else root
+            continue
+        node.out = up.out
+        around[id(node)] = node if node.tag in ("article", "main") and node.mark == CLEAR and not up.out else around[id(up)]
+        if node.out or node.mark == CLEAR or (node.holds and (node.mark == LIKELY or node.holds == 1 and not root.holds)):
+            continue
+        base, sums = around[id(node)], node.clear if node.mark == REPLY else node.sums
+        most = base is not None and sums[0] >= MOST * max(1, base.sums[0] - node.sums[0] + sums[0])
+        node.out = not (most or (base is not None and _reads_like_article(*sums)))
 
 
 def parse(html: str) -> Node:

@@ -547,6 +547,31 @@ def test_html_pages_of_other_shapes(body):
     assert html_text.main_text(PAGE % body) == "Head & line First boldly said text, long enough to count. Second <one> with a link inside and more words."
 
 
+PROSE = "Words of a section that say in some detail what was done and found, and how it is to be understood by those who read it. " * 3
+REPLY_LIST = "<ol class='comment-list'>" + f"<li class='comment'><p>{PROSE}</p></li>" * 4 + "</ol>"
+
+
+@pytest.mark.parametrize(
+    "body, there, gone",
+    [
+        (f"<article><p>First {PROSE}</p><section id='discussion'><h2>Talk</h2><p>Second {PROSE}</p></section></article>", ["First", "Talk", "Second"], []),
+        (f"<div><p>First {PROSE}</p><section id='discussion'><h2>Talk</h2><p>Second {PROSE}</p></section></div>", ["First", "Talk", "Second"], []),
+        (f"<article class='post has-comments'><p>First {PROSE}</p><div id='comments'>{REPLY_LIST.replace('Words', 'Replied')}</div></article>", ["First"], ["Replied"]),
+        (f"<article class='post comments'><p>First {PROSE}</p></article>", ["First"], []),
+        (f"<div class='post no-comments'><p>First {PROSE}</p></div>", ["First"], []),
+        (f"<main><div class='post comments-2'><p>First {PROSE}</p></div></main>", ["First"], []),
+        (f"<article><p>First {PROSE}</p><h2 id='related-work'>Others</h2><p id='share-of-words'>Second {PROSE}</p><section id='search-methods'><p>Third {PROSE}</p></section><div class='related'><a href=1>Another piece</a></div></article>", ["First", "Others", "Second", "Third"], ["Another"]),
+        (f"<form id='aspnetForm' action='./'><div id='menu'><a href=1>One</a></div><div class='text'><h1>Title</h1><p>First {PROSE}</p><p>Second {PROSE}</p></div></form>", ["Title", "First", "Second"], ["One"]),
+        (f"<form role='form'><article><p>First {PROSE}</p><form class='search'>Find it <input></form></article></form>", ["First"], []),
+        (f"<article><p>First {PROSE}</p><form><p>Your name</p><input></form></article>", ["First"], ["Your name"]),
+        (f"<main><p>First {PROSE}</p></main><div class='sidebar'><p>Beside {PROSE}</p></div>", ["First"], ["Beside"]),
+    ],
+)
+def test_html_names_give_way_to_text(body, there, gone):
+    text = html_text.main_text(f"<html><body>{body}</body></html>")
+    assert all(w in text for w in there) and not any(w in text for w in gone)
+
+
 def test_odd_html(spark):
     for html, text in ((None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a b"), ("<p>cut in <a href='x", "cut in"), ("<p>a &lt b</p>", "a < b"), ("<p>x<script>never ends", "x"), ("1 < 2 and <3", "1 < 2 and <3"), ("<div>" * 3000 + "deep" + "</div>" * 10, "deep")):
         assert html_text.main_text(html) == text
