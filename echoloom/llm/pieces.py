@@ -1,12 +1,11 @@
-"""Whole-text tokenization with the ids of the `tokenizers` library, at several times its speed.
-
-The vocabulary and its merge order come from the tokenizer's own JSON file. Its ids are in merge order, so the rank-based
-merge loop of `tiktoken` finds the same ids; tests hold them against `tokenizers` itself.
-
-Byte vocabulary: a text is encoded at once. Word vocabulary: white space only separates words, so the ids of a text are
-those of its words one after another; each distinct word is encoded once and kept. A text of Latin letters, digits and
-ASCII punctuation is cut into the vocabulary's own pre-tokens (lower-casing makes many of them equal), another at its
-white space. Words of other characters go to `tokenizers`, and so does any text with unusual white space.
+"""Whole-text tokenization by the `tokenizers` library, each distinct piece of a text encoded once.
+
+Every id comes from that library, with its default settings. Neither vocabulary merges across the borders of its
+pre-tokens, so a text may be cut at some of these borders and the ids of its pieces joined; a piece that came before is
+not encoded again. Cuts are made only where they are certain: a text with unusual white space or control characters, or
+one that may hold a special token's string, is handed to the library whole. A text of Latin letters, digits and ASCII
+punctuation is cut into the vocabulary's own pre-tokens, another at its white space, which only separates words in the
+word vocabulary and belongs to the word after it in the other.
 """
 
 from __future__ import annotations
@@ -25,22 +24,21 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # an executor's cores
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian unsigned 32-bit integers")
 
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space and controls that the vocabularies' patterns and Python class differently, or that no cut is made at.
+_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 #: The pre-tokens of the word vocabulary, for texts of these characters only: its own pattern says no more about them.
 _USUAL = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-_UNUSUAL = re.compile(rf"[^{_USUAL}!-~ \t\n\r\f\v]")
+_UNUSUAL = re.compile(rf"[^{_USUAL}!-~ \t\n\r]")
 _PRE_TOKENS = re.compile(rf"[{_USUAL}]+|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{{-~]+|[0-9]")
-#: Distinct words in a generation of the cache (two are kept) and the longest word that is kept.
+#: The same for the byte vocabulary, whose pattern also takes white space.
+_BYTE_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_USUAL}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+#: For other texts: the last of several spaces belongs to the word after them, a single line break stands alone, and
+#: other white space before a word is cut in ways that need the word.
+_RUNS = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?= [^ \t\n\r])|\n(?=[^ \t\n\r])|[ \t\n\r]+[^ \t\n\r]+|[ \t\n\r]+")
+#: Distinct pieces in a generation of the cache (two are kept) and the longest piece that is kept.
 CACHE, LONGEST = 300_000, 200
-#: The mark of a word's end in the vocabulary, and the byte that stands for it in the merge loop (never in UTF-8).
-WORD_END, END_BYTE = "</w>", b"\xff"
-
-
-def _byte_of_character() -> dict[str, int]:
-    """The printable stand-ins that byte-level vocabularies use for bytes."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+#: What all special tokens' strings begin with.
+SPECIAL = "<|"
 
 
 class _Known(dict):
@@ -63,54 +61,45 @@ class _Known(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, those of Tokenizer.encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str):
-        import tiktoken
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         special = {t["content"] for t in model["added_tokens"]}
-        self.words = model["model"]["end_of_word_suffix"] == WORD_END
-        byte = _byte_of_character()
-
-        def raw(token: str) -> bytes:
-            end = self.words and token.endswith(WORD_END)
-            return bytes(byte[c] for c in (token[: -len(WORD_END)] if end else token)) + END_BYTE * end
-
-        ranks = {raw(t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        self.merges = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.bytes_of[i] = len(token)
-        one = self.merges._core_bpe.encode_single_piece
-        self.tokens = _Known(lambda p: array("I", one(p.encode() + END_BYTE)).tobytes(), {})
-        self.others = _Known(lambda p: self._slow([p])[0], {})
-
-    def _slow(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [np.array(x, "<u4").tobytes() for x in ids]
-
-    def _by_words(self, text: str) -> bytes:
+        if not all(s.startswith(SPECIAL) for s in special):
+            raise ValueError(f"special tokens are expected to begin with {SPECIAL}")
+        self.words = model["model"]["end_of_word_suffix"] is not None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
+        # byte vocabularies write each byte as one character, special tokens as they are
+        self.bytes_of = np.zeros(self.size, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token.encode()) if token in special else len(token)
+        self.known = _Known(self._library, {})
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text, in order; None where it can't be cut."""
+        if SPECIAL in text or _ODD.search(text):
+            return None
         if _UNUSUAL.search(text):
-            return self._slow([text])[0] if _ODD.search(text) else b"".join(map(self.others.__getitem__, text.split()))
-        return b"".join(map(self.tokens.__getitem__, _PRE_TOKENS.findall(text.lower())))
+            return text.split() if self.words else _RUNS.findall(text)
+        return _PRE_TOKENS.findall(text.lower()) if self.words else _BYTE_PIECES.findall(text)
 
-    def _whole(self, text: str) -> bytes:
-        try:
-            return self.merges.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-        except ValueError:  # the pattern gives up on runs of a million characters
-            return self._slow([text])[0]
+    def _encode(self, text: str) -> bytes:
+        pieces = self._cut(text)
+        return self._library(text) if pieces is None else b"".join(map(self.known.__getitem__, pieces))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each text, null as empty."""
-        texts = [t or "" for t in texts]
-        self.tokens, self.others = self.tokens.renewed(), self.others.renewed()
-        return [self._by_words(t) if self.words else self._whole(t) for t in texts]
+        self.known = self.known.renewed()
+        return [self._encode(t or "") for t in texts]
 
     def ids_and_spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first character, character after the last) of each token; byte vocabularies only.
@@ -119,7 +108,7 @@ class Encoder:
         """
         if self.words:
             raise ValueError("a word vocabulary drops white space and has no exact spans here")
-        ids = np.frombuffer(self._whole(text or ""), "<u4")
+        ids = np.frombuffer(self.ids([text])[0], "<u4")
         ends = np.cumsum(self.bytes_of[ids])
         raw = np.frombuffer((text or "").encode(), np.uint8)
         character = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte

@@ -16,12 +16,12 @@ RULES = ("first", "last", "most")
 
 
 def sections(text: str) -> np.ndarray:
-    """Half-open character spans of a text's lines, each with its line break; an empty text has none."""
+    """Half-open character spans of a text's lines, each with its line break; an empty text is one line of no characters."""
     ends = [i + 1 for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
-    if text and (not ends or ends[-1] < len(text)):
+    if not ends or ends[-1] < len(text):
         ends.append(len(text))
     ends = np.array(ends, np.int64)
-    return np.stack([np.concatenate([[0], ends[:-1]]), ends], 1) if len(ends) else np.zeros((0, 2), np.int64)
+    return np.stack([np.concatenate([[0], ends[:-1]]), ends], 1)
 
 
 def allocate(spans: np.ndarray, first: np.ndarray, last: np.ndarray, rule: str = "first") -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +71,9 @@ def count_section_tokens(docs: DataFrame, tokenizer: str | None = None, rule: st
     """Tokens of each line of every document: doc_id, section, char_start, char_end, n_tokens, n_crossing, doc_tokens.
 
     Each whole document is encoded once and each token counted in one section, by the rule where it crosses a boundary,
-    so a document's sections add up to doc_tokens. No row is shuffled. Null and empty texts have no sections and give
-    no rows; null doc_ids and repeated rows are counted like others; further columns are ignored.
+    so a document's sections add up to doc_tokens. No row is shuffled. A null or empty text is one
+    section of no characters and no tokens; null doc_ids and repeated rows are counted like others; further columns are
+    ignored.
     """
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "coalesce(text, '') as text")
     return map_arrow(rows, _count(tokenizer or byte_vocabulary(), rule), "doc_id long, section long, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long")

@@ -288,18 +288,28 @@ def test_token_output(spark, sf, docs):
 
     found = registry.QUERIES["op5_token_output"](spark, sf).toPandas().sort_values("doc_id")
     plain = Tokenizer.from_file(token_output.word_vocabulary())
-    plain.encode_special_tokens = True
     ids = [np.array(e.ids + [1], "<u4") for e in plain.encode_batch(list(docs.sort_values("doc_id").text), add_special_tokens=False)]
     assert list(found.n_tokens) == [len(i) for i in ids] and list(found.ids_crc32) == [zlib.crc32(i.tobytes()) for i in ids]
     assert list(found.start) == np.cumsum([0, *map(len, ids)])[:-1].tolist()
 
 
+def random_texts(count, seed=4):
+    """Texts of letters of several scripts, odd white space, contractions and special tokens' strings."""
+    import random
+
+    draw = random.Random(seed)
+    wide = [*"abcXYZ 's't'll 012.,!?-\"'\n\n\t\r  éüßſİΣς日本|<>$\x0b\x0c\x1c\x85\xa0\u2003\u3000\u200b", "  ", " \n", "'LL", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "e\u0301", "don't ", "\U0001f600"]
+    narrow = [*"abXY 's.,!0\n \t\réÑ", "  ", "\n\n", "'ll"]
+    return ["".join(draw.choice(letters) for _ in range(draw.randrange(1, 40))) for letters in (wide, narrow) for _ in range(count // 2)]
+
+
 @pytest.mark.parametrize("path", [token_output.word_vocabulary(), packing.byte_vocabulary()])
 def test_ids_equal_the_tokenizers_library(docs, path):
+    """Against the library as it comes, on documents, odd texts, 10,000 random ones and special tokens' strings."""
     from tokenizers import Tokenizer
 
-    plain, texts = Tokenizer.from_file(path), ODD + list(docs.text[:60])
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(path)
+    texts = [*ODD, "a <|endoftext|> b", "<|startoftext|>", "<|endoftext|><|endoftext|>\n", *docs.text[:60], *random_texts(10_000)]
     expected = plain.encode_batch(texts, add_special_tokens=False)
     ours = encoder(path)
     assert ours.ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in expected] and ours.ids([None]) == [b""]
@@ -441,6 +451,7 @@ def brute_sections(text, offsets):
     for line in re.findall(r"[^\n]*\n|[^\n]+$", text):
         spans.append((at, at + len(line)))
         at += len(line)
+    spans = spans or [(0, 0)]
     own = [next(k for k, (a, b) in enumerate(spans) if a <= first < b) for first, _ in offsets]
     cross = [own[i] for i, (first, last) in enumerate(offsets) if last > spans[own[i]][1]]
     return [(k, a, b, own.count(k), cross.count(k), len(offsets)) for k, (a, b) in enumerate(spans)]
@@ -470,7 +481,7 @@ def test_crossing_tokens_go_by_the_rule():
 
 def test_section_tokens_of_odd_rows(spark):
     found = token_counts.count_section_tokens(odd_documents(spark)).toPandas()
-    assert set(found.doc_id.dropna()) == {3, 4, 5, 6, 7, 8} and token_counts.count_section_tokens(empty(spark)).count() == 0
+    assert set(found.doc_id.dropna()) == set(range(1, 9)) and found[found.doc_id == 2].iloc[0, 1:].tolist() == [0] * 6 and len(found[found.doc_id == 1]) == 1 and token_counts.count_section_tokens(empty(spark)).count() == 0
 
 
 # 9
@@ -509,6 +520,22 @@ def test_packed_neighbours_are_alike(spark, sf, docs):
     assert np.mean([a == b for a, b in zip(order, order[1:])]) > chance + 0.08
 
 
+def test_rows_of_one_id_are_spread(spark):
+    """A third of a table may repeat one doc_id, or one whole row: no task gets them all, and results stay whole."""
+    rows = spark.createDataFrame([(7, "the same text in every row")] * 1500 + [(None, f"text {i} of many") for i in range(1500)] + [(i, f"own {i}") for i in range(100)], "doc_id long, text string").repartition(8)
+    kept = Scratch(spark).save(rows, "rows")
+    path = Scratch(spark).path("tokens")
+    token_output.write_token_table(kept, path)
+    most = spark.read.parquet(path).groupBy("part").count().agg(F.max("count")).first()[0]
+    found = token_output.digest_token_table(spark, path).toPandas().sort_values("start")
+    assert most < 1000 and len(found) == 3100 and found.start.tolist() == np.cumsum([0, *found.n_tokens])[:-1].tolist()
+    assert found.doc_id.isna()[:1500].all() and found.doc_id.dropna().is_monotonic_increasing
+    packed = packing.encode_along_curve(kept, Scratch(spark)).toPandas().sort_values("at")
+    assert len(packed) == 3100 and packed["at"].tolist() == np.cumsum([0, *packed.doc_tokens])[:-1].tolist()
+    slots = sharding.shard_documents(kept).toPandas()
+    assert len(slots) == 3100 and all(sorted(g.slot) == list(range(len(g))) for _, g in slots.groupby("shard"))
+
+
 def test_packing_of_odd_rows(spark):
     found = packing.pack(odd_documents(spark)).toPandas()
     assert found.length.sum() == found.drop_duplicates(["doc_id", "sequence_id", "offset"]).length.sum() and found[found.doc_id == 1].length.tolist() == [1]
