@@ -35,6 +35,17 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def in_ranges(rows: DataFrame, count: int, *keys: str) -> DataFrame:
+    """rows dealt to count tasks by ranges of (keys, hash of text, place in the input) and sorted so in each.
+
+    The hash parts rows that share their keys, however many, and the place parts rows that are alike in all: those can
+    be exchanged, so results don't depend on their places. rows have the columns keys and text.
+    """
+    rows = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_place", F.xxhash64(F.monotonically_increasing_id()))
+    order = [*keys, "_hash", "_place"]
+    return rows.repartitionByRange(count, *order).sortWithinPartitions(*order).drop("_hash", "_place")
+
+
 def free(name: str, df: DataFrame) -> str:
     """name, or with more underscores before it, so that no column of df has it."""
     taken = {c.lower() for c in df.columns}

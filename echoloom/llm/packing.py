@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, partitions, prefix_sums, table
+from .common import Scratch, in_ranges, map_arrow, partitions, prefix_sums, table
 
 #: Tokens of a sequence; hashed features of a document; dimensions of the curve and bits of each.
 LENGTH, FEATURES, DIMENSIONS, BITS = 2048, 512, 4, 8
@@ -92,7 +92,7 @@ def _encode(tokenizer: str, end_id: int):
 
         encode, start, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        narrow = len(encode.bytes_of) <= 1 << 16 and end_id < 1 << 16
+        narrow = encode.size <= 1 << 16 and end_id < 1 << 16
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 ids = [x + end for x in encode.ids(batch.column("text").slice(a, b - a).to_pylist())]
@@ -129,10 +129,10 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def encode_along_curve(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """Documents encoded in curve order: doc_id, at (tokens of all documents before it on the curve), doc_tokens, ids.
 
-    Rows are dealt to tasks by ranges of (curve, doc_id), so equal documents, however many, are spread by their ids.
+    Rows are dealt to tasks by ranges of (curve, doc_id, hash of text, place), so equal documents, however many and
+    whatever their ids, are spread.
     """
-    rows = curve_keys(docs)
-    rows = rows.repartitionByRange(partitions(docs), "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
+    rows = in_ranges(curve_keys(docs), partitions(docs), "curve", "doc_id")
     rows = map_arrow(rows.select("doc_id", "text"), _encode(tokenizer or byte_vocabulary(), end_id), "doc_id long, part int, part_start long, doc_tokens long, ids binary")
     rows = scratch.save(rows, "encoded", compression="zstd")
     before = prefix_sums(rows.select("part", "doc_tokens"), "part", "doc_tokens", "before")  # a row per task

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, partitions, prefix_sums, table
+from .common import Scratch, in_ranges, map_arrow, partitions, prefix_sums, table
 
 #: What the writer of the files is told: pages of few rows, so that the page index can skip; row groups of bounded size;
 #: format 2 with plain dictionaries off encodes integers by deltas, and "dictionary" keeps an id dictionary per chunk.
@@ -49,13 +49,12 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     Files follow one another in doc_id order and so do the rows in them; part is a file's place and part_start the ids
     before a document in its file, so a reader of the narrow columns alone can place every document. A null text is an
-    empty one and gets the end id only; null doc_ids come first; rows that repeat a doc_id stay together, in the order
-    of their texts; an empty table gives empty files; further columns are not written.
+    empty one and gets the end id only; null doc_ids come first; rows that repeat a doc_id follow one another, in
+    the order of their texts' hashes, over several files where they are many; an empty table gives empty files; further columns are not written.
     """
     tokenizer = tokenizer or word_vocabulary()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(partitions(rows), "doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(rows, _encode(tokenizer, end_id), SCHEMA).write.mode("overwrite").options(**LAYOUT, **ENCODINGS[encoding]).parquet(path)
+    map_arrow(in_ranges(rows, partitions(rows), "doc_id"), _encode(tokenizer, end_id), SCHEMA).write.mode("overwrite").options(**LAYOUT, **ENCODINGS[encoding]).parquet(path)
 
 
 def read_token_table(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
