@@ -22,7 +22,7 @@ rows AS (
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(list_position(a, list_min(a)) - 1 AS INT) AS shard,
        CAST(list_position(b, list_min(b)) - 1 AS INT) AS grown_shard,
        row_number() OVER (PARTITION BY list_position(a, list_min(a))
-                          ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id, text_crc32, size) - 1 AS slot
+                          ORDER BY substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null'), text_crc32, size)), 1, 3), doc_id, text_crc32, size) - 1 AS slot
 FROM rows"""
 
 OP7 = """

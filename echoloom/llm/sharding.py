@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Hexadecimal digits of the key's hash that name the bucket of a shard in which rows are numbered: 4096 buckets.
+#: Hexadecimal digits of the key's hash that name the bucket of a shard in which rows are numbered: 4096 buckets, a
+#: million narrow rows each in a table of 10**11 documents.
 BUCKET_DIGITS = 3
+#: Slots of rows alike in all that are written out together.
+RUN = 65_536
 
 
 def _draw(key: Column, shard: int) -> Column:
@@ -31,19 +34,26 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["shard"]
 
 
-def number_slots(rows: DataFrame, shard: str, key: str, ties: Sequence[str] = (), digits: int = BUCKET_DIGITS) -> DataFrame:
+def number_slots(rows: DataFrame, shard: str, keys: Sequence[str], digits: int = BUCKET_DIGITS, run: int = RUN) -> DataFrame:
     """Add slot: 0, 1, 2, ... without gaps in each shard.
 
-    Rows are numbered inside buckets of their shard, in key order, and the buckets' counts (shards x buckets rows, so
-    at most 16 to the power of digits for each shard) shift them: no task holds a whole shard.
+    Rows that are alike in all columns are counted first, before any shuffle, and written out again in runs of `run`
+    slots once their place is known, so a row that is repeated however often is one row in every window. The different
+    rows are numbered inside buckets of their shard by the hash of all keys, in the keys' order; the buckets' counts (at
+    most 16 to the power of digits for each shard) shift them, and no task holds a whole shard.
     """
-    rows = rows.withColumn("_bucket", F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, digits))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    counts = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(shard, "_bucket").orderBy(key, *ties)
-    numbered = rows.withColumn("_inside", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(counts), [shard, "_bucket"]).withColumn("slot", (F.col("_before") + F.col("_inside")).cast("long")).drop("_bucket", "_before", "_inside")
+    kept = rows.columns
+    hashed = F.md5(F.concat_ws(":", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys)))
+    alike = rows.groupBy(*kept).agg(F.count("*").alias("_n")).withColumn("_bucket", F.substring(hashed, 1, digits))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.withColumn("_bucket", F.substring(hashed, 1, digits)).groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
+    counts = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(earlier(Window.partitionBy(shard).orderBy("_bucket"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(earlier(Window.partitionBy(shard, "_bucket").orderBy(*keys))), F.lit(0))
+    placed = alike.withColumn("_inside", inside).join(F.broadcast(counts), [shard, "_bucket"])
+    placed = placed.select(*kept, (F.col("_before") + F.col("_inside")).alias("_first"), "_n")
+    runs = placed.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(run).cast("long"))))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(F.lit(run).cast("long"), F.col("_n") - F.col("_at")) - 1)
+    return runs.withColumn("_step", F.explode(steps)).select(*kept, (F.col("_first") + F.col("_at") + F.col("_step")).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown: float = 1.0) -> DataFrame:
@@ -64,7 +74,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, gro
         rendezvous(F.col("doc_id"), weights).alias("shard"),
         rendezvous(F.col("doc_id"), [*weights, grown]).alias("grown_shard"),
     )
-    return number_slots(rows, "shard", "doc_id", ("text_crc32", "size")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return number_slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
