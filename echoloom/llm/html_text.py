@@ -26,9 +26,13 @@ CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote center
 BOUNDS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])} | {t: frozenset(["table"]) for t in ("tr", "td", "th", "tbody", "tfoot")}
 ANY_BOUND = frozenset("table td th button object div section article aside nav main header footer body html ul ol dl form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id attributes that name what is no article text; the second list holds for article elements too.
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations teaser widget toolbar pagination pager copyright search skip".split())
-REPLIES = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+#: Words of class and id attributes that name what is no article text; those of the second list are an article's own as well.
+STRONG_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login share sharing widget toolbar pagination pager skip comment comments commentlist disqus respond replies".split())
+WEAK_NAMES = frozenset("aside notice notices notification alert promotion subscription social related recommended recommendations teaser copyright search discussion reply".split())
+#: Those of replies, the only ones that say anything of an article element.
+REPLIES = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Words that may stand beside those in such a name; any other word makes it the name of something else ("related-work").
+PLAIN_NAMES = frozenset("a area article articles bar bars block body bottom box card center class col column container content div form group header inner item items left links list main mobile new news outer page panel post posts primary right row secondary section site small text thread title top wrap wrapper".split())
 #: Elements whose class and id say nothing: ids of headings are made from their text.
 UNNAMED = frozenset("html body main p h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words that make a class a statement about an element ("has-comments", "with-sidebar"), not the name of one.
@@ -36,119 +40,83 @@ STATES = frozenset("has no not with without is hide show open closed enabled dis
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"""(?:[^>"']+|"[^"]*"|'[^']*')*+>""")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s/"'])([^\s=/"'>]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-
-#: How sure a mark of boilerplate is: a form or a name of class or id alone (REPLY: one of replies) gives way where the
-#: element holds the article or text that reads like one.
-CLEAR, LIKELY, REPLY, SURE = range(4)
-#: Text that reads like an article: visible characters at least, and the shares that blocks of LONG ones have at least and links at most.
+#: What an element's role, class, id or kind says of it: nothing, perhaps or probably no article text, certainly none.
+CLEAR, WEAK, STRONG, SURE = range(4)
+#: What a character counts in an element that is marked so, and in a weakly marked one that reads like prose.
+WEIGHTS, PROSE_WEIGHT = {CLEAR: 1.0, WEAK: 0.1, STRONG: 0.01}, 0.5
+#: Prose: visible characters at least, and the shares that blocks of LONG ones have at least and links at most.
 ENOUGH, LONG, PROSE, LINKED = 200, 80, 2 / 3, 0.2
-#: Share of a page's other text from which an element that only its name marks is the text after all.
-MOST = 2 / 3
+#: Share of the threshold that a marked element inside the main text needs to stay there.
+INSIDE = 1 / 3
 
 
 class Node:
-    """An element: its place, its pieces of text in page order (blocks apart), and the sums of its subtree."""
+    """An element: its pieces of text and children in page order, and the sums of its subtree."""
 
-    __slots__ = ("tag", "parent", "children", "mark", "holds", "out", "own", "sums", "clear", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "mark", "own", "raw", "long", "links", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, mark: int):
-        self.tag, self.parent, self.mark, self.out = tag, parent, mark, mark == SURE
-        self.holds = 0  # article and main elements
-        self.own = 0  # characters of its own block
-        self.sums, self.clear = [0, 0, 0], [0, 0, 0]  # of _settle: characters, those in long blocks, those of links; and without replies inside
+        self.tag, self.parent, self.mark = tag, parent, mark
         self.children: list = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.own = self.raw = self.long = self.links = 0  # visible characters: of its own block, all, in long blocks, in links
+        self.weight = 1.0
+        self.chars = self.link_chars = 0.0  # weighted
+        self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> int:
+def _named(names: str, among: frozenset[str]) -> int:
+    """The strongest mark that names of a class or id attribute give with those words."""
+    mark = CLEAR
+    for name in names.split():
+        words = {w.lower() for w in _TOKEN.findall(name) if not w.isdigit()}
+        telling = words & among
+        if telling and words - telling <= PLAIN_NAMES and not words & STATES:
+            mark = max(mark, STRONG if telling & STRONG_NAMES else WEAK)
+    return mark
+
+
+def _mark(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in OUTSIDE or (tag == "header" and not inside_article):
         return SURE
-    least = LIKELY if tag == "form" else CLEAR
-    if not attributes:
-        return least
+    mark = STRONG if tag == "form" else CLEAR
+    if not attributes or tag in ("html", "body", "main"):
+        return mark
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     role = found.get("role", "").lower()
-    if tag in ("html", "body", "main"):
-        return CLEAR
     if role in ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", _ATTRIBUTE.sub(" ", attributes)):
         return SURE
     if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return SURE
-    least = LIKELY if role == "form" else least
     if tag in UNNAMED:
-        return least
-    names = [{w.lower() for w in _TOKEN.findall(name)} for key in ("class", "id") for name in found.get(key, "").split()]
-    words = set().union(*(name for name in names if not name & STATES))
-    if words & REPLIES:
-        return REPLY
-    return LIKELY if tag != "article" and words & NAMES else least
-
-
-def _reads_like_article(chars: int, long: int, linked: int) -> bool:
-    return chars >= ENOUGH and long >= PROSE * chars and linked <= LINKED * chars
+        return mark
+    among = REPLIES if tag == "article" else STRONG_NAMES | WEAK_NAMES
+    return max(mark, STRONG if role == "form" else CLEAR, *(_named(found.get(key, ""), among) for key in ("class", "id")))
 
 
-def _settle(root: Node) -> None:
-    """Which elements are left out, parents before children.
+def parse(html: str) -> Node:
+    """The element tree of a page, lenient as browsers are: end tags may lack, and so may the page's own end.
 
-    One marked by its name alone, or a form, stays if it holds an article or main element, or if its text reads like an
-    article's or is most of the text around it: that of the article or main element that it is in or, on a page without
-    those, of the page; beside an article only the first counts. Of an element named after replies only the text outside
-    of further such elements counts, as a list of replies has one for each; articles in it are taken for replies.
+    The places of open elements are kept by name, so a tag costs the same however deep it is. Where a quoted attribute
+    never ends, that tag and those after it end at their first >.
     """
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        n = sum(_visible(c) for c in node.children if isinstance(c, str))
-        node.own, node.sums, node.clear = n, [n, 0, 0], [n, 0, 0]
-        todo += [c for c in node.children if not isinstance(c, str) and c.mark != SURE]
-    for node in reversed(order):
-        if node.tag not in INLINE:
-            long = node.own if node.own >= LONG else 0
-            node.sums[1] += long
-            node.clear[1] += long
-        if node.tag == "a":
-            node.sums[2], node.clear[2] = node.sums[0], node.clear[0]
-        up = node.parent
-        if up is not None:
-            up.own += node.own if node.tag in INLINE else 0
-            up.sums = [a + b for a, b in zip(up.sums, node.sums)]
-            if node.mark != REPLY:
-                up.clear = [a + b for a, b in zip(up.clear, node.clear)]
-                up.holds += node.holds + (node.tag in ("article", "main"))
-    around: dict[int, Node | None] = {}  # the article or main element that each is in
-    for node in order:
-        up = node.parent
-        if up is None:
-            around[id(node)] = None if root.holds else root
-            continue
-        node.out = up.out
-        around[id(node)] = node if node.tag in ("article", "main") and node.mark == CLEAR and not up.out else around[id(up)]
-        if node.out or node.mark == CLEAR or (node.holds and (node.mark == LIKELY or node.holds == 1 and not root.holds)):
-            continue
-        base, sums = around[id(node)], node.clear if node.mark == REPLY else node.sums
-        most = base is not None and sums[0] >= MOST * max(1, base.sums[0] - node.sums[0] + sums[0])
-        node.out = not (most or (base is not None and _reads_like_article(*sums)))
-
-
-def parse(html: str) -> Node:
-    """The element tree of a page, lenient as browsers are: end tags may lack, and so may the page's own end."""
     root = Node("#page", None, CLEAR)
-    stack, at, low = [root], 0, html.lower() if "<" in html else ""
-    articles = 0
+    stack, at, low, quotes = [root], 0, html.lower() if "<" in html else "", True
+    depths: dict[str, list[int]] = {}
 
     def add(text: str) -> None:
         if text:
             stack[-1].children.append(unescape(text) if "&" in text else text)
 
-    def pop() -> None:
-        nonlocal articles
-        articles -= stack.pop().tag in ("article", "main")
+    def nearest(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            depths[stack.pop().tag].pop()
 
     while at < len(html):
         mark = html.find("<", at)
@@ -170,54 +138,43 @@ def parse(html: str) -> Node:
                 add("<")
                 at = mark + 1
             continue
-        rest = _REST.match(html, name.end())
-        if not rest:  # a quote or the tag itself isn't closed
-            end = html.find(">", name.end())
+        rest = _REST.match(html, name.end()) if quotes else None
+        if rest:
+            attributes, at = html[name.end() : rest.end() - 1], rest.end()
+        else:
+            quotes, end = False, html.find(">", name.end())
             if end < 0:
                 break
             attributes, at = html[name.end() : end], end + 1
-        else:
-            attributes, at = html[name.end() : rest.end() - 1], rest.end()
         tag = name[0].lower()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if tag == "p" and stack[depth].tag in ANY_BOUND:
-                    break
+            depth = nearest([tag])
+            if depth and not (tag == "p" and nearest(ANY_BOUND) > depth):
+                close(depth)
             continue
         if tag in CLOSES:
-            bounds = BOUNDS.get(tag, ANY_BOUND)
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in bounds:
+            while (depth := nearest(CLOSES[tag])) > nearest(BOUNDS.get(tag, ANY_BOUND)):
+                close(depth)
+                if tag in ("p", "option") or CLOSES[tag] == frozenset(["p"]):
                     break
-                if stack[depth].tag in CLOSES[tag]:
-                    while len(stack) > depth:
-                        pop()
-                    if tag in ("p", "option") or CLOSES[tag] == frozenset(["p"]):
-                        break
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and depths.get(tag):
             continue
-        if tag == "body":
-            while stack[-1].tag == "head":
-                pop()
+        if tag == "body" and depths.get("head"):
+            close(depths["head"][0])
         elif stack[-1].tag == "head" and tag not in ("title", "meta", "link", "style", "script", "base", "noscript", "template"):
-            pop()
-        node = Node(tag, stack[-1], _boilerplate(tag, attributes, articles > 0))
+            close(len(stack) - 1)
+        node = Node(tag, stack[-1], _mark(tag, attributes, bool(depths.get("article") or depths.get("main"))))
         stack[-1].children.append(node)
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
         if tag in RAW:
             end = low.find(f"</{tag}", at)
             at = len(html) if end < 0 else end
-            close = html.find(">", at)
-            at = len(html) if close < 0 else close + 1
+            close_ = html.find(">", at)
+            at = len(html) if close_ < 0 else close_ + 1
             continue
+        depths.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        articles += tag in ("article", "main")
-    _settle(root)
     return root
 
 
@@ -226,85 +183,107 @@ def _visible(text: str) -> int:
 
 
 def measure(root: Node) -> list[Node]:
-    """All elements that may hold text, sums and densities set; children come after their parents."""
-    order, todo = [], [(root, False)]
-    links: dict[int, bool] = {}
+    """All elements that may hold text, weights, sums and densities set; children come after their parents.
+
+    A character in marked elements counts as in the least of them, so what an element is called lowers the densities of
+    itself and of all around it, and takes nothing away.
+    """
+    order, todo = [], [root]
     while todo:
-        node, linked = todo.pop()
+        node = todo.pop()
         order.append(node)
-        linked = linked or node.tag == "a"
-        links[id(node)] = linked
-        for child in reversed(node.children):
-            if isinstance(child, str):
-                n = _visible(child)
-                node.chars += n
-                node.link_chars += n if linked else 0
-            elif not child.out:
-                todo.append((child, linked))
+        node.own = node.raw = sum(_visible(c) for c in node.children if isinstance(c, str))
+        todo += [c for c in reversed(node.children) if not isinstance(c, str) and c.mark != SURE]
+    for node in reversed(order):
+        node.long += node.own if node.tag not in INLINE and node.own >= LONG else 0
+        node.links = node.raw if node.tag == "a" else node.links
+        if node.parent is not None:
+            up = node.parent
+            up.raw, up.long, up.links = up.raw + node.raw, up.long + node.long, up.links + node.links
+            up.own += node.own if node.tag in INLINE else 0
+    linked: set[int] = set()
+    for node in order:
+        prose = node.raw >= ENOUGH and node.long >= PROSE * node.raw and node.links <= LINKED * node.raw
+        own = PROSE_WEIGHT if node.mark == WEAK and prose else WEIGHTS[node.mark]
+        node.weight = own if node.parent is None else min(own, node.parent.weight)
+        if node.tag == "a" or node.parent is not None and id(node.parent) in linked:
+            linked.add(id(node))
+        node.chars = node.weight * sum(_visible(c) for c in node.children if isinstance(c, str))
+        node.link_chars = node.chars if id(node) in linked else 0.0
     for node in reversed(order):
         if node.parent is not None:
             up = node.parent
             up.chars += node.chars
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
-            up.link_tags += node.link_tags + links[id(node)]
+            up.link_tags += node.link_tags + (id(node) in linked)
     share = root.link_chars / max(1, root.chars)
     for node in order:
-        chars, tags, linked, link_tags = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
+        chars, tags, links, link_tags = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
         if chars:
             base = math.log(chars / max(1, chars - node.link_chars) * node.link_chars + share * chars + math.e)
             # a page without links has base 1, where the logarithm has no value; a floor keeps the order of its nodes
-            node.density = chars / tags * math.log(max(1.0, chars / linked * tags / link_tags)) / max(0.1, math.log(base))
+            node.density = chars / tags * math.log(max(1.0, chars / links * tags / link_tags)) / max(0.1, math.log(base))
     for node in order:
-        node.total = sum(c.density for c in node.children if not isinstance(c, str) and not c.out)
+        node.total = sum(c.density for c in node.children if not isinstance(c, str) and c.mark != SURE)
     return order
 
 
-def select(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order.
+def select(root: Node, tie_break: bool = True) -> tuple[list, float, set[int]]:
+    """The pieces (elements, or strings between them) that hold the main text in page order, the density threshold, the lead's path.
 
-    The element with the largest sum of its children's densities leads; an article or main element around it is taken
-    whole. Else the smallest density on its path from the body is the threshold, and every subtree beside the path whose
-    density reaches it belongs to the text as well.
+    The element with the largest sum of its children's densities leads. The smallest density on its path from the body
+    is the threshold: every element or string beside the path whose density reaches it is a piece as well, unless it is
+    mostly links, and so are headings beside the path. Where an article or main element around the lead holds other
+    pieces of the same text that are below the threshold, as by-lines, it breaks the tie: it stands for all pieces in it.
     """
     order = measure(root)
     if not root.chars:
-        return []
-    best = max(order, key=lambda n: (n.total, n.density))
+        return [], 0.0, set()
+    best = max(order, key=lambda n: (n.total, n.density, n.tag in ("article", "main")))
     if not best.total:
         best = root
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    around = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
-    if around:
-        return [around[-1]]
-    threshold = min(n.density for n in path if n.tag not in ("#page", "html")) if len(path) > 1 else 0.0
+    threshold = min((n.density for n in path if n.tag not in ("#page", "html")), default=0.0)
+    holders = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
+    whole = holders[-1] if holders and tie_break else best
     on_path, found = {id(n) for n in path}, []
-    todo = [root]
+    todo: list = [root]
     while todo:
         node = todo.pop()
-        if node is best:
+        if isinstance(node, str):
+            if _visible(node) >= max(1.0, threshold):
+                found.append(node)
+        elif node is whole:
             found.append(node)
         elif id(node) in on_path:
-            todo += [c for c in reversed(node.children) if not isinstance(c, str) and not c.out]
-        elif node.density >= threshold and node.tag != "a" and node.chars > 2 * node.link_chars or node.tag in ("h1",):
+            todo += [c for c in reversed(node.children) if isinstance(c, str) or c.mark != SURE]
+        elif node.density >= threshold and node.tag != "a" and node.chars > 2 * node.link_chars or node.tag in ("h1", "h2") and node.weight == 1.0:
             found.append(node)
-    return found
+    return found, threshold, on_path
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page: blocks in page order, white space of any length one space; empty for none or null."""
+def main_text(html: str | None, tie_break: bool = True) -> str:
+    """The main text of a page: blocks in page order, white space of any length one space; empty for none or null.
+
+    Inside the pieces everything stays but elements that are certainly no text and marked ones whose density, lowered by
+    their names, is under a third of the threshold and that don't hold the lead.
+    """
     pieces: list[str] = []
-    for top in select(parse(html or "")):
+    root = parse(html or "")
+    found, threshold, lead = select(root, tie_break)
+    for top in found:
         todo: list = [top]
         while todo:
             item = todo.pop()
             if isinstance(item, str):
                 pieces.append(item)
-            elif not item.out:
+            elif item is top or item.mark == CLEAR or item.mark != SURE and (id(item) in lead or item.density >= INSIDE * threshold > 0):
                 edge = [] if item.tag in INLINE else [" "]
                 todo += [*edge, *reversed(item.children), *edge]
+        pieces.append(" ")
     return " ".join("".join(pieces).split())
 
 

@@ -599,6 +599,52 @@ def test_html_names_give_way_to_text(body, there, gone):
     assert all(w in text for w in there) and not any(w in text for w in gone)
 
 
+LINES = ["One line of the text, as long as lines of a text are wont to be.", "Another says a little more of the same, with a <a href=4>link</a> in it.", "A third one &amp; its words.", "And the last of the lines, which ends the text."]
+TEXT = " ".join(re.sub("<[^>]*>", "", x) for x in LINES).replace("&amp;", "&")
+MENU = "<ul id='main-menu'><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About us</a></ul>"
+ASIDES = "<div class='sidebar'><h3>More</h3><a href=5>A piece of news</a> <a href=6>And another</a></div><div class='cookie-box'>We use cookies.</div><p class='skip'></p>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        MENU + "<article>" + "".join(f"<p>{x}</p>" for x in LINES) + "</article>" + ASIDES,
+        MENU + "<article><header><p>" + LINES[0] + "</p></header>" + "".join(f"<section><p>{x}</p></section>" for x in LINES[1:]) + "</article>" + ASIDES,
+        MENU + "<div><article><div class='body'>" + "".join(f"<p>{x}" for x in LINES) + "<div class='ad'>Buy this now</div></div></article></div>" + ASIDES,
+        "<main>" + MENU + "<article><ul>" + "".join(f"<li>{x}" for x in LINES) + "</ul></article>" + ASIDES + "</main>",
+        "<form id='page'>" + MENU + "<article>" + "<br>".join(LINES) + "</article>" + ASIDES + "</form>",
+        MENU + "<div class='content'>" + "".join(f"<p>{x}</p>" for x in LINES) + "</div>" + ASIDES,
+        "<table><tr><td>" + MENU + "<td>" + "".join(f"<p>{x}</p>" for x in LINES) + "<td>" + ASIDES + "</table>",
+        MENU + "<div id='a'><div id='b'><blockquote>" + "</blockquote><blockquote>".join(LINES) + "</blockquote></div></div>" + ASIDES,
+        MENU + "<div class='text'>" + "<br><br>".join(LINES) + "</div>" + ASIDES + "<div class='related-posts'><a href=7>One</a></div>",
+        MENU + "<div class='post'><section id='related-work'><p>" + "</p><p>".join(LINES[:2]) + "</p></section><section class='social-history'><p>" + "</p><p>".join(LINES[2:]) + "</p></section></div>" + ASIDES,
+        "<div class='search-results-analysis'>" + "".join(f"<p>{x}</p>" for x in LINES) + "</div>" + MENU + ASIDES,
+        "<form id='aspnetForm' action='./'>" + MENU + "<div>" + "".join(f"<div>{x}</div>" for x in LINES) + "</div>" + ASIDES + "</form>",
+    ],
+)
+def test_html_by_density(body):
+    """Twelve shapes of page around the same text, seven of them without article or main."""
+    assert html_text.main_text(f"<html><head><title>No</title></head><body>{body}</body></html>") == TEXT
+
+
+def test_html_pages_decided_by_density(sf):
+    """The density rule alone, without the tie-break, finds most articles of the test pages whole."""
+    pages = pd.read_parquet(f"{sf}/pages.parquet").html
+    assert np.mean([html_text.main_text(h, tie_break=False) == html_text.main_text(h) for h in pages]) > 0.9
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<div>" * 20_000 + "</span>" * 20_000 + "x", "<p><table>" + "<span>" * 20_000 + "<p></p>" * 20_000, "<a x='" * 20_001, "<a " + "a" * 200_000 + ">x", "<ul>" + "<span>" * 20_000 + "<li></li>" * 20_000],
+)
+def test_html_of_hostile_pages_is_linear(html):
+    from time import process_time
+
+    start = process_time()
+    html_text.main_text(html)
+    assert process_time() - start < 5  # a second or less where the machine is idle; a walk of the stack takes a minute
+
+
 def test_odd_html(spark):
     for html, text in ((None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a b"), ("<p>cut in <a href='x", "cut in"), ("<p>a &lt b</p>", "a < b"), ("<p>x<script>never ends", "x"), ("1 < 2 and <3", "1 < 2 and <3"), ("<div>" * 3000 + "deep" + "</div>" * 10, "deep")):
         assert html_text.main_text(html) == text
