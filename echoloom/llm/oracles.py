@@ -40,19 +40,23 @@ def _quality() -> str:
     """Counts of each text, votes, rounds of expectation-maximisation as one table each, and the verdict."""
     from . import quality as q
 
-    names, log = [f"v{j}" for j in range(len(q.RULES))], "v{j} * ln({m}.a{j} / (1 - {m}.a{j}))"
+    names = [f"v{j}" for j in range(len(q.RULES))]
 
-    def odds(model: str) -> str:
-        return " + ".join([f"ln({q.PRIOR / (1 - q.PRIOR)})", *(log.format(j=j, m=model) for j in range(len(names)))])
+    def good(m: str) -> str:
+        odds = (f"CASE v{j} WHEN -1 THEN ln({m}.w{j} / {m}.r{j}) WHEN 1 THEN ln((1 - {m}.w{j}) / (1 - {m}.r{j})) ELSE 0 END" for j in range(len(names)))
+        return f"1 / (1 + exp(-({' + '.join([f'ln({m}.prior / (1 - {m}.prior))', *odds])})))"
 
-    rounds = [f"m0 AS MATERIALIZED (SELECT {', '.join(f'{a}::DOUBLE AS a{j}' for j, (_, _, a) in enumerate(q.RULES.values()))})"]
+    def share(bad: str, cast: str, first: float) -> str:
+        return f"((coalesce({bad}, 0) + {q.START_VOTES * first}) / (coalesce({cast}, 0) + {q.START_VOTES}))::DOUBLE"
+
+    rounds = [f"m0 AS MATERIALIZED (SELECT {q.PRIOR}::DOUBLE AS prior, {', '.join(f'{q.WRONG}::DOUBLE AS w{j}, {q.RIGHT}::DOUBLE AS r{j}' for j in range(len(names)))})"]
     for k in range(q.ROUNDS):
-        parts = []
-        for j, (_, _, start) in enumerate(q.RULES.values()):
-            right, cast = f"sum(n * CASE v{j} WHEN 1 THEN p WHEN -1 THEN 1 - p ELSE 0 END)", f"sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END)"
-            parts.append(f"least({q.SHRINK} * {start} + {1 - q.SHRINK} * CASE WHEN {cast} > 0 THEN {right} / {cast} ELSE {start} END, {q.HIGH})::DOUBLE AS a{j}")
-        rounds.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(parts)} FROM (SELECT t.*, 1 / (1 + exp(-({odds(f'm{k}')}))) AS p FROM t, m{k}))")
-    votes = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {good} THEN 1 WHEN {bad} THEN -1 ELSE 0 END AS {name}" for name, (good, bad, _) in zip(names, q.RULES.values()))
+        parts = [f"{share('sum(n * p)', 'sum(n)', q.PRIOR)} AS prior"]
+        for j in range(len(names)):
+            for name, weight, first in (("w", "n * p", q.WRONG), ("r", "n * (1 - p)", q.RIGHT)):
+                parts.append(f"{share(f'sum({weight}) FILTER (v{j} = -1)', f'sum({weight}) FILTER (v{j} <> 0)', first)} AS {name}{j}")
+        rounds.append(f"m{k + 1} AS MATERIALIZED (SELECT {', '.join(parts)} FROM (SELECT t.*, {good(f'm{k}')} AS p FROM t, m{k}))")
+    votes = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {yes} THEN 1 WHEN {no} THEN -1 ELSE 0 END AS {name}" for name, (yes, no) in zip(names, q.RULES.values()))
     word = "[^\\x20\\x09-\\x0D]+"
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
@@ -64,13 +68,15 @@ f AS MATERIALIZED (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '{q.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-         length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_exclamations, len(list_distinct(w)) AS n_different
+         length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS n_capitals, length(text) - length(replace(text, '!', '')) AS n_exclamations, 
+         length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS n_letters, len(list_filter(w, lambda x: x <> translate(x, '{q.SYMBOLS}', ''))) AS n_marked,
+         coalesce(list_sum(list_transform(range(0, len(w), {q.SPAN}), lambda i: len(list_distinct(w[i + 1:i + {q.SPAN}])))), 0) AS n_spread
   FROM (SELECT w.*, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM w) LEFT JOIN c USING (row)),
 v AS MATERIALIZED (SELECT *, {votes} FROM f),
 t AS MATERIALIZED (SELECT {', '.join(names)}, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
 {', '.join(rounds)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 1 / (1 + exp(-({odds(f'm{q.ROUNDS}')}))) >= {q.KEEP} AS kept
+       NOT base_failed AND {good(f"m{q.ROUNDS}")} >= {q.KEEP} AS kept
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v), m{q.ROUNDS}"""
 
 

@@ -233,20 +233,60 @@ def test_quality_runs_no_python(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_accuracies_against_a_plain_version(spark):
+def plain_posterior(votes, wrong, right, prior):
+    odds = np.where(votes == -1, np.log(wrong / right), np.where(votes == 1, np.log((1 - wrong) / (1 - right)), 0)).sum(1)
+    return 1 / (1 + np.exp(-odds - np.log(prior / (1 - prior))))
+
+
+def plain_fit(votes, n):
+    rules, start = votes.shape[1], quality.START_VOTES
+    wrong, right, prior = np.full(rules, quality.WRONG), np.full(rules, quality.RIGHT), quality.PRIOR
+    for _ in range(quality.ROUNDS):
+        p = plain_posterior(votes, wrong, right, prior)
+        share = lambda w, first: (((w * n)[:, None] * (votes == -1)).sum(0) + start * first) / (((w * n)[:, None] * (votes != 0)).sum(0) + start)
+        wrong, right, prior = share(p, quality.WRONG), share(1 - p, quality.RIGHT), ((p * n).sum() + start * quality.PRIOR) / (n.sum() + start)
+    return wrong, right, prior
+
+
+def test_model_against_a_plain_version(spark):
     rng = np.random.default_rng(3)
-    names = list(quality.RULES)
-    patterns = {tuple(int(v) for v in rng.integers(-1, 2, len(names))): int(n) for n in rng.integers(1, 50, 40)}
+    patterns = {tuple(int(v) for v in rng.integers(-1, 2, len(quality.RULES))): int(n) for n in rng.integers(1, 50, 40)}
     frame = spark.createDataFrame([(list(k), n) for k, n in patterns.items()], "votes array<int>, n long")
-    got = quality.fit(frame).first().accuracy
-    first = np.array([a for _, _, a in quality.RULES.values()])
-    votes, n, a = np.array(list(patterns)), np.array(list(patterns.values()), float), first.copy()
-    for _ in range(quality.ROUNDS):
-        p = 1 / (1 + np.exp(-(votes * np.log(a / (1 - a))).sum(1)))
-        right = (n[:, None] * np.where(votes == 1, p[:, None], np.where(votes == -1, 1 - p[:, None], 0))).sum(0)
-        cast = (n[:, None] * (votes != 0)).sum(0)
-        a = np.minimum(0.5 * first + 0.5 * right / cast, quality.HIGH)
-    assert np.allclose(got, a)
+    got = quality.fit(frame).first().model
+    wrong, right, prior = plain_fit(np.array(list(patterns)), np.array(list(patterns.values()), float))
+    assert np.allclose(got.wrong, wrong) and np.allclose(got.right, right) and np.isclose(got.prior, prior)
+
+
+def test_planted_accuracies_are_found(spark):
+    """Votes drawn with known accuracies: the fit finds them, and its verdicts beat those of the start by far."""
+    rng = np.random.default_rng(11)
+    wrong, right, covers = np.array([0.02, 0.3, 0.05, 0.4, 0.1, 0.02]), np.array([0.9, 0.4, 0.8, 0.45, 0.7, 0.6]), np.array([0.9, 0.9, 0.7, 1.0, 0.8, 0.6])
+    good = rng.random(20_000) < 0.6
+    bad_vote = rng.random((20_000, 6)) < np.where(good[:, None], wrong, right)
+    votes = np.where(rng.random((20_000, 6)) < covers, np.where(bad_vote, -1, 1), 0)
+    kinds, row, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    frame = spark.createDataFrame([(k.tolist(), int(c)) for k, c in zip(kinds, n)], "votes array<int>, n long")
+    model = quality.fit(frame, rules=6).first().model
+    assert np.abs(np.array(model.wrong) - wrong).max() < 0.05 and np.abs(np.array(model.right) - right).max() < 0.05 and abs(model.prior - 0.6) < 0.05
+    found = plain_posterior(kinds, np.array(model.wrong), np.array(model.right), model.prior)[row.ravel()] >= 0.5
+    first = plain_posterior(kinds, np.full(6, quality.WRONG), np.full(6, quality.RIGHT), quality.PRIOR)[row.ravel()] >= 0.5
+    assert (found == good).mean() > (first == good).mean() + 0.05 and (found == good).mean() > 0.93
+    none = spark.createDataFrame([([0] * 6,)], "votes array<int>").crossJoin(quality.fit(frame, rules=6)).select(quality.posterior(F.col("model"), F.col("votes"))).first()[0]
+    assert np.isclose(none, model.prior)  # all abstain
+
+
+def test_estimation_changes_verdicts(spark):
+    """On the test documents, verdicts with the estimated model differ from those of the start, for the better."""
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no larger table here")
+    rows = quality.assess(table(spark, folder, "documents"), columns=["doc_id"])
+    rows = rows.withColumn("first", ~F.col("base_failed") & (quality.posterior(quality.start(), F.col("votes")) >= quality.KEEP)).select("doc_id", "first", "kept").toPandas()
+    labelled = rows.merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    assert (rows["first"] != rows.kept).any()
+    assert (labelled.kept == labelled.quality).mean() > (labelled["first"] == labelled.quality).mean()
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
