@@ -3,7 +3,9 @@
 A source's documents share one rate of copies, target over size. Its whole part is given to each; the fraction is
 rounded by pivotal sampling with sizes: two documents at a time, one's fraction falls and the other's rises so that their
 words together stay, until one of them is 0 or 1 and done. The other goes on. Runs of at most FAN documents are folded
-in a task and hand on one residual XX"""
+in a task and hand on one residual; residuals are folded in runs of FAN in turn, level by level, until each source has
+one, which goes to the nearer end.
+"""
 
 from __future__ import annotations
 

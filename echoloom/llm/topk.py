@@ -18,19 +18,23 @@ CANDIDATES = 2048
 
 
 def quantize(vectors: DataFrame) -> DataFrame:
-    """vec_id and v, each component x as floor(256 x). Vectors that are null or hold null or non-finite parts are left out."""
-    bad = "exists(embedding, x -> x is null or isnan(x) or abs(cast(x as double)) = double('infinity'))"
-    rows = vectors.filter(f"vec_id is not null and embedding is not null and not {bad}")
-    return rows.selectExpr("cast(vec_id as long) as vec_id", "transform(embedding, x -> cast(floor(256 * cast(x as double)) as long)) as v")
+    """vec_id and v, 256 times each component, in doubles; readers round it down, so large components stay exact.
+
+    Vectors that are null or hold null or non-finite parts are left out, as are those of which 256 x is no longer finite
+    (beyond 1e305) and rows without a vec_id, which neither ask nor can be named in a result. Further columns, however
+    called, are ignored.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") * 256).alias("v"))
+    return rows.filter("vec_id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
 
 
 def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
-    """A list column as rows of equal length; shorter vectors end in zeros."""
-    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    """A list column as rows of equal length, rounded down; shorter vectors end in zeros."""
+    offsets, values = column.offsets.to_numpy(), np.floor(column.values.to_numpy(zero_copy_only=False).astype(float, copy=False))
     sizes = np.diff(offsets)
     if len(sizes) and (sizes == sizes[0]).all() and (width is None or sizes[0] == width):
         return values[offsets[0] : offsets[-1]].reshape(len(sizes), sizes[0])
-    out = np.zeros((len(sizes), max(int(sizes.max(initial=0)), width or 0)), np.int64)
+    out = np.zeros((len(sizes), max(int(sizes.max(initial=0)), width or 0)))
     for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
         out[i, : b - a] = values[a:b]
     return out
@@ -44,11 +48,23 @@ class _Block:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.dtype:
-    """A type in which sums of products of these integers are exact."""
+    """A type in which sums of products of these whole numbers are exact: Python's integers where 64 bits don't do."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most >= 2.0**63:
-        raise ValueError("scores of these vectors exceed 64 bits")
-    return np.dtype(np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64)
+    return np.dtype(np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object)
+
+
+def _as(values: np.ndarray, kind: np.dtype) -> np.ndarray:
+    return np.array([[int(x) for x in row] for row in values], object).reshape(values.shape) if kind == object else values.astype(kind)
+
+
+def _as_long(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs; one beyond 64 bits is the largest (or smallest) long."""
+    return np.array([min(max(int(s), -(2**63) + 1), 2**63 - 1) for s in scores], np.int64) if scores.dtype == object else scores.astype(np.int64)
+
+
+def _below(score: int) -> float:
+    """A double that is no larger than a long."""
+    return float(score) if abs(score) < 1 << 53 else float(np.nextafter(float(score), -np.inf))
 
 
 def _parts(width: int, lists: int) -> list[slice]:
@@ -64,11 +80,16 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[np.arange(len(q)) - first < k]
 
 
+def _scores(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact scores of pairs of rows; q and c are of a type that holds them."""
+    return _as_long((q[i] * c[j]).sum(1) if q.dtype == object else np.einsum("ij,ij->i", q[i], c[j]))
+
+
 _OUT = "query_id long, vec_id long, score long"
 
 
 def _rows(block: _Block, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block.ids[query]), pa.array(vec.astype(np.int64)), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(block.ids[query]), pa.array(vec.astype(np.int64)), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def _local_lists(block_of, k: int, lists: int):
@@ -79,18 +100,18 @@ def _local_lists(block_of, k: int, lists: int):
         query, vec, score = (np.zeros(0, np.int64) for _ in range(3))
         for ids, vectors, queries in _candidates(batches, block):
             kind = _exact(queries, vectors)
-            q, c = queries.astype(kind), vectors.astype(kind)
+            q, c = _as(queries, kind), _as(vectors, kind)
             own = block.ids[:, None] == ids[None, :]
             found = [np.zeros((0, 2), np.int64)]
             for part in _parts(q.shape[1], lists):
                 partial = q[:, part] @ c[:, part].T
                 partial[own] = np.iinfo(np.int64).min if kind.kind == "i" else -np.inf
                 n = min(k, len(ids))
-                top = np.argpartition(-partial if kind.kind == "f" else ~partial, n - 1, axis=1)[:, :n]
+                top = np.argsort(-partial, axis=1)[:, :n] if kind == object else np.argpartition(-partial if kind.kind == "f" else ~partial, n - 1, axis=1)[:, :n]
                 found.append(np.stack([np.repeat(np.arange(len(q)), n), top.ravel()], 1))
             pairs = np.unique(np.concatenate(found), axis=0)
             pairs = pairs[~own[pairs[:, 0], pairs[:, 1]]]
-            exact = np.einsum("ij,ij->i", queries[pairs[:, 0]], vectors[pairs[:, 1]])
+            exact = _scores(q, c, pairs[:, 0], pairs[:, 1])
             query, vec, score = np.concatenate([query, pairs[:, 0]]), np.concatenate([vec, ids[pairs[:, 1]]]), np.concatenate([score, exact])
             best = _best(query, vec, score, k)
             query, vec, score = query[best], vec[best], score[best]
@@ -110,7 +131,7 @@ def _above_cutoff(block_of, k: int, lists: int):
         query, vec, score = (np.zeros(0, np.int64) for _ in range(3))
         for ids, vectors, queries in _candidates(batches, block):
             kind = _exact(queries, vectors)
-            q, c = queries.astype(kind), vectors.astype(kind)
+            q, c = _as(queries, kind), _as(vectors, kind)
             parts = _parts(q.shape[1], lists)
             least = np.floor(block.cutoffs / max(1, len(parts)))
             enough = np.zeros((len(q), len(ids)), bool)
@@ -120,7 +141,7 @@ def _above_cutoff(block_of, k: int, lists: int):
             i, j = np.nonzero(enough)
             for at in range(0, len(i), 1 << 18):
                 a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-                exact = np.einsum("ij,ij->i", queries[a], vectors[b])
+                exact = _scores(q, c, a, b)
                 keep = exact >= block.cutoffs[a]
                 query, vec, score = np.concatenate([query, a[keep]]), np.concatenate([vec, ids[b[keep]]]), np.concatenate([score, exact[keep]])
                 best = _best(query, vec, score, k)
@@ -145,13 +166,14 @@ def _candidates(batches: Iterator[pa.RecordBatch], block: _Block):
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, block: int = QUERIES) -> DataFrame:
     """Each query's k best candidates by integer inner product: query_id, rank, vec_id, score; both tables as quantize() gives.
 
-    Queries go to the tasks in blocks of at most `block`, so what is broadcast at a time is bounded however many there
-    are; each block is two passes over the candidates. Phase 1 gathers each task's best entries of each list of partial
+    Queries go to the tasks in blocks dealt by their hashed ids, of `block` at most but for chance (four fifths of it in the
+    mean), so what is broadcast at a time is bounded however many there are; each block is two passes over the candidates. Phase 1 gathers each task's best entries of each list of partial
     scores; the k-th best exact score among them is a safe cutoff, as the k-th best of all is no smaller. Phase 2
     broadcasts it and collects the entries that can still reach it; phase 3 scores those exactly. A task hands on k rows
     a query at most. Ties go to the smaller vec_id. A query's own row, known by its vec_id, is no candidate. Fewer than
     k candidates are all returned; shorter vectors count as ended by zeros; repeated vec_ids are candidates each, and
-    one query. No queries or no candidates give no rows.
+    one query. A score that exceeds 64 bits is the largest or
+    smallest long. No queries or no candidates give no rows.
     """
     spark, scratch = candidates.sparkSession, Scratch(candidates.sparkSession)
     stored = scratch.save(candidates.select("vec_id", "v"), "candidates")
@@ -172,7 +194,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, lists: int = LI
         cutoffs = np.full(len(ids), -np.inf)  # a query with fewer than k candidates has none
         place = {int(q): n for n, q in enumerate(ids)}
         for q, s in zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist()):
-            cutoffs[place[q]] = s
+            cutoffs[place[q]] = _below(s)
         sent = spark.sparkContext.broadcast(_Block(ids, vectors, cutoffs))
         parts.append(map_arrow(stored, _above_cutoff(sent, k, lists), _OUT))
     if not parts:

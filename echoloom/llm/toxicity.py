@@ -18,7 +18,8 @@ from .common import Scratch, free, map_arrow, table
 #: Labelled documents that the model is fitted to at most (those with the smallest hashed ids), folds that hold out parts
 #: of them for calibration, score from which a text counts as toxic.
 SAMPLE, FOLDS, CUT = 20_000, 3, 0.7
-#: Learned lexicon: entries at most, toxic documents an entry needs, least log-odds and least likelihood ratio of it.
+#: Learned lexicon, part of the classifier that is fitted to the bounded sample: entries at most, words and beginnings each
+#: (chosen among the four times as many that most toxic documents of the sample hold), toxic documents an entry needs, least log-odds and least likelihood ratio of it.
 ENTRIES, DOCUMENTS, ODDS, RATIO = 4000, 3, 2.5, 15.0
 #: Letters of a word's beginning that are looked up as well, and words around a second-person word that count as near it.
 STEM, NEAR = 5, 5
@@ -155,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fit the scorer to a bounded sample of labels that aren't held out.
 
     Features of a sampled document come from a lexicon of the other folds, so no document vouches for its own words;
-    the calibration is fitted to scores of trees of the other folds. With no labels of both kinds every score is the
+    the calibration is fitted to scores of trees of the other folds. The lexicon holds ENTRIES words and ENTRIES word
+    beginnings at most, so what is sent to the tasks is bounded; scoring reads every text whole. With no labels of both kinds every score is the
     share of toxic ones (0 without labels).
     """
     scratch = Scratch(docs.sparkSession)

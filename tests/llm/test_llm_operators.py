@@ -123,6 +123,15 @@ def test_simhash_of_odd_rows(spark):
     kept = simhash.drop_near_duplicates(odd_documents(spark)).toPandas()
     assert sorted(kept.doc_id.dropna()) == [1, 4, 6, 7, 8] and list(kept.columns) == [c.split()[0] for c in DOCS.split(", ")]
     assert simhash.near_duplicates(empty(spark)).count() == 0
+    assert len(kept) == 6 and kept.doc_id.isna().sum() == 1  # the text without an id is a class of its own
+
+
+def test_each_class_keeps_one_row(spark):
+    """Whatever the ids: A (a copy of 5's A but for one word far on) and B share the id 5; nulls and repeats."""
+    a = " ".join(f"w{i}" for i in range(4000))
+    rows = [(3, a + " x"), (5, a), (5, "quite another text of some words"), (None, "without an id, twice"), (None, "without an id, twice"), (9, a), (9, a)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text[:5]) for r in kept) == [("3", "w0 w1"), ("5", "quite"), ("None", "witho")]
 
 
 # 2
@@ -483,6 +492,19 @@ def test_topk_of_odd_rows(spark):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_topk_of_large_components_and_repeated_ids(spark):
+    """Scores of up to 64 bits are exact, those beyond are the largest long; a vec_id may repeat; extra columns clash with no one."""
+    rows = [(0, [1e8, 1.0], 1), (1, [1e25, 2.0], 2), (2, [3.0, 1e7], 3), (3, [-1e12, 5.0], 4), (4, [2.0, 3.0], 5), (4, [2.0, 4.0], 6), (50, [7.0, 1e6], 7), (50, [0.5, 0.25], 8), (51, [1e306, 0.0], 9)]
+    frame = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long").withColumns({"v": F.lit(1), "query_id": F.lit(2), "rank": F.lit(3)}))
+    found = topk.top_k(frame, frame.filter("vec_id % 50 = 0")).toPandas()
+    scaled = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i != 51]
+    expected = []
+    for q, a in [(0, scaled[0][1]), (50, min(scaled[6][1], scaled[7][1]))]:
+        scores = sorted((-min(max(sum(x * y for x, y in zip(a, b)), -(2**63) + 1), 2**63 - 1), c) for c, b in scaled if c != q)[:5]
+        expected += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores)]
+    assert sorted(found.itertuples(index=False, name=None)) == sorted(expected)
+
+
 # 8
 
 
