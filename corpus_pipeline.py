@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each near-duplicate class."""
+    """One document of each near-duplicate class of op1: that of the smallest doc_id."""
     return drop_near_duplicates(docs)
 
 

@@ -48,12 +48,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(found)], ["doc_id", "hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprints, "doc_id long, fp long")
+    """doc_id, hash (of the text) and fp, the fingerprint as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    return map_arrow(rows, _fingerprints, "doc_id long, hash long, fp long")
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -243,15 +244,8 @@ def near_links(distinct: DataFrame, scratch: Scratch, distance: int = DISTANCE,
     return links
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
-    """Every document with its near-duplicate class: doc_id, fingerprint (16 hex digits), component_id.
-
-    Fingerprints at `distance` or fewer differing bits are linked, equal ones always; component_id is the smallest
-    doc_id that can be reached over links, a document's own included. Null and empty texts have fingerprint zero and are
-    linked like others. A null doc_id is kept and never the smallest; a class of null doc_ids alone has a null
-    component_id. Rows that repeat a doc_id are classed by their own text. An empty table gives no rows; further
-    columns are ignored.
-    """
+def _classes(docs: DataFrame, distance: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of fingerprints(), labels: fp, root, component_id); root is one fingerprint of the class."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(fingerprints(docs), "fingerprints")
     count = rows.count()
@@ -260,28 +254,45 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, chunk: int = CHUN
     members = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     members = scratch.save(members.join(distinct, "fp"), "members", count)
     roots = scratch.save(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots", count)
-    linked = members.join(roots, "root").select("fp", "component_id")
-    labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    linked = members.join(roots, "root").select("fp", "root", "component_id")
+    labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     labels = scratch.save(labels, "labels", count)
     for old in ("cells", "chunks", "distinct", "members", "roots"):
         scratch.drop(old)
+    return rows, labels
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
+    """Every document with its near-duplicate class: doc_id, fingerprint (16 hex digits), component_id.
+
+    Fingerprints at `distance` or fewer differing bits are linked, equal ones always; component_id is the smallest
+    doc_id that can be reached over links, a document's own included. Null and empty texts have fingerprint zero and are
+    linked like others. A null doc_id is kept and never the smallest; a class of null doc_ids alone has a null
+    component_id. Rows that repeat a doc_id are classed by their own text. An empty table gives no rows; further
+    columns are ignored.
+    """
+    rows, labels = _classes(docs, distance, chunk)
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents that are the smallest doc_id of their class, with all their columns.
+    """One document of each class, with all its columns: that of the smallest doc_id, nulls last, then of the smallest text hash.
 
-    Of rows that repeat a doc_id one stays. Documents without a doc_id can't be told apart by the result and all stay.
-    Ids are joined and numbered in the same dealing by doc_id, so a text is shuffled once.
+    A class keeps exactly one row whatever its ids are: rows without a doc_id, or that repeat one with another text, are
+    told apart by their texts, and of rows alike in both one stays. Ids are joined and numbered in the same dealing by
+    (doc_id, text hash), so a text is shuffled once.
     """
     from pyspark.sql import Window
 
-    classes = near_duplicates(docs, distance)
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    order, copy = Window.partitionBy("doc_id").orderBy(F.xxhash64("text")), free("copy", docs)
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    named = named.withColumn(copy, F.row_number().over(order)).filter(F.col(copy) == 1).drop(copy)
-    return named.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows, labels = _classes(docs, distance, CHUNK)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = rows.join(labels, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    key, copy = free("row_key", docs), free("row_copy", docs)
+    name = lambda doc_id, hash_: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), hash_.cast("string"))
+    kept = first.select(name(F.col("first.doc_id"), F.col("first.hash")).alias(key))
+    named = docs.withColumn(key, name(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(kept, key, "left_semi")
+    named = named.withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(copy) == 1)
+    return named.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
