@@ -41,6 +41,16 @@ CACHE, LONGEST = 300_000, 200
 SPECIAL = "<|"
 
 
+def _stand_ins() -> dict[int, int]:
+    """The printable characters that byte-level vocabularies write for bytes, by the characters of those bytes."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_STAND_INS = _stand_ins()
+
+
 class _Known(dict):
     """Ids of pieces, found when first asked for. A full one becomes the older generation of the next."""
 
@@ -79,7 +89,15 @@ class Encoder:
         self.bytes_of = np.zeros(self.size, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.encode()) if token in special else len(token)
-        self.known = _Known(self._library, {})
+        self.one, self.merges = (_PRE_TOKENS if self.words else _BYTE_PIECES), self.tokenizer.model
+        self.known = _Known(self._find, {})
+
+    def _find(self, piece: str) -> bytes:
+        """A pre-token of usual characters needs the library's model alone, which takes it with a character for each byte."""
+        if not self.one.fullmatch(piece):
+            return self._library(piece)
+        piece = (piece.lower() if self.words else piece).encode().decode("latin-1").translate(_STAND_INS)
+        return array("I", [t.id for t in self.merges.tokenize(piece)]).tobytes()
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
