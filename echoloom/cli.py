@@ -11,6 +11,7 @@ from . import facade
 from .operators import validation
 from .schema import MixtureConfig, PreprocessConfig, SplitConfig, TrackingConfig
 from .sinks import files
+from .sources.tables import read_truth_csv
 
 
 def session(app: str = "echoloom") -> SparkSession:
@@ -65,25 +66,17 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--plot-window-sec", type=float, default=30.0)
     i.add_argument("--plot-window-min", type=float, help="deprecated: minutes instead of seconds")
 
-    v = sub.add_parser("validation", help="synthetic logs and counting accuracy").add_subparsers(dest="action", required=True)
-    made = argparse.ArgumentParser(add_help=False)
-    made.add_argument("--dataset", choices=("dev", "test"), default="dev")
-    made.add_argument("--n-replicates", type=int, default=100)
-    made.add_argument("--sweep-replicates", type=int)
-    made.add_argument("--seed", type=int)
-    made.add_argument("--output-dir", dest="data_dir", default="data/simulated")
+    v = sub.add_parser("validation", help="counting accuracy of a log against its truth").add_subparsers(dest="action", required=True)
     judged = argparse.ArgumentParser(add_help=False)
-    judged.add_argument("--tracker-module")
-    judged.add_argument("--processed-dir", default="data/processed")
-    judged.add_argument("--plot-dir", default="plots/counting", help="folder for the tables that charts show")
-    judged.add_argument("--bootstrap-seed", type=int, default=validation.SEED)
-    v.add_parser("generate", parents=[made])
-    v.add_parser("run", parents=[made, judged])
-    v.add_parser("profile", parents=[made])
+    judged.add_argument("--input", required=True)
+    judged.add_argument("--truth", required=True)
     e = v.add_parser("evaluate", parents=[judged])
-    e.add_argument("--input", required=True)
-    e.add_argument("--truth", required=True)
     e.add_argument("--dataset", default="dev")
+    e.add_argument("--tracker-module")
+    e.add_argument("--processed-dir", default="data/processed")
+    e.add_argument("--plot-dir", default="plots/counting", help="folder for the tables that charts show")
+    e.add_argument("--bootstrap-seed", type=int, default=validation.SEED)
+    v.add_parser("profile", parents=[judged])
 
     z = sub.add_parser("zone", help="figures of a frequency band")
     z.add_argument("path")
@@ -128,15 +121,12 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     elif a.command == "zone":
         print(facade.summarize_zone(spark, a.path, a.low_khz, a.high_khz, a.sequence_gap_ms))
     elif a.action == "profile":
-        for name, value in validation.profile(spark, a.n_replicates, a.dataset).items():
+        for name, value in validation.profile(facade.load(spark, a.input)[0], read_truth_csv(spark, a.truth)).items():
             print(f"{name}: {value:.6g}")
     else:
-        log, truth = (a.input, a.truth) if a.action == "evaluate" else facade.write_generation(spark, a.data_dir, a.dataset, a.n_replicates, a.seed, a.sweep_replicates)
-        if a.action != "generate":
-            _, summary, _ = facade.evaluate_files(spark, log, truth, a.processed_dir, a.dataset, a.tracker_module, a.bootstrap_seed, a.plot_dir)
-            for row in summary.collect():
-                print(f"{row['group']:<30} n={row['n_scenarios']:5d} bias={row['bias_mean']:+.3f} mae={row['mae']:.3f} rmse={row['rmse']:.3f} exact={row['exact_rate']:.1%}")
-        print(f"log {log}, truth {truth}")
+        _, summary, _ = facade.evaluate_files(spark, a.input, a.truth, a.processed_dir, a.dataset, a.tracker_module, a.bootstrap_seed, a.plot_dir)
+        for row in summary.collect():
+            print(f"{row['group']:<30} n={row['n_scenarios']:5d} bias={row['bias_mean']:+.3f} mae={row['mae']:.3f} rmse={row['rmse']:.3f} exact={row['exact_rate']:.1%}")
 
 
 if __name__ == "__main__":

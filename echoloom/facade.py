@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import activity, counting, density, eda, generate, validation
+from .operators import activity, counting, density, eda, validation
 from .operators.preprocess import Preprocessed, preprocess, sessionize
 from .operators.species import label, predict
 from .schema import MixtureConfig, PreprocessConfig, SplitConfig, TrackingConfig
@@ -91,15 +91,6 @@ def eda_feeds(rows: DataFrame, gap_ms: float = 100.0) -> dict[str, DataFrame]:
     }
 
 
-def write_generation(spark: SparkSession, folder: str, dataset: str = "dev", replicates: int = 100, seed: int | None = None, sweeps: int | None = None) -> tuple[str, str]:
-    """A generated log and its truth: (log folder, truth folder)."""
-    rows, truth, _ = generate.generate_frames(spark, dataset, replicates, seed, sweeps)
-    log, table = f"{folder}/DATA_{dataset}", f"{folder}/truth_{dataset}"
-    files.write_sensor_text(rows, log)
-    files.write_truth_csv(truth, table)
-    return log, table
-
-
 def evaluate_files(spark: SparkSession, log: str, truth: str, folder: str, dataset: str = "dev", module: str | Callable | None = None, seed: int = validation.SEED, charts: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metrics, summary and assignments of a log against its truth, written as CSV, and the tables that charts show."""
     rows, _ = load(spark, log)
@@ -115,7 +106,7 @@ def evaluate_files(spark: SparkSession, log: str, truth: str, folder: str, datas
 def imported_clips(spark: SparkSession, path: str, store_id: str, gap_ms: float = 100.0) -> tuple[DataFrame, DataFrame]:
     """(clips, rows of the store) of a log imported into a project."""
     from .operators.preprocess import add_khz, segments
-    from .operators.simulator import import_as_clips
+    from .operators.clips import import_as_clips
 
     rows, width = load(spark, path, "strict")
     sized = sessionize(add_khz(rows, width), gap_ms)

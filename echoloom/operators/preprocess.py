@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import bins_to_khz
-from ..schema import PreprocessConfig
+from ..schema import BUCKET_MS, PreprocessConfig
 from ..scratch import stored
 
 KEY, TIME, TIE = "recording_id", "time_ms", "line_no"
@@ -32,72 +32,76 @@ def in_band(value: Column, low: float, high: float) -> Column:
     return (value > low) & (value < high)
 
 
-class Timeline:
-    """Order-dependent columns of recordings: by time, then line.
+def _bucketed(rows: DataFrame, bucket_ms: int | None) -> tuple[DataFrame, list[str]]:
+    """rows with the keys that they are dealt to tasks by: recording and bucket of time, or whole recordings for None."""
+    if bucket_ms is None:
+        return rows, [KEY]
+    return rows.withColumn("_bucket", F.floor(F.col(TIME) / bucket_ms)), [KEY, "_bucket"]
 
-    A recording is ordered in one task. With bucket_ms it is cut into buckets of time: what lies before a bucket comes
-    from a table of one row for each bucket that has rows, so that a recording of any length is spread over tasks. Each
-    step then stores the rows it gets, once, and reads the few columns of that table from there: the plan of a step does
-    not hold those of all steps before it twice over.
-    """
 
-    def __init__(self, bucket_ms: int | None = None):
-        self.bucket_ms = bucket_ms
-
-    def _parts(self, rows: DataFrame) -> tuple[DataFrame, list[str]]:
-        if self.bucket_ms is None:
-            return rows, [KEY]
-        return stored(rows.withColumn("_bucket", F.floor(F.col(TIME) / self.bucket_ms))), [KEY, "_bucket"]
-
-    def previous(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-        """Add prev_<column> of the row before; null on the first row of a recording."""
-        parted, keys = self._parts(rows)
-        order = Window.partitionBy(*keys).orderBy(TIME, TIE)
-        parted = parted.withColumns({f"prev_{c}": F.lag(c).over(order) for c in columns})
-        if self.bucket_ms is None:
-            return parted
-        place = F.struct(TIME, TIE)
-        ends = parted.groupBy(*keys).agg(*(F.max_by(c, place).alias(f"_last_{c}") for c in columns))
-        across = Window.partitionBy(KEY).orderBy("_bucket")
-        ends = ends.select(*keys, *(F.lag(f"_last_{c}").over(across).alias(f"_before_{c}") for c in columns))
-        parted = parted.withColumn("_first", F.row_number().over(order) == 1).join(ends, keys)
-        fill = {f"prev_{c}": F.when(F.col("_first"), F.col(f"_before_{c}")).otherwise(F.col(f"prev_{c}")) for c in columns}
-        return parted.withColumns(fill).drop("_bucket", "_first", *(f"_before_{c}" for c in columns))
-
-    def running_count(self, rows: DataFrame, flag: Column, name: str) -> DataFrame:
-        """Add how often the flag held up to and with this row."""
-        parted, keys = self._parts(rows.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")))
-        order = Window.partitionBy(*keys).orderBy(TIME, TIE).rowsBetween(Window.unboundedPreceding, 0)
-        parted = parted.withColumn(name, F.sum("_flag").over(order))
-        if self.bucket_ms is None:
-            return parted.drop("_flag")
-        totals = parted.groupBy(*keys).agg(F.sum("_flag").alias("_total"))
-        before = Window.partitionBy(KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        totals = totals.select(*keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-        return parted.join(totals, keys).withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_flag", "_before")
-
-
-def sessionize(rows: DataFrame, gap_ms: float, gap: str = "gap_ms", passage: str = "passage_id", bucket_ms: int | None = None) -> DataFrame:
+def mark_steps(rows: DataFrame, gap_ms: float, columns: Sequence[str] = (), gap: str = "gap_ms", passage: str = "passage_id", number: str | None = None, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
+    """Add, in order of time, then line: the gap to the row before (null on a recording's first), the passage (a new one,
+    from 1, where the gap reaches gap_ms), prev_<column> of the row before and, if named, the row's number from 0.
+
+    A recording is cut into buckets of time. Rows are dealt and ordered by (recording, bucket); what lies before a bucket
+    comes from a table of one row for each bucket that has rows, made from the few columns that it needs, so a recording
+    of any length is spread over tasks and its rows are shuffled once. Without buckets a recording is ordered in one task.
+    """
+    parted, keys = _bucketed(rows, bucket_ms)
+    order = Window.partitionBy(*keys).orderBy(TIME, TIE)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    parted = parted.withColumns({f"prev_{c}": F.lag(c).over(order) for c in (TIME, *columns)})
+    opens = (F.col(TIME) - F.col(f"prev_{TIME}")) >= gap_ms
+    if bucket_ms is None:
+        parted = parted.withColumn(gap, F.col(TIME) - F.col(f"prev_{TIME}"))
+        parted = parted.withColumn(passage, F.sum(F.coalesce(opens, F.lit(True)).cast("long")).over(so_far))
+        parted = parted if number is None else parted.withColumn(number, F.row_number().over(order).cast("long") - 1)
+        return parted.drop(f"prev_{TIME}")
+    parted = parted.withColumn("_opens", F.coalesce(opens, F.lit(False)).cast("long"))
+    place = F.struct(TIME, TIE)
+    ends = parted.groupBy(*keys).agg(F.min(TIME).alias("_start"), F.max(TIME).alias("_end"), F.sum("_opens").alias("_inside"), F.count("*").alias("_rows"), *(F.max_by(c, place).alias(f"_last_{c}") for c in columns))
+    across = Window.partitionBy(KEY).orderBy("_bucket")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.lag("_end").over(across))
+    ends = ends.withColumn("_first", F.coalesce(F.col("_start") - F.col("_before") >= gap_ms, F.lit(True)).cast("long"))
+    ends = ends.select(
+        *keys, "_before", *(F.lag(f"_last_{c}").over(across).alias(f"_before_{c}") for c in columns),
+        (F.coalesce(F.sum(F.col("_first") + F.col("_inside")).over(earlier), F.lit(0)) + F.col("_first")).alias("_passages"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_numbers"),
+    )
+    first = F.col(f"prev_{TIME}").isNull()
+    parted = parted.withColumn(passage, F.sum("_opens").over(so_far))
+    parted = parted if number is None else parted.withColumn(number, F.row_number().over(order).cast("long") - 1)
+    parted = parted.join(ends, keys)
+    filled = {gap: F.col(TIME) - F.when(first, F.col("_before")).otherwise(F.col(f"prev_{TIME}")), passage: F.col(passage) + F.col("_passages")}
+    filled |= {f"prev_{c}": F.when(first, F.col(f"_before_{c}")).otherwise(F.col(f"prev_{c}")) for c in columns}
+    filled |= {} if number is None else {number: F.col(number) + F.col("_numbers")}
+    return parted.withColumns(filled).drop("_bucket", "_opens", "_before", "_passages", "_numbers", f"prev_{TIME}", *(f"_before_{c}" for c in columns))
+
+
+def running_count(rows: DataFrame, flag: Column, name: str, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
+    """Add how often the flag held up to and with this row. Rows cut into buckets are stored first, as they are read twice."""
+    parted, keys = _bucketed(rows.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")), bucket_ms)
+    parted = parted if bucket_ms is None else stored(parted)
+    order = Window.partitionBy(*keys).orderBy(TIME, TIE).rowsBetween(Window.unboundedPreceding, 0)
+    counted = parted.withColumn(name, F.sum("_flag").over(order))
+    if bucket_ms is None:
+        return counted.drop("_flag")
+    before = Window.partitionBy(KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parted.groupBy(*keys).agg(F.sum("_flag").alias("_total")).select(*keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    return counted.join(totals, keys).withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_flag", "_before")
+
+
+def sessionize(rows: DataFrame, gap_ms: float, gap: str = "gap_ms", passage: str = "passage_id", bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """Add the gap to the row before (null on the first) and the passage: a new one, from 1, where the gap reaches gap_ms."""
-    line = Timeline(bucket_ms)
-    rows = line.previous(rows, [TIME]).withColumn(gap, F.col(TIME) - F.col(f"prev_{TIME}")).drop(f"prev_{TIME}")
-    return line.running_count(rows, F.col(gap).isNull() | (F.col(gap) >= gap_ms), passage)
+    return mark_steps(rows, gap_ms, gap=gap, passage=passage, bucket_ms=bucket_ms)
 
 
-def add_delta_bins(rows: DataFrame, bucket_ms: int | None = None) -> DataFrame:
-    """Add delta_fme_bins: the distance to the row before, across passages, echoes included."""
-    rows = Timeline(bucket_ms).previous(rows, ["pos_fme"])
+def mark_gaps(rows: DataFrame, gap_ms: float, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
+    """sessionize(), and delta_fme_bins: the distance to the row before, across passages, echoes included."""
+    rows = mark_steps(rows, gap_ms, ["pos_fme"], bucket_ms=bucket_ms)
     return rows.withColumn("delta_fme_bins", F.abs(F.col("pos_fme") - F.col("prev_pos_fme"))).drop("prev_pos_fme")
 
 
-def mark_gaps(rows: DataFrame, gap_ms: float, bucket_ms: int | None = None) -> DataFrame:
-    """sessionize() and add_delta_bins() with one look at the row before."""
-    line = Timeline(bucket_ms)
-    rows = line.previous(rows, [TIME, "pos_fme"])
-    rows = rows.withColumns({"gap_ms": F.col(TIME) - F.col(f"prev_{TIME}"), "delta_fme_bins": F.abs(F.col("pos_fme") - F.col("prev_pos_fme"))}).drop(f"prev_{TIME}", "prev_pos_fme")
-    return line.running_count(rows, F.col("gap_ms").isNull() | (F.col("gap_ms") >= gap_ms), "passage_id")
-
-
 def flag_echoes(rows: DataFrame, config: PreprocessConfig) -> DataFrame:
     """Add is_echo. A row is linked to the one before when near in time and frequency.
 
@@ -107,7 +111,7 @@ def flag_echoes(rows: DataFrame, config: PreprocessConfig) -> DataFrame:
     link = F.coalesce((F.col("gap_ms") <= config.echo_gap_ms) & (F.col("delta_fme_bins") <= config.echo_bins), F.lit(False))
     if config.strategy == "drop_later":
         return rows.withColumn("is_echo", link)
-    rows = Timeline(config.bucket_ms).running_count(rows, ~link, "_chain")
+    rows = running_count(rows, ~link, "_chain", config.bucket_ms)
     best = Window.partitionBy(KEY, "_chain").orderBy(F.desc("snr_db"), TIME, TIE)
     return rows.withColumn("is_echo", F.row_number().over(best) > 1).drop("_chain")
 
@@ -160,8 +164,7 @@ def nested_passages(clean: DataFrame) -> DataFrame:
     return clean.groupBy(KEY, F.col("passage_id2").alias("passage_id")).agg(F.min(TIME).alias("start_ms"), F.max(TIME).alias("end_ms"), F.count("*").alias("n_chirps"), F.sort_array(F.collect_list(chirp)).alias("chirps"))
 
 
-def segments(rows: DataFrame, gap_ms: float) -> DataFrame:
+def segments(rows: DataFrame, gap_ms: float, bucket_ms: int | None = BUCKET_MS) -> DataFrame:
     """Half-open row ranges [row_start, row_end) of the sequences of a store, by its own order."""
-    order = Window.partitionBy(KEY).orderBy(TIME, TIE)
-    rows = sessionize(rows.withColumn("_row", F.row_number().over(order) - 1), gap_ms)
+    rows = mark_steps(rows.select(KEY, TIME, TIE), gap_ms, number="_row", bucket_ms=bucket_ms)
     return rows.groupBy(KEY, F.col("passage_id").alias("segment")).agg(F.min("_row").alias("row_start"), (F.max("_row") + 1).alias("row_end"), F.count("*").alias("n"))

@@ -28,6 +28,8 @@ COMMON_RULES = (
     (18.0, 26.0, "Noctule"),
     (10.0, 16.0, "Molosse de Cestoni"),
 )
+# Names of species by their ids, the one of unknown ids first.
+SPECIES_NAMES = (("pip-kuhl", "Pipistrelle de Kuhl"), ("pip-common", "Pipistrelle commune"), ("pip-pygmy", "Pipistrelle pygmee"), ("serotine", "Serotine commune"), ("molosse", "Molosse de Cestoni"), ("noctule", "Noctule"))
 UNKNOWN = "Indetermine"
 # Bands of the timeline of a project, the first that fits, else the first.
 BANDS = ((5.0, 24.0, "track-low"), (18.0, 42.0, "track-mid"), (36.0, 65.0, "track-high"))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import parse_parameter
 from ..scratch import stored
-from .grouped import Group, map_groups
 from .ranges import points_in_intervals
 
 #: Resamples, share outside the interval, first seed.
 SAMPLES, ALPHA, SEED = 1000, 0.05, 20260511
+#: Shares of Poisson draws of mean 1 that are below 1, 2, 3, ...
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(10))
 MARGIN_MS = 20
 
 
@@ -84,21 +86,26 @@ def bootstrap_interval(values: np.ndarray, statistic: Callable = np.mean, seed:
 def bootstrap_table(metrics: DataFrame, seed: int = SEED, samples: int = SAMPLES) -> DataFrame:
     """Intervals of bias, mean absolute error and exact rate for all scenarios and each case: seeds s, s + 1, s + 2.
 
-    Rows are resampled in order of start, so a table read in any order gives the same intervals.
+    A scenario counts in a resample as often as a Poisson draw of mean 1 says, which a hash of its id, the resample and
+    the seed decides. So weights and weighted errors are sums by (group, resample), combined before their shuffle, no task
+    holds a group, and a table read in any order gives the same intervals.
     """
-    both = metrics.select(F.explode(F.array(F.struct(F.lit(1).alias("group_id"), F.lit("global").alias("group")), F.struct(F.lit(0).alias("group_id"), F.col("case_type").alias("group")))).alias("g"), "start_ms", "scenario_id", "signed_error", "absolute_error", F.col("exact_match").cast("double").alias("exact"))
-    rows = both.select("g.group_id", "g.group", "start_ms", "scenario_id", "signed_error", "absolute_error", "exact")
-    names = ("bias", "mae", "exact")
-
-    def call(g: Group) -> Group:
-        out = {"group_id": g["group_id"][:1], "group": g["group"][:1]}
-        for k, (name, column) in enumerate(zip(names, ("signed_error", "absolute_error", "exact"))):
-            low, high = bootstrap_interval(g[column].astype(float), seed=seed + k, samples=samples)
-            out |= {f"{name}_ci_low": np.array([low]), f"{name}_ci_high": np.array([high])}
-        return out
-
-    fields = ", ".join(f"{n}_ci_{e} double" for n in names for e in ("low", "high"))
-    return map_groups(rows, ["group_id", "group"], ["start_ms", "scenario_id"], call, f"group_id int, group string, {fields}")
+    case, total = F.struct(F.lit(0).alias("group_id"), F.col("case_type").alias("group")), F.struct(F.lit(1).alias("group_id"), F.lit("global").alias("group"))
+    rows = metrics.select("scenario_id", "case_type", "signed_error", "absolute_error", F.col("exact_match").cast("int").alias("exact"))
+    rows = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    columns = {"bias": "signed_error", "mae": "absolute_error", "exact": "exact"}
+    for k, name in enumerate(columns):
+        hashed = F.md5(F.concat_ws(":", "scenario_id", F.col("resample").cast("string"), F.lit(str(seed + k))))
+        u = F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") / float(1 << 52)
+        weight = F.lit(len(POISSON))
+        for n, limit in reversed(list(enumerate(POISSON))):
+            weight = F.when(u < limit, n).otherwise(weight)
+        rows = rows.withColumn(f"w_{name}", weight)
+    cases = rows.groupBy("case_type", "resample").agg(*(F.sum(f"w_{n}").alias(f"w_{n}") for n in columns), *(F.sum(F.col(f"w_{n}") * F.col(c)).alias(f"s_{n}") for n, c in columns.items()))
+    both = cases.withColumn("g", F.explode(F.array(total, case))).groupBy("g", "resample").agg(*(F.sum(f"{p}_{n}").alias(f"{p}_{n}") for p in "ws" for n in columns))
+    means = both.select("g", *((F.col(f"s_{n}").cast("double") / F.nullif(F.col(f"w_{n}"), F.lit(0))).alias(n) for n in columns))
+    ends = [F.percentile(n, F.lit(q)).alias(f"{n}_ci_{e}") for n in columns for e, q in (("low", ALPHA / 2), ("high", 1 - ALPHA / 2))]
+    return means.groupBy("g").agg(*ends).select("g.group_id", "g.group", *(f"{n}_ci_{e}" for n in columns for e in ("low", "high")))
 
 
 def summarize(metrics: DataFrame, seed: int = SEED, samples: int = SAMPLES) -> DataFrame:
@@ -137,16 +144,10 @@ def evaluate(rows: DataFrame, truth: DataFrame, module: str | Callable | None =
     return metrics, summarize(metrics, seed), assignments
 
 
-def profile(spark: SparkSession, replicates: int = 5, dataset: str = "dev") -> dict[str, float]:
-    """Seconds of generation and evaluation, and what 1000 scenarios would take."""
-    from .generate import generate_frames
-
+def profile(rows: DataFrame, truth: DataFrame) -> dict[str, float]:
+    """Seconds of an evaluation, and what 1000 scenarios would take."""
+    n_rows, n = rows.count(), truth.select("scenario_id").distinct().count()
     began = time.perf_counter()
-    rows, truth, scenarios = generate_frames(spark, dataset, replicates)
-    n_rows, n = rows.count(), scenarios.count()
-    generated = time.perf_counter()
-    metrics, summary, _ = evaluate(rows, truth)
-    summary.collect()
-    ended = time.perf_counter()
-    each = (ended - began) / max(1, n)
-    return {"n_scenarios": n, "n_rows": n_rows, "generation_sec": generated - began, "evaluation_sec": ended - generated, "sec_per_scenario": each, "estimated_1000_scenarios_sec": 1000 * each}
+    evaluate(rows, truth)[1].collect()
+    spent = time.perf_counter() - began
+    return {"n_scenarios": n, "n_rows": n_rows, "evaluation_sec": spent, "sec_per_scenario": spent / max(1, n), "estimated_1000_scenarios_sec": 1000 * spent / max(1, n)}

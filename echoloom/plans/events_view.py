@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Passage and echo gap in ticks, for these tables.
 GAP, ECHO = 1000, 60
+#: Ticks of a bucket of time.
+BUCKET = 7200
 RECORDING = "events"
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import activity, counting, density, eda, generate, simulator, validation
+from ..operators import activity, clips as clip_tables, counting, density, eda, validation
 from ..operators import preprocess as pre
 from ..operators.ranges import overlaps, points_in_intervals
-from ..operators.species import BANDS, COMMON_RULES, LATIN_RULES, band, label, label_sql, posterior, predict
-from ..schema import MixtureConfig, PreprocessConfig
+from ..operators.species import BANDS, COMMON_RULES, LATIN_RULES, SPECIES_NAMES, band, label, label_sql, posterior, predict
+from ..schema import CLIP, MixtureConfig, PreprocessConfig
 from ..scratch import scratch_folder as scratch
-from .events_view import ECHO, GAP, detections, with_steps
+from .events_view import BUCKET, ECHO, GAP, detections, with_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def config(**changes) -> PreprocessConfig:
-    return PreprocessConfig(**({"passage_gap_ms": GAP, "echo_gap_ms": ECHO} | changes))
+    return PreprocessConfig(**({"passage_gap_ms": GAP, "echo_gap_ms": ECHO, "bucket_ms": BUCKET} | changes))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pre.sessionize(kept(spark, sf_dir), GAP)
+    return pre.sessionize(kept(spark, sf_dir), GAP, bucket_ms=BUCKET)
 
 
 def cleaned(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
@@ -73,7 +73,7 @@ def social_filter(spark, sf_dir):
 
 @query("gap_lag", with_steps("SELECT line_no, coalesce(gap_ms, -1) AS gap_ms, coalesce(delta_fme_bins, -1) AS delta_fme_bins FROM gaps", "gaps"))
 def gap_lag(spark, sf_dir):
-    return pre.add_delta_bins(passaged(spark, sf_dir)).select("line_no", shown("gap_ms"), shown("delta_fme_bins"))
+    return pre.mark_gaps(kept(spark, sf_dir), GAP, BUCKET).select("line_no", shown("gap_ms"), shown("delta_fme_bins"))
 
 
 _SESSIONS = with_steps("SELECT line_no, coalesce(gap_ms, -1) AS gap_ms, passage_id FROM ses", "ses")
@@ -86,7 +86,7 @@ def sessionize(spark, sf_dir):
 
 @query("sessionize_bucketed", _SESSIONS)
 def sessionize_bucketed(spark, sf_dir):
-    return pre.sessionize(kept(spark, sf_dir), GAP, bucket_ms=7200).select("line_no", shown("gap_ms"), "passage_id")
+    return pre.sessionize(kept(spark, sf_dir), GAP, bucket_ms=1800).select("line_no", shown("gap_ms"), "passage_id")
 
 
 @query("echo_drop_later", with_steps("SELECT line_no, time_ms, snr_db, coalesce(delta_fme_bins, -1) AS delta_fme_bins FROM ech WHERE NOT is_echo", "ech"))
@@ -104,7 +104,7 @@ def echo_best_snr(spark, sf_dir):
 
 @query("echo_best_snr_bucketed", _BEST)
 def echo_best_snr_bucketed(spark, sf_dir):
-    return pre.preprocess(detections(spark, sf_dir), config(strategy="best_snr", bucket_ms=7200)).flagged.filter("not is_echo").select("line_no", "time_ms", "snr_db")
+    return pre.preprocess(detections(spark, sf_dir), config(strategy="best_snr", bucket_ms=1800)).flagged.filter("not is_echo").select("line_no", "time_ms", "snr_db")
 
 
 @query("resessionize", with_steps("SELECT line_no, coalesce(gap_ms2, -1) AS gap_ms2, passage_id2 FROM clean"))
@@ -321,12 +321,15 @@ def error_histogram(spark, sf_dir):
 @query("scenario_windows", with_steps("""SELECT concat('w', start_time_ms // 40000) AS scenario_id, min_by(passage_species, (start_time_ms, track_id)) AS case_type, min(start_time_ms) - 20 AS start_ms, max(end_time_ms) + 20 AS end_ms, min_by(n_chirps, (start_time_ms, track_id)) AS expected_count,
     'n_chirps' AS parameter_name, CAST(min_by(n_chirps, (start_time_ms, track_id)) AS DOUBLE) AS parameter_value FROM tracks GROUP BY start_time_ms // 40000""", more=_TRACKS))
 def scenario_windows(spark, sf_dir):
-    truth = _tracks(spark, sf_dir).select(
+    return validation.scenarios_from_truth(truth_of_tracks(spark, sf_dir)).drop("dataset", "replicate_id")
+
+
+def truth_of_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A truth table: the tracks that start in a window of 40,000 ticks are one scenario."""
+    return _tracks(spark, sf_dir).select(
         F.lit("d").alias("dataset"), F.concat(F.lit("w"), F.floor(F.col("start_time_ms") / 40000).cast("string")).alias("scenario_id"), F.col("passage_species").alias("case_type"), F.lit(1).alias("replicate_id"), F.col("track_id").alias("individual_id"),
         F.col("start_time_ms").alias("start_ms"), F.col("end_time_ms").alias("end_ms"), F.col("n_chirps").alias("expected_count"), F.concat(F.lit("n_chirps="), F.col("n_chirps").cast("string")).alias("notes"),
     )
-    return validation.scenarios_from_truth(truth).drop("dataset", "replicate_id")
-
 
 @query("notes_parse", """SELECT event_id, CASE WHEN v IS NULL THEN '' ELSE 'k' END AS name, v AS value FROM (SELECT event_id, TRY_CAST(CASE event_id % 3 WHEN 0 THEN CAST(event_id AS VARCHAR) || '.5' WHEN 1 THEN 'x=' || event_id END AS DOUBLE) AS v FROM events)""")
 def notes_parse(spark, sf_dir):
@@ -394,13 +397,13 @@ def semi_anti_stores(spark, sf_dir):
 @query("clip_edits", "SELECT 'c' || event_id AS clip_id, value + CASE WHEN event_id % 7 = 0 THEN 1000 ELSE 0 END AS start_ms FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT 'c' || event_id || '-copy', value + CASE WHEN event_id % 7 = 0 THEN 2000 ELSE 1000 END FROM events WHERE event_id % 5 <> 0 AND event_id % 11 = 0")
 def clip_edits(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    empty = spark.createDataFrame([], simulator.CLIP)
+    empty = spark.createDataFrame([], CLIP)
     named = events.select(F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("clip_id"), F.col("value").alias("start_ms"), "event_id", F.lit("i").alias("individual_id"), F.lit("s").alias("sequence_id"), F.lit(1).cast("long").alias("seed"))
     clips = empty.unionByName(named.drop("event_id"), allowMissingColumns=True)
     pick = lambda test: named.filter(test).select("clip_id")
     moved = clips.join(pick("event_id % 7 = 0"), "clip_id", "left_semi").withColumn("start_ms", F.col("start_ms") + 1000)
-    edited = simulator.delete_clips(simulator.upsert_clips(clips, moved), pick("event_id % 5 = 0"))
-    return simulator.add_clips(edited, simulator.duplicates(edited, pick("event_id % 11 = 0"))).select("clip_id", "start_ms")
+    edited = clip_tables.delete_clips(clip_tables.upsert_clips(clips, moved), pick("event_id % 5 = 0"))
+    return clip_tables.add_clips(edited, clip_tables.duplicates(edited, pick("event_id % 11 = 0"))).select("clip_id", "start_ms")
 
 
 @query("band_lookup", with_steps(f"SELECT line_no, {label_sql('fme_khz', BANDS).replace(repr('Indetermine'), repr('track-low'))} AS band, {label_sql('fme_khz', COMMON_RULES, None)} AS common_name FROM clean"))
@@ -409,14 +412,14 @@ def band_lookup(spark, sf_dir):
     return cleaned(spark, sf_dir).select("line_no", band(x).alias("band"), label(x, COMMON_RULES, None).alias("common_name"))
 
 
-@query("species_dimension", f"""SELECT event_id, coalesce(common_name, 'Pipistrelle de Kuhl') AS common_name FROM events LEFT JOIN (VALUES {', '.join(f"('{t[0]}', '{t[1]}')" for t in simulator.TEMPLATES)}) s(id, common_name)
+@query("species_dimension", f"""SELECT event_id, coalesce(common_name, 'Pipistrelle de Kuhl') AS common_name FROM events LEFT JOIN (VALUES {', '.join(f"('{t[0]}', '{t[1]}')" for t in SPECIES_NAMES)}) s(id, common_name)
     ON s.id = CASE event_type WHEN 'click' THEN 'pip-common' WHEN 'view' THEN 'pip-pygmy' WHEN 'error' THEN 'serotine' ELSE 'other' END""")
 def species_dimension(spark, sf_dir):
-    """Species by id, the first template for an unknown one. The templates are a table of six rows."""
-    kinds = spark.createDataFrame([(t[0], t[1]) for t in simulator.TEMPLATES], "id string, common_name string")
+    """Species by id, the first one for an unknown one. Their names are a table of six rows."""
+    kinds = spark.createDataFrame([(t[0], t[1]) for t in SPECIES_NAMES], "id string, common_name string")
     kind = F.when(F.col("event_type") == "click", "pip-common").when(F.col("event_type") == "view", "pip-pygmy").when(F.col("event_type") == "error", "serotine").otherwise("other")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", kind.alias("id"))
-    return events.join(F.broadcast(kinds), "id", "left").select("event_id", F.coalesce("common_name", F.lit(simulator.TEMPLATES[0][1])).alias("common_name"))
+    return events.join(F.broadcast(kinds), "id", "left").select("event_id", F.coalesce("common_name", F.lit(SPECIES_NAMES[0][1])).alias("common_name"))
 
 
 _STORE = {"st": "SELECT *, row_number() OVER (ORDER BY time_ms, line_no) - 1 AS r FROM ses", "seg": "SELECT passage_id AS segment, min(r) AS row_start, max(r) + 1 AS row_end FROM st GROUP BY passage_id"}
@@ -424,9 +427,9 @@ _STORE = {"st": "SELECT *, row_number() OVER (ORDER BY time_ms, line_no) - 1 AS
 
 def _imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = kept(spark, sf_dir)
-    order = Window.partitionBy("recording_id").orderBy("time_ms", "line_no")
-    store = rows.withColumn("row_idx", F.row_number().over(order) - 1).withColumn("store_id", F.lit("s")).withColumn("bin_khz", F.lit(0.390625)).drop("fme_khz", "fi_khz", "ft_khz")
-    clips = simulator.import_as_clips(eda.clip_summary(pre.sessionize(rows, GAP)), pre.segments(rows, GAP), "s")
+    sized = pre.mark_steps(rows, GAP, number="row_idx", bucket_ms=BUCKET)
+    store = sized.withColumn("store_id", F.lit("s")).withColumn("bin_khz", F.lit(0.390625)).drop("fme_khz", "fi_khz", "ft_khz", "gap_ms", "passage_id")
+    clips = clip_tables.import_as_clips(eda.clip_summary(sized.drop("row_idx")), pre.segments(rows, GAP, BUCKET), "s")
     return clips, store
 
 
@@ -436,12 +439,12 @@ def imported_detections(spark, sf_dir):
     clips, store = _imported(spark, sf_dir)
     even = F.split("clip_id", "-")[1].cast("long") % 2 == 0
     moved = clips.withColumn("start_ms", F.when(even, F.col("start_ms") + 500).otherwise(F.col("start_ms")))
-    return simulator.imported_detections(moved, store, clamp=True).select(F.element_at(F.split("detection_id", "-"), -1).cast("long").alias("line"), "time_ms", "pos_fme", "fme_khz", "source_clip_id")
+    return clip_tables.imported_detections(moved, store, clamp=True).select(F.element_at(F.split("detection_id", "-"), -1).cast("long").alias("line"), "time_ms", "pos_fme", "fme_khz", "source_clip_id")
 
 
 @query("visible_clips", with_steps("SELECT concat('s-', passage_id) AS clip_id, count(*) AS n FROM ses GROUP BY passage_id HAVING max(time_ms) >= 1000000 AND min(time_ms) <= 1200000", "ses"))
 def visible_clips(spark, sf_dir):
-    return simulator.visible(_imported(spark, sf_dir)[0], 1_000_000, 1_200_000).select("clip_id", (F.col("row_end") - F.col("row_start")).cast("long").alias("n"))
+    return clip_tables.visible(_imported(spark, sf_dir)[0], 1_000_000, 1_200_000).select("clip_id", (F.col("row_end") - F.col("row_start")).cast("long").alias("n"))
 
 
 @query("id_sets", with_steps("""SELECT species, len(list_distinct(list_concat(a, b))) AS n_union, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS n_except, len(list_filter(a, lambda x: list_contains(b, x))) AS n_both FROM (
@@ -474,7 +477,7 @@ def echo_distances(spark, sf_dir):
 @query("call_curves", with_steps("SELECT line_no, k, round(ft_khz + (fi_khz - ft_khz) * exp(-3.5 * k / 8), 6) AS khz FROM clean, (SELECT CAST(range AS INT) AS k FROM range(9))"))
 def call_curves(spark, sf_dir):
     """The frequency along each call, as a chart draws it."""
-    return cleaned(spark, sf_dir).select("line_no", F.posexplode(simulator.call_curve()).alias("k", "khz")).withColumn("khz", F.round("khz", 6))
+    return cleaned(spark, sf_dir).select("line_no", F.posexplode(clip_tables.call_curve()).alias("k", "khz")).withColumn("khz", F.round("khz", 6))
 
 
 @query("track_overlaps", with_steps("SELECT a.track_id AS a, b.track_id AS b FROM tracks a JOIN tracks b ON a.track_id < b.track_id AND a.start_time_ms <= b.end_time_ms AND a.end_time_ms >= b.start_time_ms", more=_TRACKS))
@@ -548,38 +551,28 @@ def tracks_csv(spark, sf_dir):
     return tracks_csv_rows(_counted(spark, sf_dir)[1].tracks)
 
 
-@query("bootstrap_ci")
-def bootstrap_ci(spark, sf_dir):
-    return validation.bootstrap_table(_metrics(spark, sf_dir))
-
-
-@query("generate_scenarios")
-def generate_scenarios(spark, sf_dir):
-    return generate.generate_frames(spark, "dev", 5)[1]
-
+def _bootstrap_sql() -> str:
+    """Each scenario's Poisson weight in each resample from a hash of both, sums by resample, and their quantiles."""
+    draw = "CAST('0x' || substr(md5(scenario_id || ':' || resample || ':{seed}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+    steps = []
+    for k, limit in enumerate(validation.POISSON):
+        steps.append(f"WHEN u < {limit!r} THEN {k}")
+    weight = f"CASE {' '.join(steps)} ELSE {len(validation.POISSON)} END"
+    parts = []
+    for k, (name, column) in enumerate((("bias", "signed_error"), ("mae", "absolute_error"), ("exact", "CAST(exact_match AS INT)"))):
+        parts.append(f"SELECT '{name}' AS m, group_id, \"group\", resample, sum(w * x)::DOUBLE / nullif(sum(w), 0) AS v FROM (SELECT *, {weight} AS w FROM (SELECT *, {draw.format(seed=validation.SEED + k)} AS u, {column} AS x FROM g, (SELECT range AS resample FROM range({validation.SAMPLES})))) GROUP BY ALL")
+    ends = ", ".join(f"round(quantile_cont(v, {q}) FILTER (m = '{n}'), 6) AS {n}_ci_{e}" for n in ("bias", "mae", "exact") for e, q in (("low", 0.025), ("high", 0.975)))
+    grouped = "SELECT met.*, group_id, CASE group_id WHEN 1 THEN 'global' ELSE case_type END AS \"group\" FROM met, (SELECT unnest([0, 1]) AS group_id)"
+    return with_steps(f'SELECT CAST(group_id AS INT) AS group_id, "group", {ends} FROM s GROUP BY group_id, "group"', more=_TRACKS | {"g": grouped, "s": " UNION ALL ".join(parts)})
 
-@query("generate_distributed")
-def generate_distributed(spark, sf_dir):
-    return generate.generate_distributed(spark, "dev", 20)[0]
 
-
-@query("validation_summary")
-def validation_summary(spark, sf_dir):
-    rows, truth, _ = generate.generate_frames(spark, "dev", 5)
-    return validation.evaluate(rows, truth)[1]
-
-
-@query("generate_night")
-def generate_night(spark, sf_dir):
-    return simulator.generate_night(spark, {"hours": 1}, 7)
-
-
-@query("derive_detections")
-def derive_detections(spark, sf_dir):
-    return simulator.detections(simulator.generate_night(spark, {"hours": 1}, 7))
+@query("bootstrap_ci", _bootstrap_sql())
+def bootstrap_ci(spark, sf_dir):
+    found = validation.bootstrap_table(_metrics(spark, sf_dir))
+    return found.select("group_id", "group", *(r6(f"{n}_ci_{e}") for n in ("bias", "mae", "exact") for e in ("low", "high")))
 
 
-@query("sensor_round_trip")
+@query("sensor_round_trip", with_steps("SELECT time_ms, pos_fme, pos_fi, pos_ft, duration_windows, snr_db FROM det", "det"))
 def sensor_round_trip(spark, sf_dir):
     """Detections written as a log and read back."""
     from ..sinks.files import write_sensor_text

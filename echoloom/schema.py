@@ -11,6 +11,9 @@ SAMPLE_KHZ, FFT_LENGTH, FFT_OVERLAP, SNR_MIN_DB = 200, 512, 2, 19
 BIN_KHZ = SAMPLE_KHZ / FFT_LENGTH
 WINDOW_MS = FFT_LENGTH / FFT_OVERLAP / SAMPLE_KHZ
 
+#: Length of the buckets of time that a recording is dealt to tasks by: an hour.
+BUCKET_MS = 3_600_000
+
 DETECTION = "recording_id string, line_no long, time_ms long, pos_fme int, pos_fi int, pos_ft int, duration_windows int, snr_db int"
 METADATA = "recording_id string, freq_khz double, lenfft double, overlap double, snr_min double, bin_khz double"
 TRUTH = "dataset string, scenario_id string, case_type string, replicate_id int, individual_id string, species string, start_ms long, end_ms long, expected_count int, n_chirps int, fme_khz double, ici_ms double, phase string, notes string"
@@ -33,7 +36,7 @@ def struct(ddl: str) -> T.StructType:
 
 @dataclass(frozen=True)
 class PreprocessConfig:
-    """Gaps in ms and bins; strategy is drop_later or best_snr. bucket_ms cuts very long recordings into windows of time."""
+    """Gaps in ms and bins; strategy is drop_later or best_snr. bucket_ms cuts recordings into buckets of time; None orders each in one task."""
 
     passage_gap_ms: float = 100.0
     echo_gap_ms: float = 10.0
@@ -42,7 +45,7 @@ class PreprocessConfig:
     min_passage_chirps: int = 1
     strategy: str = "drop_later"
     bin_khz: float = BIN_KHZ
-    bucket_ms: int | None = None
+    bucket_ms: int | None = BUCKET_MS
 
     def __post_init__(self) -> None:
         if self.strategy not in ("drop_later", "best_snr"):

@@ -1,13 +1,11 @@
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
 from echoloom import cli, facade
 from echoloom.functions import units
-from echoloom.operators import simulator as sim
+from echoloom.operators import clips as sim
 from echoloom.operators.species import COMMON_RULES, label
-from echoloom.schema import CLIP, DETECTION
+from echoloom.schema import CLIP, DETECTION, TRUTH, struct
 from echoloom.sinks import files
 from echoloom.sources import tables
 from echoloom.sources.sensor_text import parse_sensor_text, read_sensor_text
@@ -36,7 +34,7 @@ def test_species_labels(spark):
 def test_units(spark):
     assert values(spark, [units.khz_to_bin(F.lit(float(v)), "simulator") for v in (0, 45, 200)]) == [0, 115, 255]
     assert values(spark, [units.duration_to_windows(F.lit(v), "simulator") for v in (0.2, 1.28, 6.4)]) == [1, 1, 5]
-    assert values(spark, [units.fnv1a(F.lit("a"))]) == [3826002220] == [sim.hash_seed("a")]
+    assert values(spark, [units.fnv1a(F.lit("a"))]) == [3826002220]
     p = spark.range(1).select(*(units.parse_parameter(F.lit(n)).alias(f"p{i}") for i, n in enumerate(("a=5", "a=b=c", "plain")))).first()
     assert (p.p0.name, p.p0.value) == ("a", 5.0) and p.p1.name == "" and p.p2.value is None
     assert values(spark, [units.scenario_id(F.lit("dev"), F.lit("c"), F.lit(3), F.lit("k"), F.lit(1.5))]) == ["dev-c-k-1p5-0003"]
@@ -64,19 +62,31 @@ def test_log_flavors(spark):
             parse_sensor_text(spark, bad, flavor)
 
 
+def bats(spark):
+    """Two bats of a regular rhythm in each of three nights of calls, and the truth about them."""
+    calls = sorted((5_000 * k + 3_000 + i * step + late, fme, fme + 4, fme - 3, 6, 24 + i % 3) for k in range(3) for fme, step, late in ((97, 90, 0), (141, 90, 40)) for i in range(14))
+    truth = [("dev", f"s{k}", "pair" if k else "first", 1, f"i{k}{b}", "x", 5_000 * k + 3_000, 5_000 * k + 4_800, 2, 14, 38.0, 100.0, "transit", "ici_delta_ms=5.0" if k == 2 else "") for k in range(3) for b in range(2)]
+    return frame(spark, calls), spark.createDataFrame(truth, TRUTH)
+
+
 def test_command_lines(spark, tmp_path, capsys):
-    cli.main(["validation", "run", "--n-replicates", "2", "--output-dir", str(tmp_path / "d"), "--processed-dir", str(tmp_path / "p"), "--plot-dir", str(tmp_path / "c")], spark)
+    path, truth = str(tmp_path / "d" / "DATA"), str(tmp_path / "d" / "truth")
+    rows, known = bats(spark)
+    files.write_sensor_text(rows, path)
+    files.write_truth_csv(known, truth)
+    cli.main(["validation", "evaluate", "--input", path, "--truth", truth, "--processed-dir", str(tmp_path / "p"), "--plot-dir", str(tmp_path / "c")], spark)
     shown = capsys.readouterr().out
-    assert "global" in shown and "single_clean" in shown
-    path = str(tmp_path / "d" / "DATA_dev")
+    assert "global" in shown and "pair" in shown and "n=    3 bias=+0.000" in shown
+    cli.main(["validation", "profile", "--input", path, "--truth", truth], spark)
+    assert "n_scenarios: 3" in capsys.readouterr().out
     cli.main(["individuals", path, "--tracks-csv", str(tmp_path / "t"), "--report-output", str(tmp_path / "r" / "x.txt"), "--plot-output", str(tmp_path / "f")], spark)
     assert "Individual counting report" in (tmp_path / "r" / "x.txt").read_text()
     head = next((tmp_path / "t").glob("part-*")).read_text().splitlines()[0]
     assert head.startswith("track_id,passage_id,packet_id")
     cli.main(["species", path, "-o", str(tmp_path / "h")], spark)
-    cli.main(["zone", path], spark)
+    cli.main(["zone", path, "--low-khz", "30", "--high-khz", "45"], spark)
     shown = capsys.readouterr().out
-    assert "Selected K" in shown and "Analyse zone 22.0-28.0 kHz" in shown
+    assert "Selected K" in shown and "Analyse zone 30.0-45.0 kHz" in shown
     assert facade.eda_feeds(facade.load(spark, path)[0])["gap_stats"].first().n_beyond > 0
 
 
@@ -99,37 +109,34 @@ def test_import_move_and_export(spark, tmp_path):
     store.clear()
 
 
+CLIPS = [("c1", "sequence", 1000.0, 800.0, 100.0, 7, None), ("c2", "noise", 5000.0, 300.0, 50.0, 8, None), ("c3", "imported", 9000.0, 400.0, None, None, 120.0)]
+
+
+def clip_table(spark):
+    rows = [{"clip_id": c, "kind": k, "individual_id": f"{c}-i", "sequence_id": f"{c}-s", "start_ms": s, "duration_ms": d, "ici_mean_ms": i, "seed": n, "ici_median_ms": m} for c, k, s, d, i, n, m in CLIPS]
+    names = [f.name for f in struct(CLIP).fields]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], CLIP)
+
+
 def test_project_document(spark, tmp_path):
-    clips = sim.generate_night(spark, {"hours": 1, "per_hour": 5}, 3)
+    clips = clip_table(spark)
     project = clips.groupBy().agg(F.collect_list(F.struct(*clips.columns)).alias("clips")).select(F.lit(1).alias("schema_version"), F.lit("p").alias("id"), "clips")
     files.write_project(project, str(tmp_path / "project"))
     back = tables.read_project(spark, str(tmp_path / "project"))
-    assert tables.project_clips(back).count() == clips.count() == 6
+    assert tables.project_clips(back).count() == clips.count() == 3
     tables_path = str(tmp_path / "saved")
     files.save_project_table(back, tables_path)
     assert tables.load_project_table(spark, tables_path).first().id == "p"
 
 
-def test_night_is_seeded_and_edits(spark):
-    a, b = (sim.generate_night(spark, {"hours": 1}, 5).orderBy("clip_id").collect() for _ in range(2))
-    assert a == b and len(a) == 120 + math.floor(120 * 0.12 + 0.5)
-    clips = spark.createDataFrame(a, CLIP)
-    ids = spark.createDataFrame([("clip-1",)], "clip_id string")
-    assert sim.delete_clips(clips, ids).count() == len(a) - 1
-    copy = sim.duplicates(clips, ids).first()
-    assert copy.clip_id == "clip-1-copy" and copy.start_ms == clips.filter("clip_id = 'clip-1'").first().start_ms + 1000
-    half = sim.half_interval_copies(clips, ids).first()
-    assert half.individual_id.endswith("-half")
-    noisy = sim.to_noise(clips, ids)
-    assert noisy.filter("clip_id = 'clip-1-noise' and kind = 'noise' and not echo_enabled").count() == 1 and noisy.count() == len(a)
-    found = sim.detections(clips)
-    ids = [r.detection_id for r in found.orderBy("time_ms", "source_clip_id").collect()]
-    assert ids[0] == "det-000001" and len(set(ids)) == len(ids)
-    shown = found.filter("is_noise").agg(F.max("snr_db")).first()[0]
-    assert shown <= 24 and sim.visible(clips, 0, 1).count() <= len(a)
-
-
-def test_stream_numbers():
-    rng = sim.Stream(0)
-    first = [rng.next() for _ in range(1000)]
-    assert all(0 <= x < 1 for x in first) and 0.4 < sum(first) / 1000 < 0.6 and {sim.Stream(9).integer(1, 3) for _ in range(3)} <= {1, 2, 3}
+def test_clip_edits(spark):
+    clips = clip_table(spark)
+    ids = spark.createDataFrame([("c1",), ("c3",)], "clip_id string")
+    assert [r.clip_id for r in sim.delete_clips(clips, ids).collect()] == ["c2"]
+    copies = {r.clip_id: r for r in sim.duplicates(clips, ids).collect()}
+    assert copies["c1-copy"].start_ms == 2000 and copies["c1-copy"].seed == 1016 and set(copies) == {"c1-copy", "c3-copy"}
+    half = {r.clip_id: r for r in sim.half_interval_copies(clips, ids).collect()}
+    assert half["c1-half"].start_ms == 1050 and half["c3-half"].start_ms == 9060 and half["c1-half"].individual_id == "c1-i-half"
+    noisy = {r.clip_id: r for r in sim.to_noise(clips, ids).collect()}
+    assert noisy["c1-noise"].kind == "noise" and noisy["c1-noise"].duration_ms == 500 and not noisy["c1-noise"].echo_enabled and noisy["c3"].kind == "imported"
+    assert [r.clip_id for r in sim.visible(clips, 4000, 8000).collect()] == ["c2"]

@@ -5,8 +5,8 @@ from hypothesis import strategies as st
 from echoloom.operators import preprocess as pre
 from echoloom.schema import DETECTION, PreprocessConfig
 
-SORTED = [(220, 100, 103, 97, 6, 25), (0, 0, 0, 0, 0, 0), (0, 97, 100, 94, 6, 26), (80, 98, 101, 95, 6, 26)]
-ECHO = [(0, 97, 100, 94, 6, 20), (5, 98, 101, 95, 6, 30), (100, 97, 100, 94, 6, 25)]
+MIXED = [(930, 120, 126, 117, 4, 31), (700, 0, 0, 0, 0, 0), (700, 119, 124, 118, 4, 22), (760, 121, 127, 118, 5, 27), (700, 0, 5, 0, 0, 0)]
+LINKED = [(40, 142, 149, 139, 3, 21), (48, 141, 149, 138, 3, 33), (57, 140, 147, 138, 3, 29), (400, 142, 149, 139, 3, 24)]
 
 
 def frame(spark, rows, name="r"):
@@ -14,19 +14,19 @@ def frame(spark, rows, name="r"):
 
 
 def test_sorts_drops_artefacts_and_splits_passages(spark):
-    done = pre.preprocess(frame(spark, SORTED))
+    done = pre.preprocess(frame(spark, MIXED), PreprocessConfig(fme_min_khz=-1.0))
     counters = done.counters.first()
-    assert (counters.n_raw, counters.n_artefacts) == (4, 1)
-    assert [r.time_ms for r in done.clean.orderBy("time_ms").collect()] == [0, 80, 220]
+    assert (counters.n_raw, counters.n_artefacts) == (5, 2)
+    assert [r.time_ms for r in done.clean.orderBy("time_ms").collect()] == [700, 760, 930]
     assert [r.n_chirps for r in pre.passages(done.clean).orderBy("passage_id").collect()] == [2, 1]
 
 
-@pytest.mark.parametrize("strategy,times,snr", [("drop_later", [0, 100], [20, 25]), ("best_snr", [5, 100], [30, 25])])
+@pytest.mark.parametrize("strategy,times,snr", [("drop_later", [40, 400], [21, 24]), ("best_snr", [48, 400], [33, 24])])
 def test_echo_strategies(spark, strategy, times, snr):
-    done = pre.preprocess(frame(spark, ECHO), PreprocessConfig(strategy=strategy))
+    done = pre.preprocess(frame(spark, LINKED), PreprocessConfig(strategy=strategy))
     rows = done.clean.orderBy("time_ms").collect()
     assert [r.time_ms for r in rows] == times and [r.snr_db for r in rows] == snr
-    assert done.counters.first().n_echoes == 1
+    assert done.counters.first().n_echoes == 2
 
 
 def test_unknown_strategy():
@@ -45,9 +45,10 @@ def test_min_passage_chirps_keeps_numbers(spark):
     assert done.counters.first().n_passages_detected == 1
 
 
-def test_segments(spark):
-    rows = frame(spark, [(1000, 97, 100, 94, 6, 25), (1080, 98, 101, 95, 6, 26), (1250, 136, 140, 132, 5, 24), (1300, 137, 141, 133, 5, 23)])
-    assert [(r.row_start, r.row_end) for r in pre.segments(rows, 100).orderBy("segment").collect()] == [(0, 2), (2, 4)]
+@pytest.mark.parametrize("bucket", [None, 70, 3_600_000])
+def test_segments(spark, bucket):
+    rows = frame(spark, [(t, 90, 93, 88, 4, 20) for t in (10, 65, 70, 300, 390, 490, 495)])
+    assert [(r.row_start, r.row_end) for r in pre.segments(rows, 100, bucket).orderBy("segment").collect()] == [(0, 3), (3, 5), (5, 7)]
 
 
 detection = st.tuples(st.integers(0, 400), st.integers(44, 50), st.just(60), st.just(40), st.integers(0, 6), st.integers(0, 30))
