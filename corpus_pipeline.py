@@ -39,7 +39,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-#: Trees, dependent rounding and tokens can't be put in SQL; tests hold each stage against a brute-force version.
+#: Trees, dependent rounding and tokens can't be put in SQL; tests/llm/test_pipeline.py holds each stage's decisions against
+#: those of its operator on the same rows (near-duplicates against a plain version), the operators' own tests against plain ones.
 ORACLE_SQL = None
 
 
