@@ -12,9 +12,10 @@ from ..operators import activity, clips as clip_tables, counting, density, eda,
 from ..operators import preprocess as pre
 from ..operators.ranges import overlaps, points_in_intervals
 from ..operators.species import BANDS, COMMON_RULES, LATIN_RULES, SPECIES_NAMES, band, label, label_sql, posterior, predict
-from ..schema import CLIP, MixtureConfig, PreprocessConfig
+from ..schema import CLIP, MixtureConfig, PreprocessConfig, SplitConfig
 from ..scratch import scratch_folder as scratch
 from .events_view import BUCKET, ECHO, GAP, detections, with_steps
+from .model_sql import density_sql, tracker_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -490,7 +491,7 @@ def track_overlaps(spark, sf_dir):
     return a.join(b, met).select(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b")).distinct()
 
 
-# Models, trackers, generators, files and streams: no SQL says what they do.
+# Models, trackers, files and streams. The SQL of whole fits and of their thresholds is missing: mixture_components holds their parameters.
 
 
 @query("gmm_fit")
@@ -503,48 +504,77 @@ def gmm_fit_web(spark, sf_dir):
     return density.fit_models(cleaned(spark, sf_dir), [MixtureConfig(flavor="web")]).drop("grid", "density")
 
 
-@query("kde_sweep")
+_SWEEP = [MixtureConfig(bandwidth=b, prominence=p) for b in ("scott", "silverman") for p in (0.05, 0.10)]
+
+
+@query("kde_sweep", density_sql("SELECT CAST(config AS INT) AS config, CAST(k AS INT) AS k, CAST(place - 1 AS INT) AS place, round(x, 6) AS peak FROM peak", _SWEEP))
 def kde_sweep(spark, sf_dir):
     """Peaks by bandwidth rule and least prominence."""
-    configs = [MixtureConfig(bandwidth=b, prominence=p) for b in ("scott", "silverman") for p in (0.05, 0.10)]
-    return density.fit_models(cleaned(spark, sf_dir), configs).select("config", "k", "peaks")
+    found = density.fit_models(cleaned(spark, sf_dir), _SWEEP).select("config", "k", F.posexplode("peaks").alias("place", "peak"))
+    return found.select("config", "k", "place", r6("peak"))
+
 
+@query("mixture_components", density_sql("SELECT CAST(component - 1 AS INT) AS component, round(m, 6) AS mean, round(s, 6) AS sigma, round(w, 6) AS weight FROM mix", [MixtureConfig()]))
+def mixture_components(spark, sf_dir):
+    """The fitted mixture, a row a component."""
+    found = density.fit_models(cleaned(spark, sf_dir)).select(F.posexplode(F.arrays_zip("means", "sigmas", "weights")).alias("component", "c"))
+    return found.select("component", r6("c.means", "mean"), r6("c.sigmas", "sigma"), r6("c.weights", "weight"))
 
-@query("gmm_curve")
+
+@query("gmm_curve", density_sql("SELECT CAST(i AS INT) AS point, round(any_value(x), 6) AS x, round(any_value(y), 6) AS density, round(sum(w * exp(-0.5 * pow((x - m) / s, 2)) / (s * sqrt(2 * pi()))), 6) AS mixture FROM grd, mix GROUP BY i", [MixtureConfig()]))
 def gmm_curve(spark, sf_dir):
     """Density and mixture along the grid, for drawing."""
     model = density.fit_models(cleaned(spark, sf_dir))
     points = model.select("means", "sigmas", "weights", F.posexplode(F.arrays_zip("grid", "density")).alias("point", "g"))
     z = F.zip_with(F.zip_with("means", "sigmas", lambda m, s: F.struct(m.alias("m"), s.alias("s"))), "weights", lambda p, w: w * units.normal_density(F.col("g.grid"), p["m"], p["s"]))
-    return points.select("point", F.col("g.grid").alias("x"), F.col("g.density").alias("density"), F.aggregate(z, F.lit(0.0), lambda a, b: a + b).alias("mixture"))
+    return points.select("point", r6("g.grid", "x"), r6("g.density", "density"), F.round(F.aggregate(z, F.lit(0.0), lambda a, b: a + b), 6).alias("mixture"))
+
+
+#: Gaps in ticks of the passages that are counted.
+_COUNT_GAP, _COUNT_ECHO = 200, 20
 
 
-def _counted(spark, sf_dir, gap: float = 200, echo: float = 20) -> tuple[DataFrame, counting.Counted]:
+def _tracks_sql(select: str) -> str:
+    return tracker_sql(select, _COUNT_GAP, _COUNT_ECHO)
+
+
+def _counted(spark, sf_dir, gap: int = _COUNT_GAP, echo: int = _COUNT_ECHO, split: SplitConfig = SplitConfig()) -> tuple[DataFrame, counting.Counted]:
     clean = cleaned(spark, sf_dir, passage_gap_ms=gap, echo_gap_ms=echo, strategy="best_snr")
-    return clean, counting.count_individuals(clean)
+    return clean, counting.count_individuals(clean, split)
 
 
-@query("species_split")
+@query("species_split", _tracks_sql("SELECT passage_id, 0::BIGINT AS packet, n, fme_khz FROM base"))
 def species_split(spark, sf_dir):
     return _counted(spark, sf_dir)[1].calls.groupBy("passage_id", "packet").agg(F.count("*").alias("n"), F.first("packet_fme_khz").alias("fme_khz"))
 
 
-@query("tracks")
+@query("tracks", _tracks_sql("SELECT * FROM trk"))
 def tracks(spark, sf_dir):
     return _counted(spark, sf_dir)[1].tracks.drop("recording_id")
 
 
-@query("tracks_by_species")
+_WHOLE = SplitConfig(min_chirps=2**62)
+
+
+@query("tracks_unsplit", tracker_sql("SELECT * FROM trk", GAP, ECHO, _WHOLE))
+def tracks_unsplit(spark, sf_dir):
+    """Tracks through long passages of all species together."""
+    return _counted(spark, sf_dir, GAP, ECHO, _WHOLE)[1].tracks.drop("recording_id")
+
+
+@query("tracks_by_species", _tracks_sql("SELECT passage_species, count(*) AS n_tracks, CAST(sum(n_chirps) AS BIGINT) AS n_chirps, count(*) FILTER (suspicious_short_ici) AS n_suspicious FROM trk GROUP BY passage_species"))
 def tracks_by_species(spark, sf_dir):
     return _counted(spark, sf_dir)[1].tracks.groupBy("passage_species").agg(F.count("*").alias("n_tracks"), F.sum("n_chirps").alias("n_chirps"), F.count_if("suspicious_short_ici").alias("n_suspicious"))
 
 
-@query("counting_summary")
+@query("counting_summary", _tracks_sql("""SELECT (SELECT count(DISTINCT passage_id2) FROM clean) AS n_passages_detected, count(*) AS n_individuals_estimated, count(*) FILTER (suspicious_short_ici) AS n_suspicious_short_ici_tracks,
+    (SELECT '{' || string_agg('"' || passage_species || '":' || n, ',' ORDER BY passage_species) || '}' FROM (SELECT passage_species, count(*) AS n FROM trk GROUP BY passage_species)) AS by_species FROM trk"""))
 def counting_summary(spark, sf_dir):
     return _counted(spark, sf_dir)[1].summary.select("n_passages_detected", "n_individuals_estimated", "n_suspicious_short_ici_tracks", F.to_json("individuals_by_species").alias("by_species"))
 
 
-@query("tracks_csv")
+@query("tracks_csv", _tracks_sql("""SELECT track_id, passage_id, packet_id, passage_species, start_time_ms, end_time_ms, n_chirps, printf('%.6f', fme_median_khz) AS fme_median_khz,
+    coalesce(printf('%.6f', ici_median_ms), 'nan') AS ici_median_ms, CAST(suspicious_short_ici AS VARCHAR) AS suspicious_short_ici FROM trk"""))
 def tracks_csv(spark, sf_dir):
     from ..sinks.files import tracks_csv_rows
 

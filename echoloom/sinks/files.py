@@ -38,9 +38,9 @@ def decimals(value: Column, digits: int = 6) -> Column:
 
 
 def tracks_csv_rows(tracks: DataFrame) -> DataFrame:
-    """The columns of the tracks CSV as text: six digits, nan, lower-case booleans, in order of track."""
+    """The columns of the tracks CSV as text: six digits, nan, lower-case booleans, in order of start, passage and track."""
     shown = {"fme_median_khz": decimals(F.col("fme_median_khz")), "ici_median_ms": decimals(F.col("ici_median_ms")), "suspicious_short_ici": F.lower(F.col("suspicious_short_ici").cast("string"))}
-    return tracks.orderBy("track_id").select(*(shown.get(f.name, F.col(f.name)).alias(f.name) for f in struct(TRACK_CSV).fields))
+    return tracks.orderBy("start_time_ms", "passage_id", F.length("track_id"), "track_id").select(*(shown.get(f.name, F.col(f.name)).alias(f.name) for f in struct(TRACK_CSV).fields))
 
 
 def write_tracks_csv(tracks: DataFrame, path: str) -> None:

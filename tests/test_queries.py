@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 import duckdb
 import pandas as pd
 import pytest
@@ -31,6 +34,30 @@ def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).toPandas() is not None
 
 
+def equal(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet'")
+    found, expected = QUERIES[name](spark, folder).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    assert len(found) and sorted(found.columns) == sorted(expected.columns)
+    assert rows(found) == rows(expected)
+
+
+@pytest.mark.parametrize("name", ["tracks", "tracks_unsplit", "tracks_by_species", "counting_summary", "tracks_csv", "mixture_components", "kde_sweep"])
+def test_models_equal_sql_on_a_larger_table(spark, name):
+    equal(spark, "/root/testdata/sf0.01", name)
+
+
+def test_long_tracks_equal_sql(spark, tmp_path):
+    """Four callers of even rhythms in one dense recording: tracks are long, meet, end and begin anew."""
+    rng = random.Random(5)
+    ticks = sorted((int(start + k * rhythm + rng.uniform(-9, 9)), caller) for caller, rhythm in enumerate((90, 100, 115, 130)) for start in (0, 9000) for k in range(40))
+    kinds = ["click", "click", "view", "error"]
+    made = [(n * 20 + 1, datetime(2024, 1, 1) + timedelta(seconds=100 + t), kinds[c], float(rng.randint(0, 40)), f'{{"k": {rng.randint(0, 20)}}}') for n, (t, c) in enumerate(ticks)]
+    pd.DataFrame(made, columns=["event_id", "ts", "event_type", "value", "props"]).to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us")
+    equal(spark, str(tmp_path), "tracks_unsplit")
+    assert QUERIES["tracks_unsplit"](spark, str(tmp_path)).agg({"n_chirps": "max"}).first()[0] > 20
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
