@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free, table
-from .quality import split_words
+from .common import SPACES, WORD, Scratch, free, table
 
 #: Documents or residuals folded by one call. A source's documents are dealt to FAN classes of size and FAN buckets of each.
 FAN = 64
@@ -79,6 +78,12 @@ def _fold(items: Column, level: int) -> Column:
     return F.aggregate(items, start.cast(f"struct<carry:{_ITEM},done:{_DONE}>"), step)
 
 
+def count_words(text: Column) -> Column:
+    """Runs of a text without ASCII white space, none of null: each is made one letter, so no list of words is held."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), WORD + "+", "x")
+    return F.char_length(F.translate(letters, SPACES, ""))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (copies times size) of every document.
 
@@ -88,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFr
     task gathers more than FAN rows of a source, and every level's result is written to the shared scratch folder.
     """
     scratch = Scratch(docs.sparkSession)
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(split_words(F.col("text"))).cast("long").alias("size"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).cast("long").alias("size"))
     sizes = scratch.save(sizes, "sizes")
     targets = scratch.save(source_targets(sizes, weights, most), "targets", 0)
     rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
