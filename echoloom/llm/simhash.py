@@ -18,7 +18,8 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 CHUNK = 16384
 #: Rows of a cell up to which all shifts of a batch are compared together.
 SHIFTS = 1024
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Lower-cases A-Z and makes white space spaces.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
 def fingerprint(text: str | None) -> int:
@@ -29,17 +30,20 @@ def fingerprint(text: str | None) -> int:
     """
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
+    raw = np.frombuffer((text or "").encode().translate(_PLAIN), np.uint8)
+    inner = raw != 32
+    inner[1:] |= inner[:-1].copy()  # and the one space after a word
+    joined = raw[inner].tobytes().strip(b" ")
+    if not joined:
         return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    count = max(1, len(words) - SHINGLE + 1)
-    starts = np.concatenate([[0], ends[:-1] + 1])[:count].tolist()
-    stops = ends[-count:].tolist() if len(words) >= SHINGLE else [len(joined)]
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    n = len(gaps) + 1
+    count = max(1, n - SHINGLE + 1)
+    starts = np.concatenate([[0], gaps + 1])[:count]
+    stops = np.concatenate([gaps, [len(joined)]])[min(SHINGLE, n) - 1 :]
     ones = np.zeros(64, np.int64)
     for at in range(0, count, 1 << 15):
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)])]
+        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 15)].tolist(), stops[at : at + (1 << 15)].tolist())]
         bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
