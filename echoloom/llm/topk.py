@@ -167,43 +167,43 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, lists: int = LI
     """Each query's k best candidates by integer inner product: query_id, rank, vec_id, score; both tables as quantize() gives.
 
     Queries go to the tasks in blocks dealt by their hashed ids, of `block` at most but for chance (four fifths of it in the
-    mean), so what is broadcast at a time is bounded however many there are; each block is two passes over the candidates. Phase 1 gathers each task's best entries of each list of partial
-    scores; the k-th best exact score among them is a safe cutoff, as the k-th best of all is no smaller. Phase 2
-    broadcasts it and collects the entries that can still reach it; phase 3 scores those exactly. A task hands on k rows
-    a query at most. Ties go to the smaller vec_id. A query's own row, known by its vec_id, is no candidate. Fewer than
-    k candidates are all returned; shorter vectors count as ended by zeros; repeated vec_ids are candidates each, and
-    one query. A score that exceeds 64 bits is the largest or
-    smallest long. No queries or no candidates give no rows.
+    mean). A block is two passes over the candidates, after which its results are written and what was broadcast is
+    freed, so neither the plan nor the memory of a machine grows with the number of blocks. Phase 1 gathers each task's
+    best entries of each list of partial scores; the k-th best exact score among them is a safe cutoff, as the k-th best
+    of all is no smaller. Phase 2 broadcasts it and collects the entries that can still reach it; phase 3 scores those
+    exactly. A task hands on k rows a query at most.
+
+    Ties go to the smaller vec_id. A query's own row, known by its vec_id, is no candidate. Fewer than k candidates are
+    all returned; shorter vectors count as ended by zeros; repeated vec_ids are candidates each, and one query. A score
+    that exceeds 64 bits is the largest or smallest long. No queries or no candidates give no rows.
     """
     spark, scratch = candidates.sparkSession, Scratch(candidates.sparkSession)
     stored = scratch.save(candidates.select("vec_id", "v"), "candidates")
     asked = scratch.save(queries.groupBy(F.col("vec_id")).agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-asked.count() * 5 // (4 * block)))
-    parts = []
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scratch.save(spark.createDataFrame([], _OUT), "best")
     for number in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number)
-        rows = mine.toArrow()
+        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).toArrow()
         if not rows.num_rows:
             continue
         rows = rows.combine_chunks()
         ids, vectors = rows.column("vec_id").to_numpy(), _matrix(rows.column("v").chunk(0))
         sent = spark.sparkContext.broadcast(_Block(ids, vectors))
         local = map_arrow(stored, _local_lists(sent, k, lists), _OUT)
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         kth = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", "score").toArrow()
+        sent.destroy()
         cutoffs = np.full(len(ids), -np.inf)  # a query with fewer than k candidates has none
         place = {int(q): n for n, q in enumerate(ids)}
         for q, s in zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist()):
             cutoffs[place[q]] = _below(s)
         sent = spark.sparkContext.broadcast(_Block(ids, vectors, cutoffs))
-        parts.append(map_arrow(stored, _above_cutoff(sent, k, lists), _OUT))
-    if not parts:
-        return stored.limit(0).selectExpr("vec_id as query_id", "0 as rank", "vec_id", "vec_id as score")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found = map_arrow(stored, _above_cutoff(sent, k, lists), _OUT)
+        found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank").write.mode("append").parquet(scratch.path("best"))
+        sent.destroy()
+    scratch.drop("candidates")
+    best = spark.read.schema(_OUT).parquet(scratch.path("best"))
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
