@@ -57,13 +57,20 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str | None = None,
     map_arrow(in_ranges(rows, partitions(rows), "doc_id"), _encode(tokenizer, end_id), SCHEMA).write.mode("overwrite").options(**LAYOUT, **ENCODINGS[encoding]).parquet(path)
 
 
-def read_token_table(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+def read_token_table(spark: SparkSession, path: str, ids: bool = True, first: int | None = None, last: int | None = None) -> DataFrame:
     """doc_id, start, n_tokens and, unless only metadata are asked for, ids. start counts the ids of all documents before.
 
-    The parts' totals (a row per file) come from two narrow columns; no id is decoded for them.
+    The parts' totals (a row per file) come from two narrow columns; no id is decoded for them. first and last ask for the
+    documents of doc_ids from one to the other, both included; the condition reaches the scan, and as files are in
+    doc_id order the statistics of files, row groups and pages skip what lies outside. Rows without a doc_id come only
+    where neither is given.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
     before = prefix_sums(rows.select("part", "n_tokens"), "part", "n_tokens", "before")
+    if first is not None:
+        rows = rows.filter(F.col("doc_id") >= first)
+    if last is not None:
+        rows = rows.filter(F.col("doc_id") <= last)
     found = rows.join(F.broadcast(before), "part").withColumn("start", F.col("part_start") + F.col("before"))
     return found.select("doc_id", "start", "n_tokens", *(["ids"] if ids else []))
 

@@ -394,6 +394,31 @@ def test_token_files(spark, encoding):
     assert token_output.digest_token_table(spark, path).count() == 0
 
 
+def test_token_ranges_skip_pages(spark):
+    """A range of doc_ids reads the pages that hold it, not the file; starts count the documents before it all the same."""
+    rows = spark.range(0, 20_000, 1, 1).selectExpr("id - 10 as doc_id", "concat('text ', id) as text").unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"))
+    path = Scratch(spark).path("tokens")
+    token_output.write_token_table(rows.coalesce(1), path)
+    whole = token_output.read_token_table(spark, path).toPandas()
+    for first, last in [(5000, 5100), (None, -5), (19_980, None), (30_000, 40_000), (7, 3)]:
+        some = token_output.read_token_table(spark, path, first=first, last=last)
+        found = some.toPandas().sort_values("doc_id")
+        asked = whole[whole.doc_id.between(-np.inf if first is None else first, np.inf if last is None else last)].sort_values("doc_id")
+        assert [(a.doc_id, a.start, a.n_tokens, list(a.ids)) for a in found.itertuples()] == [(a.doc_id, a.start, a.n_tokens, list(a.ids)) for a in asked.itertuples()]
+    scan = spark.read.schema(token_output.SCHEMA).parquet(path).filter("doc_id between 5000 and 5100").select("doc_id", "ids")
+    assert scan.count() == 101 and scanned(scan) <= 4000  # two pages at most, of the 5,000 rows or so of their file
+    plan = token_output.read_token_table(spark, path, first=5000, last=5100)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,5000)" in plan and "LessThanOrEqual(doc_id,5100)" in plan
+
+
+def scanned(df):
+    """How many rows the scans of a plan of one stage hand on."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
 # 6
 
 
