@@ -17,6 +17,8 @@ from .common import SPACES, WORD, Scratch, free, table
 #: Documents or residuals folded by one call. A source's documents are dealt to FAN classes of size and FAN buckets of each.
 FAN = 64
 BUCKETS = FAN * FAN
+#: Rows alike in all that are made out of one count at a time.
+CHUNK = 1 << 16
 #: Copies of a source's words at most, weights of the sources in order, and the seed of all draws.
 MOST, WEIGHTS, SEED = 3, (1, 2, 3), 7
 
@@ -89,22 +91,26 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFr
 
     size is the text's number of words; null and empty texts have none and take the whole part of their source's rate.
     A null source is one of its own. Rows that repeat a doc_id are documents each; a null doc_id is one like others.
-    Draws depend on ids, sizes and a seed, so runs agree. An empty table gives no rows; further columns are ignored. No
-    task gathers more than FAN rows of a source, and every level's result is written to the shared scratch folder.
+    Draws depend on ids, sizes and a seed, so runs agree. An empty table gives no rows; further columns are ignored. Rows
+    alike in id, source and size are counted before any shuffle and numbered when they part again, and are dealt to
+    buckets by that number as well, so no bucket gets all rows of one id. A call folds FAN rows at most, and every level's
+    result is written to the shared scratch folder.
     """
     scratch = Scratch(docs.sparkSession)
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).cast("long").alias("size"))
-    sizes = scratch.save(sizes, "sizes")
-    targets = scratch.save(source_targets(sizes, weights, most), "targets", 0)
+    sizes = scratch.save(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    targets = scratch.save(source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), weights, most), "targets", 0)
     rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rows = rows.withColumn("rate", F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0)))
     rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("x", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))))
+    rows = rows.withColumn("again", F.explode(F.sequence("chunk", F.least(F.col("chunk") + CHUNK, "n") - 1)))
     open_ = (F.col("size") > 0) & (F.col("x") > 0)
     by_size = F.lit(FAN - 1) - F.least(F.lit(FAN - 1), F.floor(2 * F.log2(F.greatest("size", F.lit(1)))))  # the largest first
-    dealt = by_size * FAN + F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FAN))
+    dealt = by_size * FAN + F.pmod(F.xxhash64("doc_id", "again", F.lit(SEED + 1)), F.lit(FAN))
     rows = rows.withColumn("bucket", F.when(open_, dealt.cast("int")))
     closed = rows.filter("bucket is null").select("doc_id", "size", "source_size", "target", "whole", F.lit(0).alias("one"))
-    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", F.lit(SEED + 2)), "doc_id", "size")
+    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", "again", F.lit(SEED + 2)), "doc_id", "size", "again")
     rows = rows.filter("bucket is not null").withColumn("place", F.row_number().over(inside) - 1)
     rows = rows.select("source", "source_size", "target", "whole", "bucket", "place", F.struct("doc_id", "size", "x").cast(_ITEM).alias("item"))
     folded, level, parts = None, 0, [closed]

@@ -205,6 +205,22 @@ def test_rounding_keeps_shares(spark):
             assert abs(same.copies.mean() - rate) < 0.1
 
 
+def test_mixing_spreads_rows_of_one_id(spark, monkeypatch):
+    """Most rows share one id, or are alike in all: they lie in many buckets, and the mix stays whole and near its target."""
+    rows = spark.createDataFrame([(7, "a b c", "s")] * 900 + [(None, "w " * (1 + i % 5), "s") for i in range(900)] + [(i, "one two", "t") for i in range(100)], "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    saved, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *a, **o: saved.setdefault(name, save(self, df, name, *a, **o)))
+    found = mixing.mix(rows).toPandas()
+    assert saved["level0"].filter("source = 's'").select("bucket").distinct().count() > 64
+    assert sorted(found["size"]) == sorted([3] * 900 + [1 + i % 5 for i in range(900)] + [2] * 100)
+    for _, g in found.groupby("target"):
+        assert g.source_size.iloc[0] == g["size"].sum() and abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 + 1
+    again = mixing.mix(rows.repartition(3)).toPandas()
+    order = ["doc_id", "size", "taken"]
+    assert found.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
+
+
 def test_mixing_of_odd_rows(spark):
     found = mixing.mix(odd_documents(spark)).toPandas()
     assert len(found) == 11 and (found.taken <= 3 * found["size"]).all() and abs(found.groupby("target").target.first().sum() - found["size"].sum()) < 1
