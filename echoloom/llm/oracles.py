@@ -81,3 +81,55 @@ FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 
 
 OP4 = _quality()
+
+
+def _repair() -> str:
+    """Damaged rows, their faults, and the least (cost, audit) from each row and output state, from the last row back."""
+    blank = "[^\\x20\\x09-\\x0D]"
+    names, step, keep = ("", "system", "user", "assistant"), (3, 3, 4, 3), {(1, "s"): 2} | {(s, "u"): 3 for s in (1, 2, 4)} | {(3, "a"): 4}
+
+    def edit(cost: str, letter: str, after: int, line: str | None) -> str:
+        lines = f"t[{after}].o" if line is None else f"list_prepend({line}, t[{after}].o)"
+        return f"{{'c': t[{after}].c + {cost}, 'a': '{letter}' || t[{after}].a, 'o': {lines}}}"
+
+    def row(s: int) -> str:
+        extra = "CASE fault WHEN 2 THEN 5 ELSE 0 END"
+        kept = " ".join(f"WHEN '{i}' THEN {edit(extra, 'K', to, q)}" for (a, i), to in keep.items() if a == s for q in ["role || ':' || text"])
+        reroled = edit(f"1 + {extra}", "R", step[s - 1], f"'{names[step[s - 1] - 1]}:' || text")
+        return f"list_min(list_filter([{edit('2', 'D', s, None)}, CASE WHEN fault >= 2 THEN {reroled} END, CASE WHEN fault >= 2 THEN CASE left(role, 1) {kept} END END], lambda x: x IS NOT NULL))"
+
+    inserted = ", ".join(f"list_min([t[{s}], {edit('5', 'I', step[s - 1], repr(names[step[s - 1] - 1] + ':'))}])" for s in range(1, 5))
+    return f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format(text="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k
+  FROM conversations, crc),
+d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '{blank}') THEN 0 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 1
+                 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 2 ELSE 3 END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM n),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 0) AS blank, count_if(fault = 1) AS duplicate,
+         count_if(fault = 2) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows
+  FROM f GROUP BY conv_id),
+ends AS (SELECT [{{'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])}}, {{'c': 10, 'a': 'II', 'o': ['user:', 'assistant:']}}, {{'c': 5, 'a': 'I', 'o': ['assistant:']}}, {{'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])}}] AS t),
+best AS (
+  SELECT conv_id, rows + 1 AS i, t FROM g, ends
+  UNION ALL
+  SELECT conv_id, i, [{inserted}] FROM (SELECT conv_id, i, [{inserted}] AS t FROM (
+    SELECT b.conv_id, f.i, [{', '.join(row(s) for s in range(1, 5))}] AS t FROM best b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(t[1].c, 0) AS BIGINT) AS cost,
+       coalesce(t[1].a, '') AS audit, sha256(coalesce(array_to_string(t[1].o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1"""
+
+
+OP13 = _repair()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk, toxicity
+from . import conversations, html_text, mixing, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_packing": packing.op9_packing,
     "op10_html_text": html_text.op10_html_text,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
-ORACLE_SQL = {"op2_sharding": oracles.OP2, "op4_quality": oracles.OP4, "op7_topk": oracles.OP7}
+ORACLE_SQL = {"op2_sharding": oracles.OP2, "op4_quality": oracles.OP4, "op7_topk": oracles.OP7, "op13_conversation_repair": oracles.OP13}
