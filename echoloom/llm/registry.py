@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, html_text, mixing, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk, toxicity, whitening
+from . import collision_search, conversations, html_text, mixing, oracles, packing, quality, sharding, simhash, token_counts, token_output, topk, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_packing": packing.op9_packing,
     "op10_html_text": html_text.op10_html_text,
+    "op11_collision_search": collision_search.op11_collision_search,
     "op12_whitening": whitening.op12_whitening,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
