@@ -175,9 +175,9 @@ def nearest(vectors: DataFrame, asks: str, k: int = K) -> DataFrame:
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     stored = scratch.save(vectors.select("vec_id", F.monotonically_increasing_id().alias("place"), "v"), "vectors")
     high = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
-    length = high * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x.cast("double") / high) * (x.cast("double") / high)))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     asked = F.coalesce(F.expr(asks), F.lit(False))
-    rows, queries, width, longest = stored.agg(F.count("*"), F.count_if(asked), F.max(F.size("v")), F.max(length)).first()
+    rows, queries, width, longest = stored.agg(F.count("*"), F.count_if(asked), F.max(F.size("v")), F.greatest(F.sqrt(F.max(squares)), F.max(high))).first()
     if not queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = max(1, min(max(partitions(stored), -(-rows // MOST)), rows // LEAST))

@@ -63,7 +63,7 @@ def _task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def moments(rows: DataFrame) -> tuple[int, list[int], int]:
     """Count of rows, exact sums of x at each place, and the largest |x - 100000|. A task hands on one row."""
-    parts = map_arrow(rows.select("x"), _task_sums, "n long, sums array<string>, high long")
+    parts = Scratch(rows.sparkSession).save(map_arrow(rows.select("x"), _task_sums, "n long, sums array<string>, high long"), "sums")
     n, high = parts.agg(F.sum("n"), F.max("high")).first()
     if not n:
         return 0, [], 0
