@@ -604,7 +604,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @query("sensor_round_trip", with_steps("SELECT time_ms, pos_fme, pos_fi, pos_ft, duration_windows, snr_db FROM det", "det"))
 def sensor_round_trip(spark, sf_dir):
-    """Detections written as a log and read back."""
+    """Detections written as a log of ordered part files and read back by byte ranges."""
     from ..sinks.files import write_sensor_text
     from ..sources.sensor_text import read_sensor_text
 

@@ -21,11 +21,17 @@ def sensor_header(count: int) -> list[str]:
 
 
 def write_sensor_text(rows: DataFrame, path: str) -> None:
-    """One log of one recording in a folder: header, then rows by time, every line ended by CR LF."""
+    """One log of one recording as a folder of part files, which in their order are the log: header, then rows by time,
+    every line ended by CR LF.
+
+    Rows are dealt to tasks by ranges of (time, line), so a log of any size is written by many tasks; the header's lines
+    are the smallest and open the first part. The header tells how many rows follow, so they are counted before.
+    """
     header = rows.sparkSession.createDataFrame([(n, line) for n, line in enumerate(sensor_header(rows.count()))], "n long, value string")
     head = header.select(F.lit(0).alias("part"), "n", F.lit(0).cast("long").alias("tie"), "value")
     body = rows.select(F.lit(1).alias("part"), F.col("time_ms").alias("n"), F.col("line_no").alias("tie"), F.concat_ws(" ", *ROW).alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("part", "n", "tie").select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    order = ("part", "n", "tie")
+    head.unionByName(body).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_truth_csv(truth: DataFrame, path: str) -> None:

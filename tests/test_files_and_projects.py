@@ -50,6 +50,32 @@ def test_log_round_trip(spark, tmp_path):
     assert meta.first().bin_khz == 0.390625
 
 
+def test_log_over_many_tasks(spark, tmp_path, monkeypatch):
+    """A log of 20,000 rows is written as several ordered parts and read by many byte ranges; so is one file of it."""
+    path = tmp_path / "d" / "night"
+    calls = [(t * 7, 97 + t % 5, 100, 95, 6, 24) for t in range(20_000)]
+    settings = {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "0", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.leafNodeDefaultParallelism": "1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        files.write_sensor_text(frame(spark, calls).repartition(5), str(path))
+        parts = sorted(path.glob("part-*"))
+        whole = b"".join(p.read_bytes() for p in parts)
+        assert len(parts) > 1 and whole.decode().split("\r\n") == [*files.sensor_header(20_000), *(" ".join(map(str, c)) for c in calls), ""]
+        (tmp_path / "one").mkdir()
+        (tmp_path / "one" / "DATA00.TXT").write_bytes(whole)
+        for name, at in (("night", path), ("DATA00.TXT", tmp_path / "one")):
+            rows, meta = read_sensor_text(spark, str(at))
+            assert rows.select("time_ms").rdd.getNumPartitions() > 8 if name == "night" else True
+            found = rows.orderBy("line_no").collect()
+            assert {r.recording_id for r in found} == {name} and [r.line_no for r in found] == list(range(13, 20_013)) and [tuple(r)[2:] for r in found] == calls
+            assert meta.first().bin_khz == 0.390625 and meta.count() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_log_flavors(spark):
     text = log(ROWS, "-5 1 1 1 1 1\r\n7 8 9\r\n1.5 1 1 1 1 1")
     assert parse_sensor_text(spark, text).count() == 4
