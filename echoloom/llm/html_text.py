@@ -51,6 +51,10 @@ WEIGHTS, PROSE_WEIGHT = {CLEAR: 1.0, WEAK: 0.1, STRONG: 0.01}, 0.5
 ENOUGH, LONG, PROSE, LINKED = 200, 80, 2 / 3, 0.2
 #: Share of the threshold that a marked element inside the main text needs to stay there.
 INSIDE = 1 / 3
+#: Elements that may hold links or short lines beside the text inside its own element; their share of linked characters that
+#: is too much, and that of a paragraph.
+DIVISIONS = frozenset("div section ul ol li dl dd dt table tbody thead tfoot tr td th center details summary figure address hgroup".split())
+MOSTLY, ALL_LINKS = 0.5, 0.9
 
 
 class Node:
@@ -69,12 +73,17 @@ class Node:
 
 
 def _named(names: str, among: frozenset[str]) -> int:
-    """The strongest mark that names of a class or id attribute give with those words."""
+    """The strongest mark that names of a class or id attribute give with those words.
+
+    A word that is not known makes the name that of something else, unless the name speaks of replies; letters that prefix
+    a name ("c-promo") say nothing.
+    """
     mark = CLEAR
     for name in names.split():
         words = {w.lower() for w in _TOKEN.findall(name) if not w.isdigit()}
         telling = words & among
-        if telling and words - telling <= PLAIN_NAMES and not words & STATES:
+        others = {w for w in words - telling - PLAIN_NAMES if len(w) > 1}
+        if telling and (not others or telling & REPLIES) and not words & STATES:
             mark = max(mark, STRONG if telling & STRONG_NAMES else WEAK)
     return mark
 
@@ -229,8 +238,35 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def select(root: Node, tie_break: bool = True) -> tuple[list, float, set[int]]:
-    """The pieces (elements, or strings between them) that hold the main text in page order, the density threshold, the lead's path.
+def _mostly_links(node: Node, threshold: float) -> bool:
+    """A block inside the main text that is sparse and whose characters are links for the most part."""
+    most = MOSTLY if node.tag in DIVISIONS else ALL_LINKS if node.tag == "p" else 1.0
+    return node.raw > 0 and node.density < threshold and node.links > most * node.raw
+
+
+def _edges(lead: Node, path: set[int], threshold: float) -> set[int]:
+    """Short sparse divisions in the lead before its first dense or long block and after its last: site names, imprints."""
+    blocks = [c for c in lead.children if not isinstance(c, str) and c.tag not in INLINE and c.mark != SURE and c.raw]
+    dense = [k for k, b in enumerate(blocks) if id(b) in path or b.mark == CLEAR and (b.density >= threshold or b.raw >= LONG) and not _mostly_links(b, threshold)]
+    if not dense:
+        return set()
+    return {id(b) for k, b in enumerate(blocks) if not dense[0] <= k <= dense[-1] and b.tag in DIVISIONS and b.raw < LONG and b.density < threshold and not _headed(b)}
+
+
+def _headed(node: Node) -> bool:
+    """Whether the first block in an element is a heading: it belongs to the text that follows."""
+    while True:
+        inner = [c for c in node.children if not isinstance(c, str) and c.raw]
+        if not inner:
+            return False
+        node = inner[0]
+        if node.tag in UNNAMED - {"p"}:
+            return True
+
+
+def select(root: Node, tie_break: bool = True) -> tuple[list, float, set[int], set[int]]:
+    """The pieces (elements, or strings between them) that hold the main text in page order, the density threshold, the
+    lead's path, and the blocks inside that the threshold rules out.
 
     The element with the largest sum of its children's densities leads. The smallest density on its path from the body
     is the threshold: every element or string beside the path whose density reaches it is a piece as well, unless it is
@@ -239,7 +275,7 @@ def select(root: Node, tie_break: bool = True) -> tuple[list, float, set[int]]:
     """
     order = measure(root)
     if not root.chars:
-        return [], 0.0, set()
+        return [], 0.0, set(), set()
     best = max(order, key=lambda n: (n.total, n.density, n.tag in ("article", "main")))
     if not best.total:
         best = root
@@ -262,24 +298,30 @@ def select(root: Node, tie_break: bool = True) -> tuple[list, float, set[int]]:
             todo += [c for c in reversed(node.children) if isinstance(c, str) or c.mark != SURE]
         elif node.density >= threshold and node.tag != "a" and node.chars > 2 * node.link_chars or node.tag in ("h1", "h2") and node.weight == 1.0:
             found.append(node)
-    return found, threshold, on_path
+    # what stands at the ends of an article or main element is its own, as by-lines
+    dropped = set() if holders else _edges(best, on_path, threshold)
+    dropped |= {id(n) for n in order if id(n) not in on_path and n.mark == CLEAR and _mostly_links(n, threshold)}
+    return found, threshold, on_path, dropped
 
 
 def main_text(html: str | None, tie_break: bool = True) -> str:
     """The main text of a page: blocks in page order, white space of any length one space; empty for none or null.
 
-    Inside the pieces everything stays but elements that are certainly no text and marked ones whose density, lowered by
-    their names, is under a third of the threshold and that don't hold the lead.
+    Inside the pieces everything stays but elements that are certainly no text, marked ones whose density, lowered by
+    their names, is under a third of the threshold and that don't hold the lead, and blocks below the threshold that are
+    mostly links or short divisions at an end of the lead.
     """
     pieces: list[str] = []
     root = parse(html or "")
-    found, threshold, lead = select(root, tie_break)
+    found, threshold, lead, dropped = select(root, tie_break)
     for top in found:
         todo: list = [top]
         while todo:
             item = todo.pop()
             if isinstance(item, str):
                 pieces.append(item)
+            elif item is not top and id(item) in dropped:
+                pieces.append(" ")
             elif item is top or item.mark == CLEAR or item.mark != SURE and (id(item) in lead or item.density >= INSIDE * threshold > 0):
                 edge = [] if item.tag in INLINE else [" "]
                 todo += [*edge, *reversed(item.children), *edge]

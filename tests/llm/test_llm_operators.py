@@ -730,6 +730,41 @@ def test_html_by_density(body):
     assert html_text.main_text(f"<html><head><title>No</title></head><body>{body}</body></html>") == TEXT
 
 
+LINK_LIST = "".join(f"<a href={i}>{w}</a> " for i, w in enumerate(("Home", "News of the day", "About us")))
+TWO = f"<p>First {PROSE}</p><p>Second {PROSE}</p>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div><div>{LINK_LIST}</div>{TWO}</div>",
+        "<ul>" + "".join(f"<li><a href={w}>{w}</a>" for w in ("Home", "News", "About us")) + f"</ul>{TWO}",
+        f"<div>{LINK_LIST}</div><div>First {PROSE}</div><div>Second {PROSE}</div>",
+        f"<div>Home of News</div>{TWO}<div>Copyright 2020 News. Home, About us</div>",
+        f"<div class='top-bar'>Home: call 123</div>{TWO}",
+        f"{TWO}<div class='site-info'>News by us, Home of all</div>",
+        f"<article>{TWO}<ul>" + "".join(f"<li><a href={w}>{w}</a>" for w in ("Home in other news", "News from there", "About us")) + "</ul></article>",
+        f"<div>{TWO}<div class='c-promo__card'>About us and our News, go Home with more of it for less each week</div></div>",
+        f"<article>{TWO}</article><div class=user-comments><p>Home {PROSE}</p><p>News {PROSE}</p></div>",
+        f"<div><h1>Title</h1>{TWO}<div><div>{LINK_LIST}</div></div></div>",
+        f"<div><section><p>First {PROSE}</p></section><section><p>Second {PROSE}</p><p><a href=1>About us</a></p></section></div>",
+    ],
+)
+def test_html_density_inside_the_lead(body):
+    """Menus, headers, footers and link lists beside the text, in one element with it, and mostly without telling names."""
+    text = html_text.main_text(f"<html><body>{body}</body></html>")
+    assert text.removeprefix("Title ") == f"First {PROSE.strip()} Second {PROSE.strip()}"
+
+
+def test_html_short_parts_stay():
+    """Headings, short lines of a text and links in it are no edges; a short article is not lost to long comments."""
+    for body in (f"<h1><a href=1>Title</a></h1>{TWO}<p>Short end.</p>", f"<article><div>By Ann</div>{TWO}<div>The end.</div></article>", f"<div><div><h2>Title</h2></div>{TWO}<blockquote>So it is.</blockquote></div>", f"{TWO}<p>See <a href=1>this other page</a>.</p>"):
+        plain = " ".join(re.sub("<[^>]*>", " ", body).replace(" .", ".").split())
+        assert html_text.main_text(f"<body>{body}</body>").replace(" .", ".") == plain
+    comments = f"<div class=user-comments><p>Long {PROSE}</p><p>Longer {PROSE}</p></div>"
+    assert html_text.main_text(f"<body><article><p>One short article line.</p></article>{comments}</body>") == "One short article line."
+
+
 def test_html_pages_decided_by_density(sf):
     """The density rule alone, without the tie-break, finds most articles of the test pages whole."""
     pages = pd.read_parquet(f"{sf}/pages.parquet").html
@@ -762,7 +797,7 @@ def test_odd_html(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     found, expected = registry.QUERIES[name](spark, sf).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
     columns = sorted(found.columns)
