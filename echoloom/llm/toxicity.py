@@ -90,12 +90,15 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """(text, toxic, fold) of at most `most` labelled documents that aren't held out, those of the smallest hashed ids.
 
-    The ids are a bounded table, so documents are picked where they lie and no text is shuffled.
+    The ids are a bounded table, so documents are picked where they lie and only their texts are shuffled. Of documents that
+    share an id the text of the smallest hash is taken (ties: the smaller text, null first), so that no id has two rows.
     """
     rows = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn("fold", F.expr(_fold("_id")))
-    return docs.join(F.broadcast(rows), docs["doc_id"] == rows["_id"]).select("text", "toxic", "fold")
+    found = docs.join(F.broadcast(rows), docs["doc_id"] == rows["_id"]).select("_id", "toxic", "fold", "text")
+    first = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text"))["text"]
+    return found.groupBy("_id", "toxic", "fold").agg(first.alias("text")).select("text", "toxic", "fold")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
