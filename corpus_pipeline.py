@@ -22,8 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_quality(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class of op1: that of the smallest doc_id."""
+def simhash_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of op1, that of the smallest doc_id: fingerprints of four-word shingles at 4 bits or fewer.
+
+    That is equal texts and copies that differ in very little, not all texts of a similarity of 0.8 (see the README).
+    """
     return drop_near_duplicates(docs)
 
 
@@ -37,7 +40,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("quality", quality), ("simhash_copies", simhash_copies), ("mixing", mixing), ("packing", packing)]
 
 #: Trees, dependent rounding and tokens can't be put in SQL; tests/llm/test_pipeline.py holds each stage's decisions against
 #: those of its operator on the same rows (near-duplicates against a plain version), the operators' own tests against plain ones.
