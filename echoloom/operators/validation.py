@@ -136,7 +136,7 @@ def evaluate(rows: DataFrame, truth: DataFrame, module: str | Callable | None =
 
     scenarios = scenarios_from_truth(truth)
     clean = preprocess(rows, PreprocessConfig(strategy="best_snr")).clean
-    counted = count_individuals(clean, keep=True) if module is None else tracker(module)(clean)
+    counted = count_individuals(clean) if module is None else tracker(module)(clean)
     ids = counted.tracks.select("recording_id", "passage_id", "packet", "open_ord", "track_id")
     calls = counted.calls.join(ids, ["recording_id", "passage_id", "packet", "open_ord"])
     assignments = stored(assign_tracks(counted.tracks, calls, scenarios))  # a row a track, used by three tables

@@ -244,8 +244,8 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(spark, sf_dir).select(F.concat_ws("/", "passage_id2", species).alias("track_id"), species.alias("passage_species"), "time_ms", "line_no", "fme_khz")
 
 
-def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _calls(spark, sf_dir).groupBy("track_id", "passage_species").agg(F.count("*").cast("int").alias("n_chirps"), F.min("time_ms").alias("start_time_ms"), F.max("time_ms").alias("end_time_ms"), F.median("fme_khz").alias("fme_median_khz"))
+def _tracks(calls: DataFrame) -> DataFrame:
+    return calls.groupBy("track_id", "passage_species").agg(F.count("*").cast("int").alias("n_chirps"), F.min("time_ms").alias("start_time_ms"), F.max("time_ms").alias("end_time_ms"), F.median("fme_khz").alias("fme_median_khz"))
 
 
 def _scenarios(spark: SparkSession) -> DataFrame:
@@ -259,7 +259,8 @@ def _scenarios(spark: SparkSession) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.assign_tracks(_tracks(spark, sf_dir), _calls(spark, sf_dir), _scenarios(spark))
+    calls = _calls(spark, sf_dir)
+    return validation.assign_tracks(_tracks(calls), calls, _scenarios(spark))
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +270,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("activity_bins", with_steps("""SELECT species, bin, bin * 3600 AS bin_start_ms, count(track_id) AS n_tracks FROM (SELECT DISTINCT passage_species AS species FROM tracks), (SELECT range AS bin FROM range((SELECT max(end_time_ms) // 3600 + 1 FROM tracks)))
     LEFT JOIN tracks ON passage_species = species AND bin * 3600 <= end_time_ms AND (bin + 1) * 3600 >= start_time_ms GROUP BY ALL""", more=_TRACKS))
 def activity_bins(spark, sf_dir):
-    return activity.activity_bins(_tracks(spark, sf_dir).withColumnRenamed("passage_species", "species"), 3600)
+    return activity.activity_bins(_tracks(_calls(spark, sf_dir)).withColumnRenamed("passage_species", "species"), 3600)
 
 
 @query("track_intervals", with_steps("SELECT track_id, time_ms, ici_ms FROM (SELECT track_id, time_ms, time_ms - lag(time_ms) OVER (PARTITION BY track_id ORDER BY time_ms) AS ici_ms FROM calls) WHERE ici_ms > 0", more=_TRACKS))
@@ -279,7 +280,8 @@ def track_intervals(spark, sf_dir):
 
 @query("visible_tracks", with_steps("SELECT track_id, n_chirps FROM tracks WHERE EXISTS (SELECT 1 FROM calls c WHERE c.track_id = tracks.track_id AND time_ms BETWEEN 1000000 AND 1200000)", more=_TRACKS))
 def visible_tracks(spark, sf_dir):
-    return activity.visible_tracks(_tracks(spark, sf_dir), _calls(spark, sf_dir), 1_000_000, 1_200_000).select("track_id", "n_chirps")
+    calls = _calls(spark, sf_dir)
+    return activity.visible_tracks(_tracks(calls), calls, 1_000_000, 1_200_000).select("track_id", "n_chirps")
 
 
 @query("point_in_interval", with_steps("SELECT track_id, scenario_id, matched FROM hits", more=_TRACKS))
@@ -327,7 +329,7 @@ def scenario_windows(spark, sf_dir):
 
 def truth_of_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A truth table: the tracks that start in a window of 40,000 ticks are one scenario."""
-    return _tracks(spark, sf_dir).select(
+    return _tracks(_calls(spark, sf_dir)).select(
         F.lit("d").alias("dataset"), F.concat(F.lit("w"), F.floor(F.col("start_time_ms") / 40000).cast("string")).alias("scenario_id"), F.col("passage_species").alias("case_type"), F.lit(1).alias("replicate_id"), F.col("track_id").alias("individual_id"),
         F.col("start_time_ms").alias("start_ms"), F.col("end_time_ms").alias("end_ms"), F.col("n_chirps").alias("expected_count"), F.concat(F.lit("n_chirps="), F.col("n_chirps").cast("string")).alias("notes"),
     )
@@ -384,7 +386,7 @@ def fnv1a_hash(spark, sf_dir):
 @query("labels_and_formats", with_steps("""SELECT track_id, printf('%.2f h', start_time_ms / 3600000.0) AS hours, printf('%d:%02d:%02d', start_time_ms // 3600000, start_time_ms // 1000 % 3600 // 60, start_time_ms // 1000 % 60) AS clock,
     concat(track_id, '/', list_reduce(list_transform(string_split(passage_species, ' '), lambda w: left(w, 1)), lambda a, b: a || b), '/n', n_chirps) AS short FROM tracks""", more=_TRACKS))
 def labels_and_formats(spark, sf_dir):
-    return _tracks(spark, sf_dir).select("track_id", units.format_hours(F.col("start_time_ms")).alias("hours"), units.format_clock(F.col("start_time_ms")).alias("clock"), units.short_track_label(F.col("track_id"), F.col("passage_species"), F.col("n_chirps")).alias("short"))
+    return _tracks(_calls(spark, sf_dir)).select("track_id", units.format_hours(F.col("start_time_ms")).alias("hours"), units.format_clock(F.col("start_time_ms")).alias("clock"), units.short_track_label(F.col("track_id"), F.col("passage_species"), F.col("n_chirps")).alias("short"))
 
 
 @query("semi_anti_stores", "SELECT store_id, n_rows, store_id IN (SELECT 't' || (c_custkey % 5) FROM customer WHERE c_custkey % 5 < 3) AS used FROM (SELECT 't' || (event_id % 5) AS store_id, count(*) AS n_rows FROM events GROUP BY ALL)")
@@ -453,7 +455,7 @@ def visible_clips(spark, sf_dir):
 def id_sets(spark, sf_dir):
     """Union, difference and intersection of passages by species: those of five calls or more, and those of even start."""
     passage = F.split("track_id", "/")[0].cast("long")
-    sets = _tracks(spark, sf_dir).groupBy(F.col("passage_species").alias("species")).agg(F.collect_set(F.when(F.col("n_chirps") >= 5, passage)).alias("a"), F.collect_set(F.when(F.col("start_time_ms") % 2 == 0, passage)).alias("b"))
+    sets = _tracks(_calls(spark, sf_dir)).groupBy(F.col("passage_species").alias("species")).agg(F.collect_set(F.when(F.col("n_chirps") >= 5, passage)).alias("a"), F.collect_set(F.when(F.col("start_time_ms") % 2 == 0, passage)).alias("b"))
     return sets.select("species", F.size(F.array_union("a", "b")).cast("long").alias("n_union"), F.size(F.array_except("a", "b")).cast("long").alias("n_except"), F.size(F.array_intersect("a", "b")).cast("long").alias("n_both"))
 
 
@@ -484,7 +486,7 @@ def call_curves(spark, sf_dir):
 @query("track_overlaps", with_steps("SELECT a.track_id AS a, b.track_id AS b FROM tracks a JOIN tracks b ON a.track_id < b.track_id AND a.start_time_ms <= b.end_time_ms AND a.end_time_ms >= b.start_time_ms", more=_TRACKS))
 def track_overlaps(spark, sf_dir):
     """Pairs of tracks that overlap in time, by the hours that both touch."""
-    spans = _tracks(spark, sf_dir).select("track_id", F.col("start_time_ms").alias("s"), F.col("end_time_ms").alias("e"))
+    spans = _tracks(_calls(spark, sf_dir)).select("track_id", F.col("start_time_ms").alias("s"), F.col("end_time_ms").alias("e"))
     listed = spans.withColumn("hour", F.explode(F.sequence(F.floor(F.col("s") / 3600), F.floor(F.col("e") / 3600))))
     a, b = listed.alias("a"), listed.alias("b")
     met = (F.col("a.hour") == F.col("b.hour")) & (F.col("a.track_id") < F.col("b.track_id")) & overlaps(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))

@@ -19,8 +19,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/echoloom-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once and read back, where two uses must see the same rows in the same tasks' order."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """df written once and read back, where two uses must see the same rows in the same tasks' order; in folders by
+    the columns named, if any."""
     path = f"{scratch_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The size of what stored() gives: that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from echoloom.operators import counting, density, validation
+from echoloom.operators import counting, density, tracking, validation
 from echoloom.operators.preprocess import preprocess
 from echoloom.schema import DETECTION, MixtureConfig, PreprocessConfig, SplitConfig, TrackingConfig
 
@@ -83,6 +83,58 @@ def test_tracker_against_a_plain_version(seed):
     assert own.tolist() == plain and np.argsort(place).tolist() == order
 
 
+def test_tally():
+    rng = np.random.default_rng(1)
+    for top in (3, 50, 10_000):
+        tally, seen = tracking.Tally(), []
+        for v in rng.integers(0, top, 400).tolist():
+            tally.add(v)
+            seen.append(v)
+            assert tally.median() == np.median(seen)
+        again = tracking.Tally(tally.values, tally.counts)
+        again.add(5)
+        assert again.median() == np.median([*seen, 5])
+
+
+def plain_calls(rows, split, config):
+    """(time, line): packet, track, place of closing, interval of each call of one passage, from its arrays whole."""
+    times, bins, khz = (np.array([r[k] for r in rows], float) for k in (0, 2, 3))
+    out = {}
+    labels = counting.packet_labels(khz, split)
+    for packet in np.unique(labels):
+        at = np.flatnonzero(labels == packet)
+        own, place = counting.follow(times[at], bins[at], config)
+        for k, i in enumerate(at):
+            before = [j for j in at[:k] if own[np.flatnonzero(at == j)[0]] == own[k]][-1:] if k < 400 else None
+            ici = None if before is None else (times[i] - times[before[0]] if before else np.nan)
+            out[rows[i][0], rows[i][1]] = (packet, own[k], place[own[k]], ici, np.median(khz[at]))
+    return out
+
+
+@pytest.mark.parametrize("tasks", [9, 2, None])
+def test_passages_over_several_tasks(spark, tasks):
+    """One passage of 12,000 calls of two species over many tasks, among short ones, is followed as in one."""
+    rng = np.random.default_rng(9)
+    rows, time = [], 0
+    for passage, n in ((1, 40), (2, 12_000), (3, 7), (4, 300), (5, 1)):
+        for _ in range(n):
+            time += int(rng.integers(1, 60))
+            rows.append(("r", passage, time, len(rows), int(rng.choice([97, 98, 140, 141]) + rng.integers(-1, 2))))
+        time += 5000
+    frame = spark.createDataFrame([(*r, r[4] * 0.390625) for r in rows], "recording_id string, passage_id2 long, time_ms long, line_no long, pos_fme int, fme_khz double").repartition(3)
+    split, config = SplitConfig(15, 4, 0.55, 0.01, 5.0), TrackingConfig()
+    found = counting.track_calls(frame, split, config, tasks=tasks).collect()
+    assert len(found) == len(rows)
+    for passage in range(1, 6):
+        want = plain_calls([(r[2], r[3], r[4], r[4] * 0.390625) for r in rows if r[1] == passage], split, config)
+        got = {(r.time_ms, r.line_no): r for r in found if r.passage_id == passage}
+        assert got.keys() == want.keys()
+        for key, (packet, own, close, ici, middle) in want.items():
+            r = got[key]
+            assert (r.packet, r.open_ord, r.close_ord, r.packet_fme_khz) == (packet, own, close, middle)
+            assert ici is None or (r.ici_ms is None if np.isnan(ici) else r.ici_ms == ici)
+
+
 def test_mixtures():
     rng = np.random.default_rng(7)
     both = np.concatenate([20 + rng.gamma(2.0, 0.5, 400), 45 + rng.gamma(2.0, 0.5, 400)])
