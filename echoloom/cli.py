@@ -111,7 +111,9 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         split = SplitConfig(min_chirps=a.min_split_chirps, max_components=a.max_components)
         tracking = TrackingConfig(a.ici_tolerance, a.fme_tolerance_bins, a.expiry_icis, a.min_chirps, a.bootstrap_ici_ms, a.suspicious_short_ici_ms)
         counted = facade.count_file(spark, a.path, _config(a, strategy=a.echo_strategy, min_passage_chirps=a.min_passage_chirps), split, tracking)
-        _report(files.counting_report(counted.summary, counted.tracks), a.report)
+        _report(files.counting_report(counted.summary), a.report)
+        if a.report:
+            files.write_track_lines(counted.tracks, f"{a.report}.tracks")
         if a.csv:
             files.write_tracks_csv(counted.tracks, a.csv)
         if a.charts:

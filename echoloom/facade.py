@@ -33,7 +33,8 @@ def preprocess_file(spark: SparkSession, path: str, config: PreprocessConfig = P
 
 def cluster_file(spark: SparkSession, path: str, config: PreprocessConfig = PreprocessConfig(), mixture: MixtureConfig = MixtureConfig(), flavor: str = "canonical") -> tuple[str, DataFrame]:
     """(report, histogram feed) of one recording's species mixture."""
-    done = preprocess_file(spark, path, config, flavor)
+    rows, width = load(spark, path, flavor)
+    done = preprocess(rows, replace(config, bin_khz=width))
     model = density.fit_models(done.clean, [mixture]).first()
     if model is None:
         raise ValueError("at least two detections are needed for a mixture")
@@ -45,7 +46,11 @@ def cluster_file(spark: SparkSession, path: str, config: PreprocessConfig = Prep
         clusters.append({"label": k, "n": row["n"] if row else 0, "median": row["median"] if row else None, "species": row["species"] if row else "Indetermine", "mean": model["means"][k], "sigma": model["sigmas"][k], "weight": model["weights"][k]})
     limits = done.clean.agg(F.min("fme_khz").alias("a"), F.max("fme_khz").alias("b")).first()
     feed = eda.histogram(done.clean, F.col("fme_khz"), limits["a"], max(limits["b"], limits["a"] + 1e-6), 80, density=True)
-    return files.clustering_report(done.counters.first().asDict(), clusters, model["thresholds"], model["peaks"]), feed
+    settings = [
+        ("log", path), ("kHz a bin", width), ("passage gap ms", config.passage_gap_ms), ("echo rule", config.strategy), ("echo gap ms", config.echo_gap_ms), ("echo bins", config.echo_bins), ("least kHz", config.fme_min_khz),
+        ("components from", f"peaks of a density, bandwidth {mixture.bandwidth} times {mixture.scale}, prominence {mixture.prominence}, {mixture.max_components} at most"),
+    ]
+    return files.clustering_report(settings, done.counters.first().asDict(), clusters, model["thresholds"], model["peaks"]), feed
 
 
 def count_file(spark: SparkSession, path: str, config: PreprocessConfig | None = None, split: SplitConfig = SplitConfig(), tracking: TrackingConfig = TrackingConfig()) -> counting.Counted:
@@ -73,7 +78,10 @@ def summarize_zone(spark: SparkSession, path: str, low: float = 22.0, high: floa
     found = preprocess(rows, PreprocessConfig(passage_gap_ms=gap_ms, bin_khz=width)).flagged
     zone = eda.zone_summary(found, low, high).first().asDict()
     inside = found.filter((F.col("fme_khz") > low) & (F.col("fme_khz") < high))
-    top = [r.asDict() for r in eda.top_sequences(inside, 10).collect()]
+    largest = eda.top_sequences(inside, 10)
+    keys = ["recording_id", "passage_id"]
+    middles = inside.join(F.broadcast(largest.select(*keys)), keys).groupBy(*keys).agg(F.median("fme_khz").alias("fme_median"), F.median("snr_db").alias("snr_median"))
+    top = [r.asDict() for r in largest.join(middles, keys).orderBy(F.desc("n"), F.desc("passage_id")).collect()]
     return files.zone_report(path, low, high, found.count(), zone, top)
 
 

@@ -35,15 +35,20 @@ def bin_width_ms(duration_ms: Column) -> Column:
 
 
 def activity_bins(tracks: DataFrame, width_ms: int, start: str = "start_time_ms", end: str = "end_time_ms", species: str = "species") -> DataFrame:
-    """Tracks that overlap each bin (closed at both ends), by species, empty bins included. Each track names its bins, so
-    the overlap join is a sequence for each track."""
+    """Tracks that overlap each bin (closed at both ends), by species, empty bins included.
+
+    A sweep: a track is one row that adds at its first bin and one that takes away after its last, summed by bin before
+    any order, so its cost doesn't grow with its length; what is open in a bin is the running sum over a species' bins.
+    """
     spans = tracks.select(species, F.ceil((F.col(start) - width_ms) / width_ms).cast("long").alias("a"), F.floor(F.col(end) / width_ms).cast("long").alias("b"))
-    spans = spans.withColumn("a", F.greatest("a", F.lit(0)))
-    counts = spans.select(species, F.explode(F.sequence("a", "b")).alias("bin")).groupBy(species, "bin").agg(F.count("*").alias("n_tracks"))
+    spans = spans.withColumn("a", F.greatest("a", F.lit(0))).filter("a <= b")
+    steps = F.array(F.struct(F.col("a").alias("bin"), F.lit(1).alias("step")), F.struct((F.col("b") + 1).alias("bin"), F.lit(-1).alias("step")))
+    steps = spans.select(species, F.inline(steps)).groupBy(species, "bin").agg(F.sum("step").alias("step"))
     last = tracks.agg(F.max(F.floor(F.col(end) / width_ms)).alias("b"))
     kinds = tracks.select(species).distinct()
     grid = kinds.withColumn("_last", last.scalar()).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
-    return grid.join(counts, [species, "bin"], "left").select(species, "bin", (F.col("bin") * width_ms).alias("bin_start_ms"), F.coalesce("n_tracks", F.lit(0)).alias("n_tracks"))
+    so_far = Window.partitionBy(species).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(steps, [species, "bin"], "left").select(species, "bin", (F.col("bin") * width_ms).alias("bin_start_ms"), F.sum(F.coalesce("step", F.lit(0))).over(so_far).alias("n_tracks"))
 
 
 def intervals(chirps: DataFrame, track: str = "track_id") -> DataFrame:

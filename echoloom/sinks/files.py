@@ -87,44 +87,56 @@ def write_text(path: str, text: str) -> None:
     file.write_text(text, encoding="utf-8")
 
 
-def counting_report(summary: DataFrame, tracks: DataFrame) -> str:
-    """Counts by recording and a line for each track, for a night's worth of them."""
-    lines = ["Individual counting report", "=" * 26, ""]
+Figures = list[tuple[str, object]]
+
+
+def figures_text(title: str, sections: dict[str, Figures]) -> str:
+    """A report: a title, then the named figures of each section, one a line."""
+    lines = [f"# {title}"]
+    for section, figures in sections.items():
+        wide = max((len(name) for name, _ in figures), default=0)
+        lines += ["", f"## {section}", *(f"{name.ljust(wide)} = {_shown(value)}" for name, value in figures)]
+    return "\n".join(lines)
+
+
+def _shown(value: object) -> str:
+    if isinstance(value, float):
+        return f"{value:.6g}"
+    return "none" if value is None or value == [] else ", ".join(map(_shown, value)) if isinstance(value, (list, tuple)) else str(value)
+
+
+def counting_report(summary: DataFrame) -> str:
+    """Figures of each recording; a row a recording comes to the driver. Tracks are a table of their own (write_track_lines)."""
+    sections: dict[str, Figures] = {}
     for row in summary.orderBy("recording_id").collect():
-        lines += [f"Passages detected       : {row['n_passages_detected']}", f"Individuals estimated   : {row['n_individuals_estimated']}", f"Suspicious short ICI    : {row['n_suspicious_short_ici_tracks']}", "", "Individuals by species"]
-        lines += [f"  {name}: {n}" for name, n in sorted((row["individuals_by_species"] or {}).items())] or ["  None"]
-    lines += ["", "Tracks"]
+        own = [("passages", row["n_passages_detected"]), ("individuals", row["n_individuals_estimated"]), ("with suspiciously short intervals", row["n_suspicious_short_ici_tracks"])]
+        own += [(f"individuals of {name}", n) for name, n in sorted((row["individuals_by_species"] or {}).items())]
+        sections[row["recording_id"]] = own + [(f"tracks of {size} calls", n) for size, n in sorted((row["tracks_by_n_chirps"] or {}).items())]
+    return figures_text("Individuals counted", sections or {"no recording": []})
+
+
+def write_track_lines(tracks: DataFrame, path: str) -> None:
+    """A line a track in order of recording and number, as text part files that Spark writes."""
     shown = F.format_string(
-        "  %-10s  %7d  %-28s  %6d  %8d  %8d  %7s  %6s  %s", "track_id", "passage_id", F.substring("passage_species", 1, 28), "n_chirps", "start_time_ms", "end_time_ms", decimals(F.col("fme_median_khz"), 2), decimals(F.col("ici_median_ms"), 1),
-        F.when(F.col("suspicious_short_ici"), "suspicious_short_ici").otherwise("-"),
+        "%s %s passage %d, %s: %d calls from %d to %d ms, %s kHz every %s ms%s", "recording_id", "track_id", "passage_id", "passage_species", "n_chirps", "start_time_ms", "end_time_ms", decimals(F.col("fme_median_khz"), 2), decimals(F.col("ici_median_ms"), 1),
+        F.when(F.col("suspicious_short_ici"), " (short)").otherwise(""),
     )
-    found = [r["line"] for r in tracks.orderBy("track_id").select(shown.alias("line")).toLocalIterator()]
-    return "\n".join(lines + (found or ["  No counted tracks"]))
-
-
-def clustering_report(counters: dict, clusters: list[dict], thresholds: list[float], peaks: list[float]) -> str:
-    """Counters of the stages and a line for each cluster."""
-    names = {
-        "n_raw": "Raw detections", "n_artefacts": "Artefacts removed", "n_clean": "Clean detections", "n_echoes": "Echoes removed", "n_no_echo": "No-echo detections", "n_social": "Social calls removed",
-        "n_filtered": "Clustered detections", "n_sequences": "Passages clean", "n_sequences_no_echo": "Passages no echo", "n_passages_detected": "Passages clustered",
-    }
-    lines = ["Passage species GMM clustering report", *(f"{label:<21}: {counters[key]}" for key, label in names.items()), f"{'Selected K':<21}: {len(clusters)}"]
-    lines += [f"{'KDE peaks':<21}: {', '.join(f'{p:.3f}' for p in peaks)} kHz", f"{'Thresholds':<21}: {', '.join(f'{t:.3f}' for t in thresholds)} kHz", "", "Passage clusters:"]
+    tracks.orderBy("recording_id", F.length("track_id"), "track_id").select(shown.alias("value")).write.mode("overwrite").text(path)
+
+
+def clustering_report(settings: Figures, counters: dict, clusters: list[dict], thresholds: list[float], peaks: list[float]) -> str:
+    """Settings, counters of the stages, and the figures of each cluster."""
     total = sum(c["n"] for c in clusters) or 1
+    sections = {"settings": settings, "counters": list(counters.items()), "mixture": [("components", len(clusters)), ("peaks in kHz", peaks), ("borders in kHz", thresholds)]}
     for c in clusters:
-        median = float("nan") if c["median"] is None else c["median"]
-        lines.append(f"  {c['label']}: n={c['n']:5d} ({c['n'] / total:6.2%}) median={median:7.3f} kHz mean={c['mean']:7.3f} kHz sigma={c['sigma']:6.3f} kHz weight={c['weight']:6.3f} passage_species={c['species']}")
-    return "\n".join(lines)
+        sections[f"cluster {c['label']}"] = [("calls", c["n"]), ("share", c["n"] / total), ("median kHz", c["median"]), ("mean kHz", c["mean"]), ("sigma kHz", c["sigma"]), ("weight", c["weight"]), ("species", c["species"])]
+    return figures_text("Mixture of frequencies", sections)
 
 
 def zone_report(path: str, low: float, high: float, n_clean: int, zone: dict, top: list[dict]) -> str:
-    """Figures of a band and its largest sequences."""
+    """Figures of a band and of its largest sequences."""
     if not zone["n"]:
         raise ValueError("no detection lies in the band")
-    span = (zone["last_ms"] - zone["first_ms"]) / 3_600_000
-    lines = [
-        f"Analyse zone {low:.1f}-{high:.1f} kHz", f"Fichier              : {path}", f"Detections clean     : {n_clean}", f"Detections zone      : {zone['n']} ({zone['n'] / n_clean:.2%})", f"FME mediane          : {zone['fme_median']:.2f} kHz",
-        f"FME q10-q90          : {zone['fme_q10']:.2f}-{zone['fme_q90']:.2f} kHz", f"SNR median           : {zone['snr_median']:.1f} dB", f"SNR q10-q90          : {zone['snr_q10']:.1f}-{zone['snr_q90']:.1f} dB", f"Etalement temporel   : {span:.2f} h",
-        f"Premier timestamp    : {zone['first_ms']} ms", f"Dernier timestamp    : {zone['last_ms']} ms", f"Sequences touchees   : {zone['n_sequences']}", f"Detections/sequence  : median={zone['median_per_sequence']:.1f}, max={zone['max_per_sequence']}", "", "Top sequences:",
-    ]
-    return "\n".join(lines + [f"  seq={t['passage_id']:5d} n={t['n']:4d} duration={t['end_ms'] - t['start_ms']:7.0f} ms" for t in top])
+    own = [("log", path), ("low kHz", low), ("high kHz", high), ("detections but artefacts", n_clean), ("share in the band", zone["n"] / n_clean), ("hours from first to last", (zone["last_ms"] - zone["first_ms"]) / 3_600_000)]
+    largest = [(f"passage {t['passage_id']}", f"{t['n']} calls in {t['end_ms'] - t['start_ms']} ms, {_shown(t['fme_median'])} kHz, {_shown(t['snr_median'])} dB") for t in top]
+    return figures_text("Frequency band", {"band": own, "figures": list(zone.items()), "largest sequences": largest})

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from echoloom.operators.numbering import number_rows
@@ -31,3 +32,31 @@ def test_interval_join_against_all_pairs(spark):
     spans = spark.range(40).select(F.col("id").alias("s"), (F.col("id") * 53 % 900).alias("a"), (F.col("id") * 53 % 900 + F.col("id") * 11 % 170).alias("b"))
     found = {(r.p, r.s) for r in points_in_intervals(points, "t", spans, "a", "b", 50).collect()}
     assert found == {(p.p, s.s) for p in points.collect() for s in spans.collect() if s.a <= p.t <= s.b}
+
+
+def test_points_in_intervals_of_any_length(spark):
+    """Lengths from 0 to ten million: the plain join's pairs, and rows listed by the logarithm of the length."""
+    from echoloom.operators.ranges import _nodes
+
+    rng = np.random.default_rng(11)
+    lengths = np.concatenate([rng.integers(0, 10, 40), (10 ** rng.uniform(0, 7, 60)).astype(int)])
+    starts = rng.integers(-5_000_000, 5_000_000, 100)
+    spans = [(i, int(s), int(s + n)) for i, (s, n) in enumerate(zip(starts, lengths))] + [(100, 9, 3)]
+    points = [int(t) for t in rng.integers(-5_000_000, 9_000_000, 400)] + [s for _, s, _ in spans] + [e for _, _, e in spans]
+    frame = spark.createDataFrame(spans, "s int, a long, b long")
+    found = points_in_intervals(spark.createDataFrame([(n, t) for n, t in enumerate(points)], "p int, t long"), "t", frame, "a", "b", 50).select("p", "s").collect()
+    assert sorted(map(tuple, found)) == sorted((n, i) for n, t in enumerate(points) for i, a, b in spans if a <= t <= b)
+    listed = frame.select(F.size(_nodes(F.floor(F.col("a") / 50), F.floor(F.col("b") / 50) + 1)).alias("n"), "a", "b").filter("a <= b").collect()
+    assert all(r.n <= 2 * np.log2((r.b - r.a) / 50 + 2) + 2 for r in listed)
+
+
+def test_activity_of_long_tracks(spark):
+    """A track of a million bins costs two rows; counts equal those by bin."""
+    from echoloom.operators.activity import activity_bins
+
+    tracks = [("a", 0, 5_000_000_000), ("a", 12_000, 12_000), ("b", 4_999, 20_001), ("b", 10_000, 14_999), ("a", 4_999_990_000, 5_000_000_000)]
+    bins = activity_bins(spark.createDataFrame(tracks, "species string, start_time_ms long, end_time_ms long"), 5_000)
+    for species, place in (("a", 2), ("a", 3), ("a", 999_999), ("b", 0), ("b", 1), ("b", 2), ("b", 3), ("b", 4), ("b", 5), ("a", 1_000_000)):
+        want = sum(k == species and s <= (place + 1) * 5_000 and e >= place * 5_000 for k, s, e in tracks)
+        assert bins.filter((F.col("species") == species) & (F.col("bin") == place)).first()["n_tracks"] == want
+    assert bins.count() == 2 * 1_000_001
