@@ -43,8 +43,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--max-components", type=int, default=8)
     s.add_argument("--grid-size", type=int, default=1000)
     s.add_argument("--flavor", choices=("canonical", "web"), default="canonical")
-    s.add_argument("--n-init", type=int, default=10, help="accepted; the fit begins at the peaks and needs one start")
-    s.add_argument("--random-state", type=int, default=42, help="accepted; nothing in the fit is random")
+    s.add_argument("--n-init", type=int, default=10, help="starts of the fit: the first at the peaks, the others drawn")
+    s.add_argument("--random-state", type=int, default=42, help="seed of the drawn starts")
     s.add_argument("--report-output", dest="report")
     s.add_argument("-o", "--output", dest="chart", help="folder for the histogram that a chart shows")
     s.add_argument("--show", action="store_true", help="print that histogram")
@@ -100,7 +100,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     a = parser().parse_args(arguments)
     spark = spark or session()
     if a.command == "species":
-        mixture = MixtureConfig(a.bandwidth, a.bandwidth_scale, a.prominence, a.min_peak_distance_khz, a.max_components, a.grid_size, a.flavor)
+        mixture = MixtureConfig(a.bandwidth, a.bandwidth_scale, a.prominence, a.min_peak_distance_khz, a.max_components, a.grid_size, a.flavor, a.n_init, a.random_state)
         text, feed = facade.cluster_file(spark, a.path, _config(a), mixture, a.flavor)
         _report(text, a.report)
         if a.show:

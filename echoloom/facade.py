@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import activity, counting, density, eda, validation
+from .operators import activity, counting, eda, mixtures, validation
 from .operators.preprocess import Preprocessed, preprocess, sessionize
 from .operators.species import label, predict
 from .schema import MixtureConfig, PreprocessConfig, SplitConfig, TrackingConfig
@@ -35,7 +35,7 @@ def cluster_file(spark: SparkSession, path: str, config: PreprocessConfig = Prep
     """(report, histogram feed) of one recording's species mixture."""
     rows, width = load(spark, path, flavor)
     done = preprocess(rows, replace(config, bin_khz=width))
-    model = density.fit_models(done.clean, [mixture]).first()
+    model = mixtures.fit_models(done.clean, [mixture]).first()
     if model is None:
         raise ValueError("at least two detections are needed for a mixture")
     labels = done.clean.select("fme_khz", predict(F.col("fme_khz"), model["means"], model["sigmas"], model["weights"]).alias("label"))
@@ -49,6 +49,7 @@ def cluster_file(spark: SparkSession, path: str, config: PreprocessConfig = Prep
     settings = [
         ("log", path), ("kHz a bin", width), ("passage gap ms", config.passage_gap_ms), ("echo rule", config.strategy), ("echo gap ms", config.echo_gap_ms), ("echo bins", config.echo_bins), ("least kHz", config.fme_min_khz),
         ("components from", f"peaks of a density, bandwidth {mixture.bandwidth} times {mixture.scale}, prominence {mixture.prominence}, {mixture.max_components} at most"),
+        ("starts", f"{mixture.n_init} with seed {mixture.seed}; number {model['start']} is the likeliest, log-likelihood {model['log_likelihood']:.3f}"),
     ]
     return files.clustering_report(settings, done.counters.first().asDict(), clusters, model["thresholds"], model["peaks"]), feed
 

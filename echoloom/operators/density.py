@@ -1,21 +1,17 @@
-"""Density, peaks and one-dimensional Gaussian mixtures on weighted histograms.
+"""Density, peaks and one-dimensional Gaussian mixtures of one passage's counts by value, inside the task that follows it.
 
-Frequencies are whole bins, so counts by value lose nothing: Spark reduces any number of detections to a few hundred
-(value, count) rows, and the fit below costs the same for a night and for a year.
+Models of whole recordings are fitted by Spark (operators.mixtures); tests hold the two against each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MixtureConfig
-from ..shipping import ship
 
 ROOT_2PI = float(np.sqrt(2 * np.pi))
 
@@ -228,36 +224,6 @@ def fit(values: np.ndarray, counts: np.ndarray, config: MixtureConfig = MixtureC
     return Mixture(means, sigmas, weights, grid, density, peaks)
 
 
-def histogram_of(rows: DataFrame, value: str = "fme_khz", keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
-    """Counts by value: all that a fit needs, combined before the shuffle."""
-    return rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-
-
-MODEL = "k int, means array<double>, sigmas array<double>, weights array<double>, thresholds array<double>, peaks array<double>, grid array<double>, density array<double>"
-
-
-def fit_models(rows: DataFrame, configs: list[MixtureConfig] = [MixtureConfig()], value: str = "fme_khz", key: str = "recording_id") -> DataFrame:
-    """One model for each recording and configuration (numbered from 0): a row of the parameters in MODEL."""
-    hist = histogram_of(rows, value, (key,)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("h"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for name, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, n = np.array([p["value"] for p in pairs], float), np.array([p["n"] for p in pairs], float)
-                for number, config in enumerate(configs):
-                    if n.sum() < 2:
-                        continue
-                    m = fit(x, n, config)
-                    out.append((name, number, m.k, *(a.tolist() for a in (m.means, m.sigmas, m.weights, m.thresholds(config.flavor), m.peaks, m.grid, m.density))))
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.list_(pa.float64())] * 7]
-            names = [key, "config", "k", "means", "sigmas", "weights", "thresholds", "peaks", "grid", "density"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
-
-    ship(rows.sparkSession)
-    return hist.mapInArrow(run, f"{key} string, config int, {MODEL}")
-
-
 def kde_table(rows: DataFrame, grid: DataFrame, width: float, value: str = "fme_khz") -> DataFrame:
     """Density at grid points (x) as an expression over the histogram; the histogram is the small side of the join."""
     hist = rows.groupBy(F.col(value).alias("value")).agg(F.count("*").cast("double").alias("n"))

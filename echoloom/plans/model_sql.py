@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.mixtures import LEVELS, POINTS
 from ..operators.species import label_sql
 from ..schema import MixtureConfig, SplitConfig, TrackingConfig
 from .events_view import with_steps
@@ -60,33 +61,50 @@ def _sums(value: str, k: str = "k") -> str:
 
 
 def density_sql(select: str, configs: list[MixtureConfig]) -> str:
-    """A query over `peak` (config, i, x: peaks in order), `grd` (config, i, x, y), `cfg` and, of config 0, the mixture `mix` (m, s, w).
+    """A query over `peak` (config, i, x: peaks in order), `grd` (config, i, x, y), `cfg` and, of config 0, the mixture `mix` (m, s, w)
+    and its thresholds `thr` (level, j, spot).
 
-    Configurations are canonical ones with scott's or silverman's rule and a distance of one bandwidth.
+    Configurations are of one flavor, canonical ones with scott's or silverman's rule, web ones with scott's, at a distance of one bandwidth.
     """
+    web = configs[0].flavor == "web"
     rows = ", ".join(f"({n}, {1.0 if c.bandwidth == 'scott' else 0.75}::DOUBLE, {c.scale}::DOUBLE, {c.prominence}::DOUBLE)" for n, c in enumerate(configs))
     grid, most = configs[0].grid, configs[0].max_components
     place = "list_transform(xs, lambda x: list_position(list_transform(c, lambda m: abs(x - m)), list_min(list_transform(c, lambda m: abs(x - m)))))"
     per = lambda value: f"list_transform(range(1, len(c) + 1), lambda k: {value})"
     mine = "CASE WHEN own[i] = k THEN ns[i] ELSE 0 END"
     eps = "2.220446049250313e-15::DOUBLE"
-    steps = {
-        "hst": "SELECT fme_khz AS v, CAST(count(*) AS DOUBLE) AS n FROM clean GROUP BY fme_khz",
-        "mean": "SELECT sum(n) AS total, sum(n * v) / sum(n) AS mean, min(v) AS lo, max(v) AS hi FROM hst",
-        "sprd": "SELECT total, lo, hi, sqrt(sum(n * (v - mean) * (v - mean)) / (total - 1)) AS sd FROM hst, mean GROUP BY total, lo, hi",
-        "cfg": f"""SELECT *, pow(total * factor, -0.2::DOUBLE) * scale * sd AS width, lo - pad AS a, (hi + pad - (lo - pad)) / {grid - 1} AS step
-            FROM (SELECT *, greatest(0.5::DOUBLE, (hi - lo) * 0.02::DOUBLE) AS pad FROM sprd, (VALUES {rows}) AS t(config, factor, scale, prominence))""",
-        "grd": f"SELECT config, i, any_value(a + i * step) AS x, sum(n * exp(-0.5 * pow((a + i * step - v) / width, 2))) / any_value(total * width * sqrt(2 * pi())) AS y FROM cfg, (SELECT range AS i FROM range({grid})), hst GROUP BY config, i",
+    moved_squares = _sums("share[i][k] * pow(xs[i] - new[k], 2)")
+    first_squares = _sums(f"({mine}) * pow(xs[i] - mid[k], 2)")
+    own_start = f"""SELECT 0 AS step, c, {per(f"{first_squares} / mass[k] + 1e-6::DOUBLE")} AS v, {per('mass[k] / total')} AS w, '-infinity'::DOUBLE AS before, FALSE AS done FROM mid0"""
+    web_start = f"""SELECT 0 AS step, c, {per('pow(greatest(sqrt(greatest(sd * sd, 0.05::DOUBLE)) / sqrt(len(c)), 0.15::DOUBLE), 2)')} AS v, {per('1.0::DOUBLE / len(c)')} AS w, '-infinity'::DOUBLE AS before, FALSE AS done FROM (SELECT peaks AS c, sd FROM data, sprd)"""
+    thin = """SELECT config, list({'y': y, 'i': i} ORDER BY y DESC, i DESC) AS rest, []::STRUCT(y DOUBLE, i BIGINT)[] AS kept, any_value(greatest(1, round_even(width / step, 0))) AS far FROM @ JOIN cfg USING (config) GROUP BY config
+            UNION ALL SELECT config, list_filter(rest[2:], lambda k: abs(k.i - rest[1].i) >= far), list_append(kept, rest[1]), far FROM thin WHERE len(rest) > 0"""
+    chosen = {
+        "tops": "SELECT config, i, x, y, coalesce(lag(i) OVER o, 0) AS a, coalesce(lead(i) OVER o, last) AS b FROM (SELECT *, lag(y) OVER o AS low, lead(y) OVER o AS high, max(i) OVER (PARTITION BY config) AS last FROM grd WINDOW o AS (PARTITION BY config ORDER BY i)) WHERE y > low AND y >= high WINDOW o AS (PARTITION BY config ORDER BY i)",
+        "prom": "SELECT t.config, t.i, t.y, (SELECT max(y) FROM grd WHERE config = t.config) AS top, t.y - greatest(min(g.y) FILTER (g.i BETWEEN t.a AND t.i), min(g.y) FILTER (g.i BETWEEN t.i AND t.b)) AS rise FROM tops t JOIN grd g ON g.config = t.config GROUP BY t.config, t.i, t.y",
+        "good": "SELECT config, i, y FROM prom JOIN cfg USING (config) WHERE rise >= top * prominence",
+        "thin": thin.replace("@", "good"),
+        "left_": "SELECT config, i, y FROM (SELECT config, unnest(kept).i AS i FROM thin WHERE len(rest) = 0) JOIN good USING (config, i)",
+        "any_": "SELECT * FROM left_ UNION ALL SELECT config, arg_max(i, y), max(y) FROM grd WHERE config NOT IN (SELECT config FROM left_) GROUP BY config",
+    } if web else {
         "tops": "SELECT * FROM (SELECT *, lag(y) OVER o AS low, lead(y) OVER o AS high FROM grd WINDOW o AS (PARTITION BY config ORDER BY i)) WHERE y > low AND y > high",
-        "thin": """SELECT config, list({'y': y, 'i': i} ORDER BY y DESC, i DESC) AS rest, []::STRUCT(y DOUBLE, i BIGINT)[] AS kept, any_value(greatest(1, round(width / step))) AS far FROM tops JOIN cfg USING (config) GROUP BY config
-            UNION ALL SELECT config, list_filter(rest[2:], lambda k: abs(k.i - rest[1].i) >= far), list_append(kept, rest[1]), far FROM thin WHERE len(rest) > 0""",
+        "thin": thin.replace("@", "tops"),
         "left_": "SELECT config, unnest(kept).i AS i FROM thin WHERE len(rest) = 0",
         "high": """SELECT p.config, p.i, p.y, coalesce(max(g.i) FILTER (g.i < p.i AND g.y > p.y), 0) AS a, coalesce(min(g.i) FILTER (g.i > p.i AND g.y > p.y), max(g.i)) AS b, max(g.y) AS top
             FROM (SELECT config, i, x, y FROM grd JOIN left_ USING (config, i)) p JOIN grd g ON g.config = p.config GROUP BY ALL""",
         "prom": "SELECT h.config, h.i, h.y, h.top, h.y - greatest(min(g.y) FILTER (g.i BETWEEN h.a AND h.i), min(g.y) FILTER (g.i BETWEEN h.i AND h.b)) AS rise FROM high h JOIN grd g ON g.config = h.config GROUP BY h.config, h.i, h.y, h.top",
         "good": "SELECT config, i, y FROM prom JOIN cfg USING (config) WHERE rise >= top * prominence",
         "any_": "SELECT * FROM good UNION ALL SELECT config, arg_max(i, y), max(y) FROM grd WHERE config NOT IN (SELECT config FROM good) GROUP BY config",
-        "peak": f"SELECT config, i, a + i * step AS x, row_number() OVER (PARTITION BY config ORDER BY i) AS place, count(*) OVER (PARTITION BY config) AS k FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY y DESC, i DESC) AS r FROM any_) JOIN cfg USING (config) WHERE r <= {most}",
+    }
+    steps = {
+        "hst": "SELECT fme_khz AS v, CAST(count(*) AS DOUBLE) AS n FROM clean GROUP BY fme_khz",
+        "mean": "SELECT sum(n) AS total, sum(n * v) / sum(n) AS mean, min(v) AS lo, max(v) AS hi FROM hst",
+        "sprd": "SELECT total, lo, hi, sqrt(sum(n * (v - mean) * (v - mean)) / (total - 1)) AS sd FROM hst, mean GROUP BY total, lo, hi",
+        "cfg": f"""SELECT *, {'greatest(0.05::DOUBLE, greatest(sd, sqrt(1e-9::DOUBLE)) * pow(total, -0.2::DOUBLE) * scale)' if web else 'pow(total * factor, -0.2::DOUBLE) * scale * sd'} AS width, lo - pad AS a, (hi + pad - (lo - pad)) / {grid - 1} AS step
+            FROM (SELECT *, greatest(0.5::DOUBLE, (hi - lo) * 0.02::DOUBLE) AS pad FROM sprd, (VALUES {rows}) AS t(config, factor, scale, prominence))""",
+        "grd": f"SELECT config, i, any_value(a + i * step) AS x, sum(n * exp(-0.5 * pow((a + i * step - v) / width, 2))) / any_value(total * width * sqrt(2 * pi())) AS y FROM cfg, (SELECT range AS i FROM range({grid})), hst GROUP BY config, i",
+        **chosen,
+        "peak": f"SELECT config, i, a + i * step AS x, row_number() OVER (PARTITION BY config ORDER BY i) AS place, count(*) OVER (PARTITION BY config) AS k FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY {'i' if web else 'y DESC, i DESC'}) AS r FROM any_) JOIN cfg USING (config) WHERE r <= {most}",
         "data": "SELECT list(v ORDER BY v) AS xs, list(n ORDER BY v) AS ns, sum(n) AS total, (SELECT list(x ORDER BY x) FROM peak WHERE config = 0) AS peaks FROM hst",
         "kmn": f"""SELECT 0 AS step, peaks AS c, []::INT[] AS own, FALSE AS done FROM data
             UNION ALL
@@ -96,13 +114,18 @@ def density_sql(select: str, configs: list[MixtureConfig]) -> str:
         "hard": "SELECT peaks AS c, xs, ns, total, (SELECT own FROM kmn ORDER BY step DESC LIMIT 1) AS own FROM data",
         "mass0": f"SELECT *, {per(f'{_sums(mine)} + {eps}')} AS mass FROM hard",
         "mid0": f"SELECT *, {per(f'{_sums(f'({mine}) * xs[i]')} / mass[k]')} AS mid FROM mass0",
-        "em": f"""SELECT 0 AS step, c, {per(f"{_sums(f'({mine}) * pow(xs[i] - mid[k], 2)')} / mass[k] + 1e-6::DOUBLE")} AS v, {per('mass[k] / total')} AS w, '-infinity'::DOUBLE AS before, FALSE AS done FROM mid0
+        "em": f"""{web_start if web else own_start}
             UNION ALL
-            SELECT step + 1, new, {per(f"{_sums('share[i][k] * pow(xs[i] - new[k], 2)')} / mass[k] + 1e-6::DOUBLE")}, {per('mass[k] / total')}, now, abs(now - before) < 1e-3::DOUBLE * total
-            FROM (SELECT *, {per(f"{_sums('share[i][k] * xs[i]')} / mass[k]")} AS new FROM (SELECT *, {per(f"{_sums('share[i][k]')} + {eps}")} AS mass
+            SELECT step + 1, new, {per(f"greatest({moved_squares} / mass[k], 0.0025::DOUBLE)" if web else f"{moved_squares} / mass[k] + 1e-6::DOUBLE")}, {per('mass[k] / total')}, now, {'abs(now - before) < 1e-5::DOUBLE * greatest(1, abs(now))' if web else 'abs(now - before) < 1e-3::DOUBLE * total'}
+            FROM (SELECT *, {per(f"CASE WHEN {_sums('share[i][k]')} < 1e-6 THEN c[k] ELSE {_sums('share[i][k] * xs[i]')} / mass[k] END" if web else f"{_sums('share[i][k] * xs[i]')} / mass[k]")} AS new FROM (SELECT *, {per(f"greatest({_sums('share[i][k]')}, 1e-6::DOUBLE)" if web else f"{_sums('share[i][k]')} + {eps}")} AS mass
                 FROM (SELECT *, {_sums('ns[i] * each[i]')} AS now, list_transform(range(1, len(xs) + 1), lambda i: {per('exp(logs[i][k] - each[i]) * ns[i]')}) AS share
                 FROM (SELECT *, list_transform(logs, lambda l: list_max(l) + ln(list_sum(list_transform(l, lambda z: exp(z - list_max(l)))))) AS each
-                FROM (SELECT em.*, xs, ns, total, list_transform(xs, lambda x: {per('ln(w[k]) - 0.5 * ln(2 * pi() * v[k]) - 0.5 * pow(x - c[k], 2) / v[k]')}) AS logs FROM em, data WHERE NOT done AND step < 100)))))""",
+                FROM (SELECT em.*, xs, ns, total, list_transform(xs, lambda x: {per('ln(w[k]) - 0.5 * ln(2 * pi() * v[k]) - 0.5 * pow(x - c[k], 2) / v[k]')}) AS logs FROM em, data WHERE NOT done AND step < {120 if web else 100})))))""",
         "mix": "SELECT m, sqrt(v) AS s, w, row_number() OVER (ORDER BY m) AS component FROM (SELECT unnest(c) AS m, unnest(v) AS v, unnest(w) AS w FROM (SELECT * FROM em ORDER BY step DESC LIMIT 1))",
+        "prt": "SELECT list({'m': m, 's': s, 'w': w} ORDER BY component) AS parts FROM mix",
+        "thr": f"""SELECT 0 AS level, component AS j, m AS a, b, NULL::DOUBLE AS spot FROM (SELECT *, lead(m) OVER (ORDER BY component) AS b FROM mix) WHERE b IS NOT NULL
+            UNION ALL
+            SELECT level + 1, j, a + (b - a) * greatest(0, i - 1) / {POINTS - 1}, a + (b - a) * least({POINTS - 1}, i + 1) / {POINTS - 1}, a + (b - a) * i / {POINTS - 1} FROM (SELECT *, list_position(ys, list_min(ys)) - 1 AS i
+                FROM (SELECT thr.*, list_transform(range({POINTS}), lambda i: list_sum(list_transform(parts, lambda c: c.w * exp(-0.5 * pow((a + (b - a) * i / {POINTS - 1} - c.m) / c.s, 2)) / c.s))) AS ys FROM thr, prt WHERE level < {1 if web else LEVELS}))""",
     }
     return _recursive(select, steps)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import activity, clips as clip_tables, counting, density, eda, validation
+from ..operators import activity, clips as clip_tables, counting, density, eda, mixtures, validation
 from ..operators import preprocess as pre
 from ..operators.ranges import overlaps, points_in_intervals
 from ..operators.species import BANDS, COMMON_RULES, LATIN_RULES, SPECIES_NAMES, band, label, label_sql, posterior, predict
@@ -493,17 +493,28 @@ def track_overlaps(spark, sf_dir):
     return a.join(b, met).select(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b")).distinct()
 
 
-# Models, trackers, files and streams. The SQL of whole fits and of their thresholds is missing: mixture_components holds their parameters.
+# Models, trackers, files and streams.
 
 
-@query("gmm_fit")
+def _figures(models: DataFrame) -> DataFrame:
+    """A row for each mean, deviation, weight, threshold and peak of a model."""
+    lists = [F.struct(F.lit(name).alias("figure"), F.col(column).alias("v")) for name, column in (("mean", "means"), ("sigma", "sigmas"), ("weight", "weights"), ("threshold", "thresholds"), ("peak", "peaks"))]
+    return models.select(F.inline(F.array(*lists))).select("figure", F.posexplode("v").alias("place", "value")).withColumn("value", F.round("value", 4))
+
+
+_FIGURES = """SELECT figure, CAST(place - 1 AS INT) AS place, round(value, 4) AS value FROM (SELECT 'mean' AS figure, component AS place, m AS value FROM mix UNION ALL SELECT 'sigma', component, s FROM mix UNION ALL SELECT 'weight', component, w FROM mix
+    UNION ALL SELECT 'threshold', j, spot FROM thr WHERE level = (SELECT max(level) FROM thr) UNION ALL SELECT 'peak', place, x FROM peak)"""
+_WEB = MixtureConfig(flavor="web", scale=0.5)
+
+
+@query("gmm_fit", density_sql(_FIGURES, [MixtureConfig()]))
 def gmm_fit(spark, sf_dir):
-    return density.fit_models(cleaned(spark, sf_dir)).drop("grid", "density")
+    return _figures(mixtures.fit_models(cleaned(spark, sf_dir)))
 
 
-@query("gmm_fit_web")
+@query("gmm_fit_web", density_sql(_FIGURES, [_WEB]))
 def gmm_fit_web(spark, sf_dir):
-    return density.fit_models(cleaned(spark, sf_dir), [MixtureConfig(flavor="web")]).drop("grid", "density")
+    return _figures(mixtures.fit_models(cleaned(spark, sf_dir), [_WEB]))
 
 
 _SWEEP = [MixtureConfig(bandwidth=b, prominence=p) for b in ("scott", "silverman") for p in (0.05, 0.10)]
@@ -512,21 +523,21 @@ _SWEEP = [MixtureConfig(bandwidth=b, prominence=p) for b in ("scott", "silverman
 @query("kde_sweep", density_sql("SELECT CAST(config AS INT) AS config, CAST(k AS INT) AS k, CAST(place - 1 AS INT) AS place, round(x, 6) AS peak FROM peak", _SWEEP))
 def kde_sweep(spark, sf_dir):
     """Peaks by bandwidth rule and least prominence."""
-    found = density.fit_models(cleaned(spark, sf_dir), _SWEEP).select("config", "k", F.posexplode("peaks").alias("place", "peak"))
+    found = mixtures.densities(cleaned(spark, sf_dir), _SWEEP).select("config", F.size("peaks").alias("k"), F.posexplode("peaks").alias("place", "peak"))
     return found.select("config", "k", "place", r6("peak"))
 
 
 @query("mixture_components", density_sql("SELECT CAST(component - 1 AS INT) AS component, round(m, 6) AS mean, round(s, 6) AS sigma, round(w, 6) AS weight FROM mix", [MixtureConfig()]))
 def mixture_components(spark, sf_dir):
     """The fitted mixture, a row a component."""
-    found = density.fit_models(cleaned(spark, sf_dir)).select(F.posexplode(F.arrays_zip("means", "sigmas", "weights")).alias("component", "c"))
+    found = mixtures.fit_models(cleaned(spark, sf_dir)).select(F.posexplode(F.arrays_zip("means", "sigmas", "weights")).alias("component", "c"))
     return found.select("component", r6("c.means", "mean"), r6("c.sigmas", "sigma"), r6("c.weights", "weight"))
 
 
 @query("gmm_curve", density_sql("SELECT CAST(i AS INT) AS point, round(any_value(x), 6) AS x, round(any_value(y), 6) AS density, round(sum(w * exp(-0.5 * pow((x - m) / s, 2)) / (s * sqrt(2 * pi()))), 6) AS mixture FROM grd, mix GROUP BY i", [MixtureConfig()]))
 def gmm_curve(spark, sf_dir):
     """Density and mixture along the grid, for drawing."""
-    model = density.fit_models(cleaned(spark, sf_dir))
+    model = mixtures.fit_models(cleaned(spark, sf_dir))
     points = model.select("means", "sigmas", "weights", F.posexplode(F.arrays_zip("grid", "density")).alias("point", "g"))
     z = F.zip_with(F.zip_with("means", "sigmas", lambda m, s: F.struct(m.alias("m"), s.alias("s"))), "weights", lambda p, w: w * units.normal_density(F.col("g.grid"), p["m"], p["s"]))
     return points.select("point", r6("g.grid", "x"), r6("g.density", "density"), F.round(F.aggregate(z, F.lit(0.0), lambda a, b: a + b), 6).alias("mixture"))

@@ -54,7 +54,8 @@ class PreprocessConfig:
 
 @dataclass(frozen=True)
 class MixtureConfig:
-    """Density and mixture of frequencies; flavor is canonical or web, which differ in bandwidth, peaks and limits."""
+    """Density and mixture of frequencies; flavor is canonical or web, which differ in bandwidth, peaks and limits. n_init
+    starts are made, the later ones drawn by the seed, and the likeliest model stays."""
 
     bandwidth: str | float = "scott"
     scale: float = 1.0
@@ -63,8 +64,12 @@ class MixtureConfig:
     max_components: int = 8
     grid: int = 1000
     flavor: str = "canonical"
+    n_init: int = 1
+    seed: int = 0
 
     def __post_init__(self) -> None:
+        if self.n_init < 1:
+            raise ValueError("at least one start is needed")
         if self.max_components < 1 or self.grid < 3:
             raise ValueError("at least one component and three grid points are needed")
         if self.scale <= 0 or (isinstance(self.bandwidth, str) and self.bandwidth not in ("scott", "silverman")):

@@ -42,7 +42,7 @@ def equal(spark, folder, name):
     assert rows(found) == rows(expected)
 
 
-@pytest.mark.parametrize("name", ["tracks", "tracks_unsplit", "tracks_by_species", "counting_summary", "tracks_csv", "mixture_components", "kde_sweep"])
+@pytest.mark.parametrize("name", ["tracks", "tracks_unsplit", "tracks_by_species", "counting_summary", "tracks_csv", "mixture_components", "kde_sweep", "gmm_fit", "gmm_fit_web"])
 def test_models_equal_sql_on_a_larger_table(spark, name):
     equal(spark, "/root/testdata/sf0.01", name)
 
