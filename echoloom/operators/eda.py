@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 from .preprocess import KEY, TIME, TIE, in_band
+from .quantiles import quantiles
+
+
+def _with_quantiles(figures: DataFrame, rows: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """A row of figures with exact quantiles of the rows."""
+    return figures.withColumns({name: F.lit(value).cast("double") for name, value in quantiles(rows, wanted).items()})
 
 
 def gap_stats(rows: DataFrame, short: float = 10, long: float = 100) -> DataFrame:
     """Median, mean and linear 95th percentile of gaps, shares within two limits and the count beyond."""
     gap = F.col("gap_ms")
-    return rows.filter(gap.isNotNull()).agg(
-        F.median(gap).alias("median_gap"), F.avg(gap).alias("mean_gap"), F.percentile(gap, F.lit(0.95)).alias("p95_gap"),
-        F.avg((gap <= short).cast("double")).alias("share_short"), F.avg((gap <= long).cast("double")).alias("share_long"), F.count_if(gap > long).alias("n_beyond"),
-    )
+    rows = rows.filter(gap.isNotNull())
+    figures = rows.agg(F.avg(gap).alias("mean_gap"), F.avg((gap <= short).cast("double")).alias("share_short"), F.avg((gap <= long).cast("double")).alias("share_long"), F.count_if(gap > long).alias("n_beyond"))
+    found = _with_quantiles(figures, rows, {"median_gap": (gap, 0.5), "p95_gap": (gap, 0.95)})
+    return found.select("median_gap", "mean_gap", "p95_gap", "share_short", "share_long", "n_beyond")
 
 
 def sequence_sizes(rows: DataFrame, passage: str = "passage_id") -> DataFrame:
-    sizes = rows.groupBy(KEY, passage).agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("n_sequences"), F.median("n").alias("median_size"), F.avg("n").alias("mean_size"), F.max("n").alias("max_size"))
+    sizes = stored(rows.groupBy(KEY, passage).agg(F.count("*").alias("n")))
+    found = _with_quantiles(sizes.agg(F.count("*").alias("n_sequences"), F.avg("n").alias("mean_size"), F.max("n").alias("max_size")), sizes, {"median_size": (F.col("n"), 0.5)})
+    return found.select("n_sequences", "median_size", "mean_size", "max_size")
 
 
 def fme_stability(rows: DataFrame, passage: str = "passage_id") -> DataFrame:
     """Of sequences of two or more: how many, and median and mean of their sample deviation of frequency."""
-    each = rows.groupBy(KEY, passage).agg(F.count("*").alias("n"), F.stddev_samp("fme_khz").alias("sd")).filter("n >= 2")
-    return each.agg(F.count("*").alias("n_sequences"), F.median("sd").alias("median_sd"), F.avg("sd").alias("mean_sd"))
+    each = stored(rows.groupBy(KEY, passage).agg(F.count("*").alias("n"), F.stddev_samp("fme_khz").alias("sd")).filter("n >= 2"))
+    return _with_quantiles(each.agg(F.count("*").alias("n_sequences"), F.avg("sd").alias("mean_sd")), each, {"median_sd": (F.col("sd"), 0.5)}).select("n_sequences", "median_sd", "mean_sd")
 
 
 def correlations(rows: DataFrame) -> DataFrame:
@@ -38,17 +46,19 @@ def durations(rows: DataFrame, passage: str = "passage_id") -> DataFrame:
 
 def zone_summary(rows: DataFrame, low: float, high: float, passage: str = "passage_id") -> DataFrame:
     """Rows of an open band: count, share, quantiles of frequency and signal, time span, sequences and their sizes."""
-    inside = in_band(F.col("fme_khz"), low, high)
-    zone = rows.filter(inside)
-    spread = lambda c, q: F.percentile(c, F.lit(q))
+    zone = rows.filter(in_band(F.col("fme_khz"), low, high))
     whole = rows.agg(F.count("*").alias("_all"))
-    per = zone.groupBy(KEY, passage).agg(F.count("*").alias("n")).agg(F.count("*").alias("n_sequences"), F.median("n").alias("median_per_sequence"), F.max("n").alias("max_per_sequence"))
-    stats = zone.agg(
-        F.count("*").alias("n"), F.median("fme_khz").alias("fme_median"), spread("fme_khz", 0.1).alias("fme_q10"), spread("fme_khz", 0.9).alias("fme_q90"),
-        F.median("snr_db").alias("snr_median"), spread("snr_db", 0.1).alias("snr_q10"), spread("snr_db", 0.9).alias("snr_q90"), F.min(TIME).alias("first_ms"), F.max(TIME).alias("last_ms"),
-    )
+    sizes = stored(zone.groupBy(KEY, passage).agg(F.count("*").alias("n")))
+    per = sizes.agg(F.count("*").alias("n_sequences"), F.max("n").alias("max_per_sequence"))
+    stats = zone.agg(F.count("*").alias("n"), F.min(TIME).alias("first_ms"), F.max(TIME).alias("last_ms"))
+    shares = (("median", 0.5), ("q10", 0.1), ("q90", 0.9))
+    stats = _with_quantiles(stats, zone, {f"{name}_{figure}": (F.col(column), q) for name, column in (("fme", "fme_khz"), ("snr", "snr_db")) for figure, q in shares})
+    stats = _with_quantiles(stats, sizes, {"median_per_sequence": (F.col("n"), 0.5)})
     one = lambda df, c: df.select(c).scalar()
-    return stats.withColumns({"share": F.col("n") / one(whole, "_all"), **{c: one(per, c) for c in ("n_sequences", "median_per_sequence", "max_per_sequence")}})
+    stats = stats.withColumns({"share": F.col("n") / one(whole, "_all"), **{c: one(per, c) for c in ("n_sequences", "max_per_sequence")}})
+    return stats.select(
+        "n", "fme_median", "fme_q10", "fme_q90", "snr_median", "snr_q10", "snr_q90", "first_ms", "last_ms", "share", "n_sequences", "median_per_sequence", "max_per_sequence"
+    )
 
 
 def top_sequences(rows: DataFrame, n: int = 10, passage: str = "passage_id") -> DataFrame:
