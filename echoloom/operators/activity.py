@@ -11,22 +11,28 @@ from .preprocess import KEY, TIME
 def densest_window(chirps: DataFrame, window_ms: int) -> DataFrame:
     """start_ms and n of the closed window [t, t + window_ms], t a chirp's time, with most chirps; the earliest of equals.
 
-    One recording is scanned in order of time; for the window of all recordings give rows one key.
+    Chirps are counted by time first. A window that begins at an offset into a bucket of one window's length holds its
+    bucket's chirps from that offset on and the next bucket's up to the same offset: a running sum over a bucket's offsets,
+    window_ms of them at most, so neither the chirps of a recording nor those of a window meet in one task.
     """
-    frame = Window.partitionBy(KEY).orderBy(TIME).rangeBetween(0, window_ms)
-    counted = chirps.select(KEY, TIME, F.count("*").over(frame).alias("n"))
+    bucket = F.floor(F.col(TIME) / window_ms)
+    times = chirps.groupBy(KEY, TIME).agg(F.count("*").alias("_n")).withColumns({"_bucket": bucket, "_offset": F.col(TIME) - bucket * window_ms})
+    none = F.lit(0).cast("long")
+    own = F.struct(F.col("_bucket").alias("bucket"), F.col("_n").alias("own"), none.alias("next"))
+    next_ = F.when(F.col(TIME).isNotNull(), F.struct((F.col("_bucket") - 1).alias("bucket"), none.alias("own"), F.col("_n").alias("next")))
+    both = times.select(KEY, "_offset", F.inline(F.array_compact(F.array(own, next_))))
+    spots = both.groupBy(KEY, "bucket", "_offset").agg(F.sum("own").alias("own"), F.sum("next").alias("next"))
+    whole = Window.partitionBy(KEY, "bucket")
+    so_far = whole.orderBy("_offset").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum("own").over(whole) + F.col("own") + F.sum(F.col("next") - F.col("own")).over(so_far)
+    counted = spots.select(KEY, (F.col("bucket") * window_ms + F.col("_offset")).alias(TIME), "own", n.alias("n")).filter("own > 0")
     best = counted.groupBy(KEY).agg(F.max(F.struct("n", (-F.col(TIME)).alias("t"))).alias("b"))
     return best.select(KEY, (-F.col("b.t")).alias("start_ms"), (F.lit(window_ms) - F.col("b.t")).alias("end_ms"), F.col("b.n").alias("n"))
 
 
 def densest_window_bucketed(chirps: DataFrame, window_ms: int) -> DataFrame:
-    """The same over tasks of one window's length of time: each bucket sees its own rows and those of the next."""
-    bucket = F.floor(F.col(TIME) / window_ms)
-    both = chirps.select(KEY, TIME, F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("b"), F.lit(False).alias("own")))).alias("p"))
-    frame = Window.partitionBy(KEY, "p.b").orderBy(TIME).rangeBetween(0, window_ms)
-    counted = both.withColumn("n", F.count("*").over(frame)).filter("p.own")
-    best = counted.groupBy(KEY).agg(F.max(F.struct("n", (-F.col(TIME)).alias("t"))).alias("b"))
-    return best.select(KEY, (-F.col("b.t")).alias("start_ms"), (F.lit(window_ms) - F.col("b.t")).alias("end_ms"), F.col("b.n").alias("n"))
+    """The same: densest_window() works in buckets."""
+    return densest_window(chirps, window_ms)
 
 
 def bin_width_ms(duration_ms: Column) -> Column:
