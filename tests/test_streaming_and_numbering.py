@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from echoloom.operators.numbering import number_rows
 from echoloom.operators.ranges import points_in_intervals
 from echoloom.schema import DETECTION
-from echoloom.streaming.passages import stream_passages
+from echoloom.streaming.passages import passage_writer, read_passages, stream_passages
 
 
 def test_passages_go_on_across_batches(spark, tmp_path):
@@ -60,3 +60,22 @@ def test_activity_of_long_tracks(spark):
         want = sum(k == species and s <= (place + 1) * 5_000 and e >= place * 5_000 for k, s, e in tracks)
         assert bins.filter((F.col("species") == species) & (F.col("bin") == place)).first()["n_tracks"] == want
     assert bins.count() == 2 * 1_000_001
+
+
+def test_passages_of_large_batches(spark, tmp_path):
+    """As above, by buckets of time in Spark: no Python worker holds a batch, a recording stays away for a batch."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(rows):
+        spark.createDataFrame([(k, n, t, 97, 100, 94, 6, 25) for k, n, t in rows], DETECTION).write.mode("append").parquet(source)
+        writer = passage_writer(spark.readStream.schema(DETECTION).parquet(source), 100, out, 150).option("checkpointLocation", str(tmp_path / "state"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    run([("r", 0, 0), ("r", 1, 80), ("r", 2, 180), ("r", 3, 279), ("s", 10, -500)])
+    run([("r", 4, 300), ("r", 5, 250), ("r", 6, 500), ("new", 20, 5)])
+    run([("r", 7, 500), ("s", 11, -401), ("s", 12, -400), ("s", 13, -300), ("s", 14, -600)])
+    found = {r.line_no: (r.gap_ms, r.passage_id, r.late) for r in read_passages(spark, out).collect()}
+    assert found == {
+        0: (None, 1, False), 1: (80, 1, False), 2: (100, 2, False), 3: (99, 2, False), 4: (21, 2, False), 5: (None, None, True), 6: (200, 3, False), 7: (0, 3, False),
+        10: (None, 1, False), 11: (99, 1, False), 12: (1, 1, False), 13: (100, 2, False), 14: (None, None, True), 20: (None, 1, False),
+    }
