@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -86,3 +88,19 @@ def test_counters_add_up(spark, sf):
 
     c = pre.preprocess(detections(spark, sf)).counters.first()
     assert c.n_raw == c.n_artefacts + c.n_clean and c.n_clean == c.n_echoes + c.n_no_echo and c.n_no_echo == c.n_social + c.n_filtered
+
+
+def test_lines_of_a_passage_are_joined_by_buckets(spark):
+    """A passage over many buckets, ties and times below zero: its lines in order, and no task that gathers a passage's rows."""
+    from echoloom.operators.preprocess import passage_lines
+
+    rng = random.Random(6)
+    rows = [("r", 1 + (t > 200), t, n) for n, t in enumerate(rng.choices(range(-300, 900), k=2000))] + [("s", 1, 5, 7)]
+    frame = spark.createDataFrame(rows, "recording_id string, passage_id2 long, time_ms long, line_no long")
+    found = passage_lines(frame, 50)
+    got = {(r.recording_id, r.passage_id): (r.n_chirps, r.lines) for r in found.collect()}
+    for key in {r[:2] for r in rows}:
+        own = sorted(r[2:] for r in rows if r[:2] == key)
+        assert got.pop(key) == (len(own), ",".join(str(n) for _, n in own))
+    assert not got
+    assert "hashpartitioning(recording_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "_bucket" in plan
