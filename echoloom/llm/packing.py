@@ -32,11 +32,10 @@ def _projection() -> np.ndarray:
 
 def document_vector(text: str | None) -> np.ndarray:
     """Counts of a text's hashed runs of 4 bytes over the whole text, scaled to unit length; zeros for a short one."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
+    raw = (text or "").encode()
     counts = np.zeros(FEATURES)
     for start in range(0, max(0, len(raw) - 3), BLOCK):
-        part = raw[start : start + BLOCK + 3].astype(np.uint32)
-        runs = part[:-3] | part[1:-2] << 8 | part[2:-1] << 16 | part[3:] << 24
+        runs = np.ndarray(min(BLOCK, len(raw) - 3 - start), "<u4", raw, start, (1,))  # the four bytes from each byte on
         counts += np.bincount((runs * np.uint32(2654435761)) >> np.uint32(23), minlength=FEATURES)
     norm = np.sqrt(counts @ counts)
     return counts / norm if norm else counts

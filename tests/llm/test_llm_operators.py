@@ -803,3 +803,23 @@ def test_query_equals_sql(spark, sf, name):
     columns = sorted(found.columns)
     assert columns == sorted(expected.columns)
     assert sorted(map(str, found[columns].itertuples(index=False, name=None))) == sorted(map(str, expected[columns].itertuples(index=False, name=None)))
+
+
+def test_byte_runs_are_hashed_without_copies_of_each_byte():
+    """Vectors over block borders and short texts equal plain counts; plain pieces skip the table of stand-ins, with the library's ids."""
+    from echoloom.llm import packing, pieces
+
+    for text in (None, "", "abc", "abcd", "é" * 5, "ab cd é" * 50):
+        raw, counts = (text or "").encode(), np.zeros(packing.FEATURES)
+        for i in range(len(raw) - 3):
+            counts[(int.from_bytes(raw[i : i + 4], "little") * 2654435761 % 2**32) >> 23] += 1
+        norm = np.sqrt(counts @ counts)
+        assert np.array_equal(packing.document_vector(text), counts / norm if norm else counts)
+    encode, seen = pieces.encoder(packing.byte_vocabulary()), pieces._STAND_INS
+    try:
+        pieces._STAND_INS = None
+        plain = [encode._find(p) for p in (" word", "Word", " 123", "'s", " !?~")]
+    finally:
+        pieces._STAND_INS = seen
+    for piece, ids in zip((" word", "Word", " 123", "'s", " !?~", "\n", " naïve", "é"), [*plain, *map(encode._find, ("\n", " naïve", "é"))]):
+        assert ids == encode._library(piece)
