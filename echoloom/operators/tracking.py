@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TrackingConfig, struct
-from ..scratch import scratch_folder, stored
+from ..scratch import stored
 from ..shipping import ship
 from .preprocess import KEY, TIE, TIME
 
@@ -75,80 +73,43 @@ class Follower:
     """The tracker's state between two calls of a packet.
 
     Calls come in time order. A track closes when its silence exceeds expiry_icis of its own interval. A call joins the
-    open track that it fits best in time and frequency, the first opened of equals, or opens one. What the tracks of a
-    time are asked is asked of arrays of them, so a call costs about the same however many are open.
+    open track that it fits best in time and frequency, the first opened of equals, or opens one.
     """
 
     def __init__(self, config: TrackingConfig, opened: int = 0, closed: int = 0, tracks: list[Track] | None = None):
-        self.config, self.opened, self.closed, self.expired, self.now = config, opened, closed, [], None
-        self.n, held = 0, tracks or []
-        self._last, self._ici, self._bins, self._tracks = (np.zeros(64), np.zeros(64), np.zeros(64), np.empty(64, object))
-        for track in held:
-            self._append(track)
-
-    @property
-    def tracks(self) -> list[Track]:
-        """The open tracks, in order of opening."""
-        return self._tracks[: self.n].tolist()
-
-    def _append(self, track: Track) -> None:
-        if self.n == len(self._last):
-            self._last, self._ici, self._bins, self._tracks = (np.concatenate([a, np.empty_like(a)]) for a in (self._last, self._ici, self._bins, self._tracks))
-        self._tracks[self.n] = track
-        self.n += 1
-        self._show(self.n - 1, track)
-
-    def _show(self, place: int, track: Track) -> None:
-        self._last[place] = track.last
-        self._ici[place] = track.icis.median() if track.icis.total else self.config.bootstrap_ici_ms
-        self._bins[place] = track.bins.median() if track.bins.total else 0.0
-
-    def _come(self, time: float) -> None:
-        """Close the tracks that are silent for too long at a time; of the others, keep those that time lets its calls join."""
-        config, n = self.config, self.n
-        silence = time - self._last[:n]
-        gone = silence > config.expiry_icis * self._ici[:n]
-        if gone.any():
-            self.expired += [t.number for t in self._tracks[:n][gone]]
-            self.closed += int(gone.sum())
-            still = ~gone
-            self.n = left = int(still.sum())
-            for held in (self._last, self._ici, self._bins, self._tracks):
-                held[:left] = held[:n][still]
-            self._tracks[left:n] = None
-            n, silence = left, silence[still]
-        ici = self._ici[:n]
-        allowed = np.maximum(1.0, ici * config.ici_tolerance)
-        late = np.abs(silence - ici)
-        self.fit = np.flatnonzero((silence > 0) & (late <= allowed))
-        self.fit_late, self.fit_bins, self.now = late[self.fit] / allowed[self.fit], self._bins[self.fit], time
+        self.config, self.opened, self.closed, self.tracks = config, opened, closed, tracks or []
+        self.expired: list[int] = []
 
     def call(self, time: float, bins: float) -> tuple[int, float]:
         """The number of the call's track and the interval since its last call (nan for a first one); `expired` gets the
         numbers of the tracks that close before it, in order."""
-        if time != self.now:
-            self._come(time)
-        config, interval = self.config, np.nan
-        if len(self.fit):
-            away = np.abs(bins - self.fit_bins)
-            score = self.fit_late + away / max(1.0, config.fme_tolerance_bins)
-            score[away > config.fme_tolerance_bins] = np.inf
-            best = int(score.argmin())
-            if score[best] < np.inf:
-                place = int(self.fit[best])
-                track = self._tracks[place]
-                interval = time - track.last
-                track.icis.add(interval)
-                track.bins.add(bins)
-                track.last = time
-                self._show(place, track)
-                self.fit_late[best] = np.inf  # its silence is none for other calls of this time
-                return track.number, interval
-        track = Track(self.opened, time)
-        track.bins.add(bins)
-        self.opened += 1
-        self._append(track)
-        return track.number, interval
+        config, still, best, least = self.config, [], None, np.inf
+        for track in self.tracks:
+            ici = track.icis.median() if track.icis.total else config.bootstrap_ici_ms
+            silence = time - track.last
+            if silence > config.expiry_icis * ici:
+                self.expired.append(track.number)
+                self.closed += 1
+                continue
+            still.append(track)
+            allowed = max(1.0, ici * config.ici_tolerance)
+            late, away = abs(silence - ici), abs(bins - track.bins.median())
+            if silence > 0 and late <= allowed and away <= config.fme_tolerance_bins:
+                score = late / allowed + away / max(1.0, config.fme_tolerance_bins)
+                if score < least:
+                    best, least = track, score
+        self.tracks = still
+        interval = np.nan
+        if best is None:
+            best = Track(self.opened)
+            self.opened += 1
+            still.append(best)
+        else:
+            interval = time - best.last
+            best.icis.add(interval)
+        best.bins.add(bins)
+        best.last = time
+        return best.number, interval
 
 
 def follow(times: np.ndarray, bins: np.ndarray, config: TrackingConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -236,151 +197,84 @@ def whole_or_pieces(rows: DataFrame, keys: list[str], order: list[str], call: Ca
 
 
 _GROUP = [KEY, "passage_id", "packet"]
-_STATE = "last double, icis array<double>, ici_counts array<long>, bins array<double>, bin_counts array<long>"
-_RUN = f"{KEY} string, passage_id long, packet long, rank long, turn int, place long, {TIME} long, {TIE} long, pos_fme int, fme_khz double, {_STATE}"
 _STEP = (
-    f"kind string, {KEY} string, passage_id long, packet long, rank long, track long, place long, {TIME} long, {TIE} long, pos_fme int, fme_khz double, ici_ms double,"
-    f" {_STATE}, opened long, closed long, start string, end string"
+    f"kind string, {KEY} string, passage_id long, packet long, track long, place long, {TIME} long, {TIE} long, pos_fme int, fme_khz double, ici_ms double,"
+    " last double, icis array<double>, ici_counts array<long>, bins array<double>, bin_counts array<long>, opened long, closed long"
 )
-_OVER = f"kind string, {KEY} string, passage_id long, packet long, rank long, track long, open_ord long, close_ord long"
-_CALLS = f"{KEY} string, passage_id long, packet long, open_ord long, close_ord long, {TIME} long, {TIE} long, pos_fme int, fme_khz double, ici_ms double"
-#: A piece is begun this many bootstrap intervals before its first call, with no open track.
-WARM_ICIS = 100
 
 
-def _mark(tracks: list[Track]) -> str:
-    """A digest of all that a tracker's future depends on, but for the numbers of its tracks."""
-    return hashlib.sha256(repr([(t.last, t.icis.values, t.icis.counts, t.bins.values, t.bins.counts) for t in tracks]).encode()).hexdigest()
+def _round(config: TrackingConfig):
+    """One piece of each packet: its open tracks from the piece before come first, then its calls."""
+    kinds = _arrow(_STEP)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, follower, out = None, None, []
 
-def _follow_run(rows: pa.Table, config: TrackingConfig, kinds: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
-    """One piece of one packet: open tracks of turn 0 or calls before it (turn 1) come first, then its calls (turn 2).
+        def expired(key, at: int) -> None:
+            for n, number in enumerate(follower.expired):
+                out.append(("closed", *key, number, at + n, *[None] * 12))
+            follower.expired = []
 
-    Tracks that are open at its start are numbered -1, -2, ... and its own 0, 1, ... Gives its calls with their tracks and
-    the places of those that close in it, its open tracks at its end, carried tracks that close, and a row for the piece.
-    """
-    turn = rows.column("turn").to_numpy()
-    calls = rows.filter(pa.array(turn == 2))
-    if not calls.num_rows:
-        return
-    key = [rows.column(c)[0].as_py() for c in (*_GROUP, "rank")]
-    held = [Track(0, r["last"], Tally(r["icis"], r["ici_counts"]), Tally(r["bins"], r["bin_counts"])) for r in rows.filter(pa.array(turn == 0)).to_pylist()]
-    follower = Follower(config, tracks=held)
-    numbers = lambda part: zip(part.column(TIME).to_numpy().astype(float).tolist(), part.column("pos_fme").to_numpy().astype(float).tolist())
-    for time, bins in numbers(rows.filter(pa.array(turn == 1))):
-        follower.call(time, bins)
-    follower = Follower(config, tracks=follower.tracks)
-    for k, track in enumerate(follower.tracks):
-        track.number = -k - 1
-    start = _mark(follower.tracks)
-    found = [follower.call(time, bins) for time, bins in numbers(calls)]
-    closed = {number: place for place, number in enumerate(follower.expired)}
-    own, ici = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found])
-    place = np.full(follower.opened, -1, np.int64)
-    ends = [(number, at) for number, at in closed.items() if number >= 0]
-    place[[e[0] for e in ends]] = [e[1] for e in ends]
-    at = np.where(own >= 0, place[np.maximum(own, 0)] if follower.opened else -1, -1)
-    n = len(own)
-    given = {"kind": pa.array(["call"] * n), **{c: pa.array([k] * n, t) for (c, t), k in zip(kinds[1:5], key)}, "track": pa.array(own), "place": pa.array(at, mask=at < 0), "ici_ms": pa.array(ici, from_pandas=True)}
-    given |= {c: calls.column(c).combine_chunks() for c in (TIME, TIE, "pos_fme", "fme_khz")}
-    yield from pa.table([given[c].cast(t) if c in given else pa.nulls(n, t) for c, t in kinds], names=[c for c, _ in kinds]).to_batches(max_chunksize=BATCH)
-    rest = [("closed", *key, number, at, *[None] * 14) for number, at in closed.items() if number < 0]
-    rest += [("open", *key, t.number, k, *[None] * 5, t.last, t.icis.values, t.icis.counts, t.bins.values, t.bins.counts, *[None] * 4) for k, t in enumerate(follower.tracks)]
-    rest.append(("run", *key, *[None] * 12, follower.opened, follower.closed, start, _mark(follower.tracks)))
-    yield _batch(rest, kinds)
-
-
-def _followed(rows: DataFrame, config: TrackingConfig) -> DataFrame:
-    """_follow_run() for each packet and piece of rows (_RUN); a task holds one piece of one packet at a time."""
-    kinds, names = _arrow(_STEP), [*_GROUP, "rank"]
+        def leave(key) -> None:
+            for n, t in enumerate(follower.tracks or [None]):
+                state = (None,) * 5 if t is None else (t.last, t.icis.values, t.icis.counts, t.bins.values, t.bins.counts)
+                out.append(("open", *key, -1 if t is None else t.number, n, *[None] * 5, *state, follower.opened, follower.closed))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            change = np.zeros(batch.num_rows, bool)
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            for c in columns:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                key = tuple(c[a] for c in columns)
-                if key != current and held:
-                    yield from _follow_run(pa.Table.from_batches(held), config, kinds)
-                    held = []
-                current = key
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from _follow_run(pa.Table.from_batches(held), config, kinds)
-
-    return rows.repartition(*names).sortWithinPartitions(*names, "turn", "place", TIME, TIE).mapInArrow(run, _STEP)
-
-
-def _numbered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Numbers over all pieces of a packet: what earlier pieces open and close, and the tracks that cross a piece's end."""
-    opened, closed, carried, out, crossing, ends = 0, 0, [], [], [], {}
-    for rank, part in rows.sort_values("rank", kind="stable").groupby("rank"):
-        piece = part[part["kind"] == "run"].iloc[0]
-        out.append(("run", *key, rank, None, opened, closed))
-        number = lambda track: carried[-track - 1] if track < 0 else opened + track  # noqa: B023, E731
-        for track, place in part.loc[part["kind"] == "closed", ["track", "place"]].itertuples(index=False):
-            ends[number(track)] = closed + place
-        left = part[part["kind"] == "open"].sort_values("place")["track"].tolist()
-        crossing += [(rank, track, number(track)) for track in {*range(-len(carried), 0), *left}]
-        carried = [number(track) for track in left]
-        opened, closed = opened + piece["opened"], closed + piece["closed"]
-    ends |= {number: closed + place for place, number in enumerate(carried)}
-    out += [("over", *key, rank, track, number, ends[number]) for rank, track, number in crossing]
-    frame = pd.DataFrame(out, columns=["kind", *_GROUP, "rank", "track", "open_ord", "close_ord"])
-    return frame.astype({c: "Int64" for c in ("rank", "track", "open_ord", "close_ord")})
+            for start in range(0, batch.num_rows, 4096):
+                for r in batch.slice(start, 4096).to_pylist():
+                    key = (r[KEY], r["passage_id"], r["packet"])
+                    if key != group:
+                        if group is not None:
+                            leave(group)
+                        group, follower = key, Follower(config)
+                    if r["kind"] == "open":
+                        follower.opened, follower.closed = r["opened"], r["closed"]
+                        if r["track"] >= 0:
+                            follower.tracks.append(Track(r["track"], r["last"], Tally(r["icis"], r["ici_counts"]), Tally(r["bins"], r["bin_counts"])))
+                        continue
+                    before = follower.closed
+                    number, interval = follower.call(float(r[TIME]), float(r["pos_fme"]))
+                    if follower.expired:
+                        expired(key, before)
+                    out.append(("call", *key, number, None, r[TIME], r[TIE], r["pos_fme"], r["fme_khz"], None if np.isnan(interval) else interval, *[None] * 7))
+                    if len(out) >= BATCH:
+                        yield _batch(out, kinds)
+                        out.clear()
+        if group is not None:
+            leave(group)
+        yield _batch(out, kinds)
+
+    return run
 
 
 def follow_pieces(pieces: DataFrame, config: TrackingConfig) -> DataFrame:
     """Calls of packets that lie in several pieces, with their track, its place in order of closing, and the interval.
 
-    pieces: _GROUP, piece, time, line, pos_fme, fme_khz. All pieces are followed side by side, each from WARM_ICIS intervals
-    before its first call. Tracks of that time have mostly closed by then, so the piece starts with the very tracks that
-    the piece before ends with; digests of both tell. Where they differ, the first such piece of a packet is followed again
-    from the tracks of the piece before, in rounds until all agree: as many as there are pieces at worst, for tracks that
-    go on through all. What pieces hand on is a row for each open track, so numbers are given from such tables.
+    pieces: _GROUP, piece, time, line, pos_fme, fme_khz. The tracker can't know a piece's beginning before the piece before
+    has ended, so pieces of a packet are followed in rounds, all packets side by side; what goes from one round to the
+    next is each open track's last call and the counts of its intervals and frequencies. A task's work is one piece.
     """
     spark = pieces.sparkSession
     ship(spark)
-    runs = pieces.groupBy(KEY, "passage_id", "piece").agg(F.min(TIME).alias("_start")).withColumn("rank", F.row_number().over(Window.partitionBy(KEY, "passage_id").orderBy("piece")).cast("long"))
-    runs = stored(runs)  # two runs a task at most
-    ranked = stored(pieces.join(F.broadcast(runs.drop("_start")), [KEY, "passage_id", "piece"]).drop("piece"), "rank").withColumn("rank", F.col("rank").cast("long"))
-    columns, folder = [f.name for f in struct(_RUN).fields], f"{scratch_folder(spark)}/steps"
-    path = [KEY, "passage_id", "rank"]
-
-    def turn(rows: DataFrame, number: int) -> DataFrame:
-        rows = rows.withColumn("turn", F.lit(number))
-        return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(struct(_RUN)[c].dataType).alias(c) for c in columns))
-
-    following = runs.select(KEY, "passage_id", (F.col("rank") - 1).alias("rank"), (F.col("_start") - WARM_ICIS * config.bootstrap_ici_ms).alias("_from"))
-    before = ranked.join(F.broadcast(following), path).filter(F.col(TIME) >= F.col("_from")).withColumn("rank", F.col("rank") + 1)
-    _followed(turn(before, 1).unionByName(turn(ranked, 2)), config).write.partitionBy("kind").parquet(f"{folder}/version=0")
-    piece, version = [*_GROUP, "rank"], 0
-    while True:
-        steps = spark.read.schema(f"{_STEP}, version int").parquet(folder)
-        newest = Window.partitionBy(*piece).orderBy(F.desc("version"))
-        known = steps.filter("kind = 'run'").select(*piece, "version", "start", "end").withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
-        order = Window.partitionBy(*_GROUP).orderBy("rank")
-        known = stored(known.withColumns({f"_before_{c}": F.lag(c).over(order) for c in ("rank", "version", "end")}))  # a row a packet of a piece
-        wrong = known.filter(F.col("start") != F.coalesce("_before_end", F.lit(_mark([]))))
-        wrong = stored(wrong.groupBy(*_GROUP).agg(F.min_by(F.struct("rank", "_before_rank", "_before_version"), "rank").alias("w")).select(*_GROUP, "w.*"))
-        if wrong.isEmpty():
-            break
-        version += 1
-        left = wrong.select(*_GROUP, F.col("rank").alias("_rank"), F.col("_before_rank").alias("rank"), F.col("_before_version").alias("version"))
-        left = steps.filter("kind = 'open'").join(F.broadcast(left), [*piece, "version"]).withColumn("rank", F.col("_rank"))
-        again = ranked.join(F.broadcast(wrong.select(*piece)), piece)
-        _followed(turn(left.drop(TIME, TIE, "pos_fme", "fme_khz"), 0).unionByName(turn(again, 2)), config).write.partitionBy("kind").parquet(f"{folder}/version={version}")
-    steps = steps.join(F.broadcast(known.select(*piece, "version")), [*piece, "version"])
-    ends = steps.filter("kind <> 'call'").select("kind", *piece, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("track", "place", "opened", "closed")))
-    ends = stored(ends.groupBy(*_GROUP).applyInPandas(_numbered, _OVER))
-    calls, columns = steps.filter("kind = 'call'").drop("kind"), [f.name for f in struct(_CALLS).fields]
-    inside = calls.filter("track >= 0 AND place IS NOT NULL").join(F.broadcast(ends.filter("kind = 'run'").drop("kind", "track")), piece)
-    inside = inside.withColumns({"open_ord": F.col("open_ord") + F.col("track"), "close_ord": F.col("close_ord") + F.col("place")})
-    over = calls.filter("track < 0 OR place IS NULL").join(ends.filter("kind = 'over'").drop("kind"), [*piece, "track"])
-    return inside.select(columns).unionByName(over.select(columns))
+    runs = pieces.select(KEY, "passage_id", "piece").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(KEY, "passage_id").orderBy("piece")))
+    ranked = stored(pieces.join(F.broadcast(runs), [KEY, "passage_id", "piece"]), "rank")  # two runs a task at most
+    rounds = [r["rank"] for r in ranked.select("rank").distinct().orderBy("rank").collect()]
+    columns = [f.name for f in struct(_STEP).fields]
+    steps: list[DataFrame] = []
+    state = spark.createDataFrame([], _STEP)
+    for number in rounds:
+        calls = ranked.filter(F.col("rank") == number).withColumn("kind", F.lit("call"))
+        both = state.unionByName(calls.select(*(F.col(c) if c in calls.columns else F.lit(None).cast(struct(_STEP)[c].dataType).alias(c) for c in columns)))
+        order = [*_GROUP, F.when(F.col("kind") == "open", 0).otherwise(1), "place", TIME, TIE]
+        step = stored(both.repartition(*_GROUP).sortWithinPartitions(*order).mapInArrow(_round(config), _STEP))
+        steps.append(step)
+        state = step.filter("kind = 'open'")
+    if not steps:
+        return spark.createDataFrame([], f"{KEY} string, passage_id long, packet long, open_ord long, close_ord long, {TIME} long, {TIE} long, pos_fme int, fme_khz double, ici_ms double")
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionByName(step)
+    ends = every.filter("kind = 'closed'").select(*_GROUP, "track", F.col("place").alias("close_ord"))
+    ends = ends.unionByName(state.filter("track >= 0").select(*_GROUP, "track", (F.col("closed") + F.col("place")).alias("close_ord")))
+    return every.filter("kind = 'call'").join(ends, [*_GROUP, "track"]).select(*_GROUP, F.col("track").alias("open_ord"), "close_ord", TIME, TIE, "pos_fme", "fme_khz", "ici_ms")
