@@ -104,3 +104,28 @@ def test_lines_of_a_passage_are_joined_by_buckets(spark):
         assert got.pop(key) == (len(own), ",".join(str(n) for _, n in own))
     assert not got
     assert "hashpartitioning(recording_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "_bucket" in plan
+
+
+def test_nested_passages_hold_whole_chirps(spark, sf):
+    """Chirps with all their fields, in order, in parts by bucket as in one row; the query's lines are read from them."""
+    from echoloom.plans.events_view import detections
+    from echoloom.plans.queries import QUERIES
+
+    clean = pre.preprocess(detections(spark, sf), PreprocessConfig(passage_gap_ms=9000, echo_gap_ms=60)).clean
+    whole = {r.passage_id: r for r in pre.nested_passages(clean).collect()}
+    parts = pre.nested_passages(clean, 7200).orderBy("passage_id", "part").collect()
+    joined = {}
+    for r in parts:
+        joined.setdefault(r.passage_id, []).append(r)
+    assert len(parts) > len(whole) > 1 and joined.keys() == whole.keys()
+    fields = ["time_ms", "line_no", *pre.CHIRP.values()]
+    rows = {r.line_no: r for r in clean.withColumn("gap_ms", clean.gap_ms2).select("passage_id2", *fields).collect()}
+    for passage, r in whole.items():
+        own = joined[passage]
+        assert [c for p in own for c in p.chirps] == r.chirps and len(r.chirps) == r.n_chirps == sum(p.n_chirps for p in own)
+        assert (r.start_ms, r.end_ms) == (own[0].start_ms, own[-1].end_ms) == (r.chirps[0].time_ms, r.chirps[-1].time_ms)
+        assert all(c.asDict() == {f: rows[c.line_no][f] for f in fields} and rows[c.line_no].passage_id2 == passage for c in r.chirps)
+    lines = {r.passage_id: (r.start_ms, r.end_ms, r.lines) for r in pre.passage_lines(clean, 7200).collect()}
+    assert lines == {k: (r.start_ms, r.end_ms, ",".join(str(c.line_no) for c in r.chirps)) for k, r in whole.items()}
+    plan = QUERIES["nested_passages"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("collect_list(struct(time_ms" in line and all(name in line for name in pre.CHIRP.values()) for line in plan.splitlines())
