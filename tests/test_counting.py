@@ -135,6 +135,33 @@ def test_passages_over_several_tasks(spark, tasks):
             assert ici is None or (r.ici_ms is None if np.isnan(ici) else r.ici_ms == ici)
 
 
+def test_bands_of_pieces_are_followed_side_by_side(spark, monkeypatch):
+    """Bands of far frequencies are groups of their own in each round; tracks, both orders and intervals as in one run over all.
+
+    Two packets, a band that is not in every piece, callers that go on through all pieces, a crowd at one time that needs more
+    room, and uneven tolerances."""
+    bands, plain = [], tracking._orders
+    monkeypatch.setattr(tracking, "_orders", lambda steps, packs, *rest: bands.append(sorted((r["pack"], r["band"]) for r in packs.collect())) or plain(steps, packs, *rest))
+    rng, config = np.random.default_rng(3), TrackingConfig(ici_tolerance=0.37, fme_tolerance_bins=2.5, expiry_icis=2.3, bootstrap_ici_ms=33.3)
+    rows = [(7, int(t), int(b)) for t, b in zip(rng.integers(0, 60_000, 3000), rng.integers(90, 99, 3000))]
+    rows += [(7, int(t), 60) for t in rng.integers(0, 20_000, 300)] + [(7, 12_345, int(b)) for b in rng.integers(88, 92, 60)] + [(8, int(t), int(b)) for t, b in zip(rng.integers(0, 60_000, 500), rng.choice([50, 53, 57], 500))]
+    rows += [(7, 33 * k + int(rng.integers(-9, 10)) + 13 * caller, 120 + 3 * caller) for k in range(1800) for caller in range(2)]
+    rows = [("r", 1, packet, t // 15_000 + 2, t, n, b, b * 0.390625) for n, (packet, t, b) in enumerate(sorted(rows, key=lambda r: r[1]))]
+    frame = spark.createDataFrame(rows, "recording_id string, passage_id long, packet long, piece long, time_ms long, line_no long, pos_fme int, fme_khz double").repartition(3)
+    found = {(r.packet, r.line_no): r for r in tracking.follow_pieces(frame, config).collect()}
+    assert len(found) == len(rows) and bands == [[(1, 1), (1, 2), (1, 3), (1, 4), (2, 5), (2, 6), (2, 7)]]
+    for packet in {r[2] for r in rows}:
+        at = [r for r in rows if r[2] == packet]
+        times, bins = np.array([float(r[4]) for r in at]), np.array([float(r[6]) for r in at])
+        own, order = plain_tracker(times, bins, config)
+        place = {track: n for n, track in enumerate(order)}
+        last = {}
+        for k, r in enumerate(at):
+            got = found[packet, r[5]]
+            assert (got.open_ord, got.close_ord, got.ici_ms) == (own[k], place[own[k]], times[k] - last[own[k]] if own[k] in last else None)
+            last[own[k]] = times[k]
+
+
 def test_mixtures():
     rng = np.random.default_rng(7)
     both = np.concatenate([20 + rng.gamma(2.0, 0.5, 400), 45 + rng.gamma(2.0, 0.5, 400)])
